@@ -104,10 +104,7 @@ def trie_links(group: np.ndarray, value: np.ndarray, max_bits: int) -> np.ndarra
             if not odd.any():
                 return
             a, b, x, y = a[odd], b[odd], x[odd], y[odd]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            np.minimum.at(least, high, low)
-            np.minimum.at(least, a, low)
-            np.minimum.at(least, b, low)
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
             while (least[least] != least).any():
                 np.copyto(least, least[least])
 
