@@ -43,7 +43,7 @@ def sign_extend(raw: Column, width: int) -> Column:
 def unsigned64(raw: Column) -> Column:
     """A 64-bit pattern as DECIMAL(20,0)."""
     value = raw.cast("decimal(20,0)")
-    return F.when(raw < 0, value + F.lit(2**64).cast("decimal(20,0)")).otherwise(value).cast("decimal(20,0)")
+    return F.when(raw < 0, value + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(value).cast("decimal(20,0)")
 
 
 def guarded(value: Column, guard: Column, wanted: int) -> Column:

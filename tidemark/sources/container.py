@@ -221,11 +221,11 @@ def next_sync(file, size: int, start: int, end: int, step: int = 1 << 20) -> int
 
 def split_data(schema: Schema, payload: bytes) -> tuple[Any, int, int, list[bytes], list[list[bytes]] | None]:
     """(axis base, run, count, records, tails)"""
-    count, run, codec_, filter_, _, size = struct.unpack("<IIBBHQ", payload[8:32])
+    count, run, codec_, filter_, _, size = struct.unpack("<IIBBHQ", payload[8:28])
     base = struct.unpack("<q" if schema.timed else "<d", payload[:8])[0]
     if filter_ > 1:
         raise codec.UnsupportedCodec(f"filter {filter_}")
-    raw, width = codec.decompress(payload[32:], codec_, size), schema.record_bytes
+    raw, width = codec.decompress(payload[28:], codec_, size), schema.record_bytes
     fixed = codec.untranspose(raw[: count * width], width) if filter_ else raw[: count * width]
     if len(fixed) < count * width:
         raise ValueError("fewer records than stated")
@@ -431,11 +431,11 @@ def raw_column(f: Field, record: Column, tails: Column, slot: int | None) -> Col
     return bits.sign_extend(raw, f.width) if f.type == "sint" else bits.unsigned64(raw) if f.width == 64 else raw
 
 
-def value_column(schema: Schema, i: int, record: Column = F.col("record"), tails: Column = F.col("tails")) -> Column:
+def value_column(schema: Schema, i: int) -> Column:
     """The physical value of field i: raw bits, conversion, and absence where the guard isn't met."""
     from ..functions import conversions
 
-    f = schema.fields[i]
+    f, record, tails = schema.fields[i], F.col("record"), F.col("tails")
     slot = sum(x.variable for x in schema.fields[:i]) if f.variable else None
     value = raw_column(f, record, tails, slot)
     if f.conversion.kind != "identity":
