@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import axis, bits, conversions
 from .functions.axis import Buckets
+from .model import Field, Schema
 from .operators import decimate, index, records
-from .plans import tiers
+from .plans import storage, tiers
+from .sources import container, dbc
 
 DAY = 86_400_000_000
 #: The window and run that the single-run queries show.
@@ -356,3 +358,59 @@ def run_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {REC} SELECT state, count(*)::BIGINT AS records, count(DISTINCT run_id)::BIGINT AS runs, min(axis) AS first, max(axis) AS last FROM rec GROUP BY state")
 def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recording(spark, sf_dir).groupBy("state").agg(F.count("*").alias("records"), F.countDistinct("run_id").alias("runs"), F.min("axis").alias("first"), F.max("axis").alias("last"))
+
+
+def _container(spark: SparkSession, sf_dir: str) -> tuple[str, Schema]:
+    """The events as a recording file set: id, user and value as fields, microseconds as implicit axis of one-record frames' bases."""
+    schema = Schema("6f1c2a52-7b0e-5d5f-9d55-3f1f0f6f3a01", "events", 160, (Field("event_id", 0, 32), Field("user_id", 32, 24, big_endian=True), Field("purchase", 56, 1, "bool"), Field("value", 64, 64, "float", guard=(2, 1)), Field("at", 128, 32)), axis_mode="explicit", axis_exp=-6, axis_unit="s", axis_step=0, axis_scale=1, axis_field=4)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = (axis.utc_micros(F.col("ts")) - F.lit(epoch(spark, sf_dir))) / 1_000_000
+    rows = events.select("event_id", "user_id", (F.col("event_type") == "purchase").cast("int").alias("purchase"), "value", F.floor(at).alias("at"), F.lit(0).cast("long").alias("axis"), F.lit(0).cast("long").alias("run_id"))
+    path = storage.scratch(spark, "recording")
+    container.write(container.encode(rows, schema), path, schema)
+    return path, schema
+
+
+@query("SELECT event_id, user_id, event_type = 'purchase' AS purchase, CASE WHEN event_type = 'purchase' THEN value END AS value, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 1000000 AS axis FROM events")
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as a container, read back and decoded, guard included."""
+    path, schema = _container(spark, sf_dir)
+    return container.decode(container.read(spark, path), schema).select("event_id", "user_id", "purchase", "value", "axis")
+
+
+@query("SELECT 'DATA' AS type, count(*)::BIGINT AS records FROM events")
+def index_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = _container(spark, sf_dir)
+    return container.read(spark, path, "frames").where("type = 'DATA'").groupBy("type").agg(F.sum("count").alias("records"))
+
+
+@query("SELECT user_id, min(value) AS low, max(value) AS high, count(*)::BIGINT AS n FROM events WHERE event_type = 'purchase' AND (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 1000000 BETWEEN 172800 AND 604800 GROUP BY user_id")
+def zoom_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of a container, by user; only the fields that it names are decoded."""
+    path, schema = _container(spark, sf_dir)
+    rows = container.decode(container.read(spark, path), schema).where("axis BETWEEN 172800 AND 604800")
+    return rows.where("value IS NOT NULL").groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+
+
+DATABASE = '''BO_ 3 Engine: 8 X
+ SG_ Speed : 7|16@0+ (0.25,0) [0|1] "rpm" X
+ SG_ Kind M : 16|2@1+ (1,0) [0|3] "" X
+ SG_ Heat m1 : 24|12@1- (0.1,-40) [0|1] "degC" X
+BO_ 11 Vehicle: 8 X
+ SG_ Gear : 60|4@1+ (1,0) [0|15] "" X
+VAL_ 11 Gear 0 "P" 1 "R" 2 "N" ;
+'''
+_B = [f"(({PACKED} >> {56 - 8 * i}) & 255)" for i in range(8)]
+
+
+@query(f"""WITH b AS (SELECT event_id, user_id, {", ".join(f"{x} AS b{i}" for i, x in enumerate(_B))} FROM events WHERE user_id IN (3, 11))
+SELECT event_id, 'Engine' AS message, 'Speed' AS signal, 0.25::DOUBLE * (b0 * 256 + b1) AS value, NULL::VARCHAR AS text FROM b WHERE user_id = 3
+UNION ALL SELECT event_id, 'Engine', 'Kind', (b2 & 3)::DOUBLE, NULL FROM b WHERE user_id = 3
+UNION ALL SELECT event_id, 'Engine', 'Heat', -40.0::DOUBLE + 0.1::DOUBLE * (CASE WHEN (b3 + (b4 & 15) * 256) >= 2048 THEN b3 + (b4 & 15) * 256 - 4096 ELSE b3 + (b4 & 15) * 256 END), NULL FROM b WHERE user_id = 3 AND (b2 & 3) = 1
+UNION ALL SELECT event_id, 'Vehicle', 'Gear', (b7 >> 4)::DOUBLE, CASE b7 >> 4 WHEN 0 THEN 'P' WHEN 1 THEN 'R' WHEN 2 THEN 'N' END FROM b WHERE user_id = 11""")
+def dbc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bus frames decoded against a message database: multiplexed, signed and labelled signals."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    frames = events.withColumn("payload", F.unhex(F.lpad(F.hex(F.col("event_id") * 2_654_435_761 % 9_007_199_254_740_881), 16, "0")))
+    frames = frames.select("event_id", F.col("user_id").alias("can_id"), F.lit(False).alias("extended"), "payload")
+    return dbc.decode_frames(frames, dbc.parse(DATABASE)).select("event_id", "message", "signal", "value", "text")
