@@ -6,11 +6,13 @@ and restates its schemas, so a task looks for the first valid SYNC in its range
 columns by Catalyst expressions, so fields that a query doesn't name are never decoded.
 
 A torn tail ends the file at its last intact frame. Unknown frames, codecs, filters and invalid schemas are reported in the `frames`
-view as unsupported and skipped; they never fail a job.
+view as unsupported and skipped; they never fail a job. Options: view, stream, splitBytes, resync (for slices without a header), from and to
+(frames that can't meet this axis window aren't decompressed; records are still to be filtered).
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -235,6 +237,15 @@ def split_data(schema: Schema, payload: bytes) -> tuple[Any, int, int, list[byte
     return base, run, count, records, [[b.take(b.get("I")) for _ in range(n)] for _ in range(count)] if n else None
 
 
+def outside(schema: Schema, payload: bytes, window: tuple[float, float]) -> bool:
+    """Whether the frame's head alone shows that no record is in the window. Explicit axes don't show it."""
+    base, count = struct.unpack("<qI" if schema.timed else "<dI", payload[:12])
+    if schema.axis_mode == "explicit" or not count:
+        return False
+    last = base * schema.axis_step ** (count - 1) if schema.axis_mode == "log" else base + (count - 1) * schema.axis_step
+    return max(base, last) < window[0] or min(base, last) > window[1]
+
+
 class Split(InputPartition):
     def __init__(self, file: str, size: int, start: int, end: int):
         self.file, self.size, self.start, self.end = file, size, start, end
@@ -244,7 +255,8 @@ class RecordingReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.view = options["path"], options.get("view", "records")
         self.split_bytes, self.stream = int(options.get("splitbytes", 128 << 20)), options.get("stream")
-        self.columns = [f.name for f in schema.fields]
+        self.resync = options.get("resync", "false") == "true"
+        self.window = float(options.get("from", "-inf")), float(options.get("to", "inf"))
         self.arrow = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in schema.fields])
 
     def partitions(self) -> list[Split]:
@@ -256,9 +268,9 @@ class RecordingReader(DataSourceReader):
             return
         store, path = open_store(part.file)
         with store.open_input_file(path) as file:
-            if part.start == 0:
+            if part.start == 0 and not self.resync:
                 check_header(file.read_at(16, 0), part.file)
-            begin = next_sync(file, part.size, max(16, part.start), part.end)
+            begin = next_sync(file, part.size, part.start, part.end)
             if begin is None:
                 return
             walk = Walk(file, part.size, begin)
@@ -280,6 +292,8 @@ class RecordingReader(DataSourceReader):
         place = (file, walk.segment)
         schema = walk.schemas.get(stream)
         if self.view == "records" and type_ == DATA and schema and (not self.stream or self.stream in (schema.uuid, schema.name)):
+            if outside(schema, payload, self.window):
+                return []
             try:
                 base, run, count, records, tails = split_data(schema, payload)
             except (ValueError, struct.error):
@@ -326,6 +340,7 @@ class RecordingWriter(DataSourceWriter):
     def __init__(self, options: dict, columns: list[str]):
         self.path, self.columns = options["path"], columns
         self.schema = parse_schema(bytes.fromhex(options["schema"]))
+        self.meta, self.attached = json.loads(options.get("meta", "[]")), json.loads(options.get("attachments", "[]"))
         self.codec, self.frame_records, self.segment_frames = int(options.get("codec", codec.ZSTD)), int(options.get("framerecords", 65_536)), int(options.get("segmentframes", 64))
 
     def write(self, rows) -> PartFile:
@@ -340,6 +355,9 @@ class RecordingWriter(DataSourceWriter):
                 nonlocal frames, seq
                 if not frames % self.segment_frames:
                     out.write(sync(seq, 0) + frame(SCHEMA, put_schema(self.schema), 1))
+                    if not seq:
+                        out.write(b"".join(frame(META, put_text(k) + put_text(v)) for k, v in self.meta))
+                        out.write(b"".join(frame(ATTACH, put_text(k) + struct.pack("<I", len(v) // 2) + bytes.fromhex(v)) for k, v in self.attached))
                     seq += 1
                 out.write(data_frame(self.schema, 1, held[0].axis, [bytes(r.record) for r in held], [list(map(bytes, r.tails)) for r in held] if any(f.variable for f in self.schema.fields) else None, held[0].run_id or 0, self.codec))
                 frames += 1
@@ -385,7 +403,8 @@ def read(spark: SparkSession, path: str, view: str = "records", **options) -> Da
 
 
 def write(rows: DataFrame, path: str, schema: Schema, **options) -> None:
-    """rows (axis, run_id, record, tails): sorted within each partition by run and axis."""
+    """rows (axis, run_id, record, tails): sorted within each partition by run and axis. Options: codec, frameRecords, segmentFrames,
+    meta (JSON pairs) and attachments (JSON pairs of name and hexadecimal data), which the first segment of each file gets."""
     rows.sparkSession.dataSource.register(Recordings)
     ready = rows.select("axis", "run_id", "record", "tails").sortWithinPartitions("run_id", "axis")
     ready.write.format("recording").option("schema", put_schema(schema.validate()).hex()).options(**options).mode("append").save(path)

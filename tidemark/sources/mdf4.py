@@ -181,6 +181,23 @@ def read_groups(path: str) -> list[Group]:
         return groups
 
 
+def attachments(path: str) -> list[tuple[str, bytes | None]]:
+    """(name, data) of embedded files, deflated or not; None for files that are only named."""
+    store, inner = open_store(path)
+    with store.open_input_file(inner) as file:
+        blocks, out = Blocks(file), []
+        _, links, _ = blocks.block(64, "HD")
+        for _, at, data in blocks.chain(links[3], "AT"):
+            flags, _, _, _, whole, size = struct.unpack("<HHI16sQQ", data[:40])
+            body = data[40 : 40 + size] if flags & 1 else None
+            if body is not None and flags & 2:
+                body = zlib.decompress(body)
+                if len(body) != whole:
+                    raise MdfError("an attachment differs from its header")
+            out.append((blocks.text(at[1]), body))
+        return out
+
+
 def group_schema(group: Group, path: str) -> Schema:
     """Fields in channel order; invalidation bits become guards. The master is the explicit axis; without one records are counted."""
     fields, guards = [], {}
