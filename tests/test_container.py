@@ -174,3 +174,28 @@ def test_spice_refusals(tmp_path):
             spice.parse_header(raw_file(flags, []))
     with pytest.raises(spice.RawError):
         spice.parse_header(raw_file("real", []).replace(b"Binary:", b"Values:"))
+
+
+def test_frame_statistics_agree_with_decoded_records(spark, tmp_path):
+    path = put(tmp_path, build(2, 50))
+    rows = container.decode(container.read(spark, path), ENGINE)
+    want = rows.groupBy("segment").agg(F.min("boost").alias("low"), F.max("boost").alias("high"), F.count("boost").alias("n"), F.min("temp").alias("t"), F.count("note").alias("notes")).collect()
+    got = {(r.segment, r.field): r for r in container.read(spark, path, "stats").where(F.col("stream") == ENGINE.uuid).collect()}
+    for w in want:
+        b = got[w.segment, "boost"]
+        assert (b.n_present, b.low, b.high) == (w.n, pytest.approx(w.low), pytest.approx(w.high)) and b.several
+        assert got[w.segment, "temp"].low == w.t and got[w.segment, "note"].n_present == w.notes and got[w.segment, "mode"].high == 2
+    assert {r.field for r in container.read(spark, path, "stats", stream="sweep").collect()} == {"gain"}
+
+
+def test_arrays_read_bits_as_expressions_do(spark):
+    from tidemark.functions import bits
+    from tidemark.sources import arrays
+
+    rng = np.random.default_rng(7)
+    matrix = rng.integers(0, 256, (20, 12), np.uint8)
+    rows = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(matrix)], "i int, record binary")
+    layouts = [(int(rng.integers(0, 96 - w)), w, bool(rng.integers(2))) for w in [1, 7, 8, 12, 31, 33, 57, 63, 64, 64]]
+    got = rows.select("i", *[bits.bit_slice(F.col("record"), *x).alias(f"c{k}") for k, x in enumerate(layouts)]).orderBy("i").collect()
+    for k, x in enumerate(layouts):
+        assert arrays.raw_bits(matrix, *x).view(np.int64).tolist() == [r[f"c{k}"] for r in got]

@@ -2,7 +2,7 @@
 
 format("recording") reads a file or folder. Byte ranges are planned from file sizes alone: every segment begins with a SYNC frame
 and restates its schemas, so a task looks for the first valid SYNC in its range and reads whole segments from there. Views:
-`records` (default), `frames`, `streams`, `runs`, `meta`, `attachments`. Records stay binary; decode() turns them into
+`records` (default), `frames`, `stats` (per frame and field, computed on the frame's arrays), `streams`, `runs`, `meta`, `attachments`. Records stay binary; decode() turns them into
 columns by Catalyst expressions, so fields that a query doesn't name are never decoded.
 
 A torn tail ends the file at its last intact frame. Unknown frames, codecs, filters and invalid schemas are reported in the `frames`
@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..functions import axis as axes
 from ..functions import bits
 from ..model import AXIS_KINDS, AXIS_MODES, CONVERSIONS, TYPES, Conversion, Field, Schema, SchemaError
-from . import codec
+from . import arrays, codec
 
 #: Fixed values of the format.
 MAGIC = bytes.fromhex("894c4f47420d0a1a")
@@ -39,6 +39,7 @@ NAMES = {SYNC: "SYNC", SCHEMA: "SCHEMA", META: "META", ATTACH: "ATTACH", RUN: "R
 VIEWS = {
     "records": "file string, segment long, frame_offset long, rec_idx int, stream string, run_id long, axis_tick long, axis_value double, record binary, tails array<binary>",
     "frames": "file string, segment long, frame_offset long, type string, stream string, run_id long, count long, axis_tick long, axis_value double, payload_bytes long, unsupported string",
+    "stats": "file string, segment long, frame_offset long, stream string, run_id long, count long, axis_tick long, axis_value double, field string, n_present long, low double, high double, first_value double, last_value double, several boolean",
     "streams": "file string, segment long, stream string, name string, record_bits int, n_fields int, axis_kind string, axis_mode string, axis_exp int, axis_unit string, schema binary",
     "runs": "file string, segment long, run_id long, run_index long, params map<string,string>",
     "meta": "file string, segment long, frame_offset long, key string, value string",
@@ -221,8 +222,8 @@ def next_sync(file, size: int, start: int, end: int, step: int = 1 << 20) -> int
     return None
 
 
-def split_data(schema: Schema, payload: bytes) -> tuple[Any, int, int, list[bytes], list[list[bytes]] | None]:
-    """(axis base, run, count, records, tails)"""
+def split_data(schema: Schema, payload: bytes) -> tuple[Any, int, int, bytes, list[list[bytes]] | None]:
+    """(axis base, run, count, records end to end, tails)"""
     count, run, codec_, filter_, _, size = struct.unpack("<IIBBHQ", payload[8:28])
     base = struct.unpack("<q" if schema.timed else "<d", payload[:8])[0]
     if filter_ > 1:
@@ -231,10 +232,9 @@ def split_data(schema: Schema, payload: bytes) -> tuple[Any, int, int, list[byte
     fixed = codec.untranspose(raw[: count * width], width) if filter_ else raw[: count * width]
     if len(fixed) < count * width:
         raise ValueError("fewer records than stated")
-    records = [fixed[i : i + width] for i in range(0, count * width, width)] if width else [b""] * count
     n = sum(f.variable for f in schema.fields)
     b = Bytes(raw[count * width :])
-    return base, run, count, records, [[b.take(b.get("I")) for _ in range(n)] for _ in range(count)] if n else None
+    return base, run, count, fixed, [[b.take(b.get("I")) for _ in range(n)] for _ in range(count)] if n else None
 
 
 def outside(schema: Schema, payload: bytes, window: tuple[float, float]) -> bool:
@@ -278,28 +278,55 @@ class RecordingReader(DataSourceReader):
             for at, type_, stream, payload in walk.frames():
                 if type_ == SYNC and at >= part.end:
                     break
-                rows += self._rows(part.file, walk, at, type_, stream, payload)
+                if self.view == "records":
+                    if type_ == DATA and (batch := self.records(part.file, walk, at, stream, payload)):
+                        yield batch
+                    continue
+                rows += self.rows(part.file, walk, at, type_, stream, payload)
                 if len(rows) >= 8192:
-                    yield self._batch(rows)
+                    yield self.batch(rows)
                     rows = []
             if rows:
-                yield self._batch(rows)
+                yield self.batch(rows)
 
-    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+    def wanted(self, walk: Walk, stream: int, payload: bytes) -> tuple | None:
+        """(schema, split frame) of a DATA frame of the stream and window asked for; None if it can't be read."""
+        schema = walk.schemas.get(stream)
+        if not schema or self.stream and self.stream not in (schema.uuid, schema.name) or outside(schema, payload, self.window):
+            return None
+        try:
+            return schema, split_data(schema, payload)
+        except (ValueError, struct.error):
+            return None
+
+    def records(self, file: str, walk: Walk, at: int, stream: int, payload: bytes) -> pa.RecordBatch | None:
+        """The records of a frame as columns, without a Python object per record."""
+        found = self.wanted(walk, stream, payload)
+        if not found or not found[1][2]:
+            return None
+        schema, (base, run, n, fixed, tails) = found
+        width = schema.record_bytes
+        same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
+        ends = np.arange(n + 1, dtype=np.int32) * width
+        record = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes(fixed))])
+        tick, value = (base, None) if schema.timed else (None, base)
+        columns = [same(file, pa.string()), same(walk.segment, pa.int64()), same(at, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), same(schema.uuid, pa.string()), same(run, pa.int64()), same(tick, pa.int64()), same(value, pa.float64()), record, pa.array(tails, pa.list_(pa.binary())) if tails else pa.nulls(n, pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, schema=self.arrow)
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.arrow)], schema=self.arrow)
 
-    def _rows(self, file: str, walk: Walk, at: int, type_: int, stream: int, payload: bytes) -> list[tuple]:
+    def rows(self, file: str, walk: Walk, at: int, type_: int, stream: int, payload: bytes) -> list[tuple]:
         place = (file, walk.segment)
         schema = walk.schemas.get(stream)
-        if self.view == "records" and type_ == DATA and schema and (not self.stream or self.stream in (schema.uuid, schema.name)):
-            if outside(schema, payload, self.window):
-                return []
-            try:
-                base, run, count, records, tails = split_data(schema, payload)
-            except (ValueError, struct.error):
+        if self.view == "stats":
+            found = self.wanted(walk, stream, payload) if type_ == DATA else None
+            if not found:
                 return []
+            schema, (base, run, n, fixed, tails) = found
             tick, value = (base, None) if schema.timed else (None, base)
-            return [(*place, at, i, schema.uuid, run, tick, value, records[i], tails[i] if tails else None) for i in range(count)]
+            matrix = np.frombuffer(fixed, np.uint8).reshape(n, schema.record_bytes)
+            return [(*place, at, schema.uuid, run, n, tick, value, *x) for x in arrays.statistics(schema, matrix, tails)]
         if self.view == "frames":
             run = count = tick = value = None
             why = None if type_ in NAMES else f"frame type 0x{type_:02x}"
@@ -325,7 +352,7 @@ class RecordingReader(DataSourceReader):
 
 
 def _arrow(name: str) -> pa.DataType:
-    plain = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    plain = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()), "map<string,string>": pa.map_(pa.string(), pa.string())}
     return plain[name]
 
 

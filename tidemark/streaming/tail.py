@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..sources.container import SYNC, VIEWS, RecordingReader, Walk, check_header, list_files, open_store
+from ..sources.container import DATA, SYNC, VIEWS, RecordingReader, Walk, check_header, list_files, open_store
 
 
 class Tail(InputPartition):
@@ -23,7 +23,7 @@ class Tail(InputPartition):
 
 class RecordingTail(DataSourceStreamReader):
     def __init__(self, options: dict, schema):
-        self.rows = RecordingReader(options, schema)
+        self.reader = RecordingReader(options, schema)
         self.path, self.seen = options["path"], {}
 
     def initialOffset(self) -> dict:
@@ -60,13 +60,15 @@ class RecordingTail(DataSourceStreamReader):
         with store.open_input_file(inner) as file:
             walk, rows = Walk(file, part.end, part.sync), []
             for at, type_, stream, payload in walk.frames():
-                if at >= part.start:
-                    rows += self.rows._rows(part.file, walk, at, type_, stream, payload)
-                    if len(rows) >= 8192:
-                        yield self.rows._batch(rows)
-                        rows = []
+                if at < part.start:
+                    continue
+                if self.reader.view == "records":
+                    if type_ == DATA and (batch := self.reader.records(part.file, walk, at, stream, payload)):
+                        yield batch
+                    continue
+                rows += self.reader.rows(part.file, walk, at, type_, stream, payload)
             if rows:
-                yield self.rows._batch(rows)
+                yield self.reader.batch(rows)
 
 
 class RecordingStream(DataSource):
