@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import axis as axes
 from ..functions import bits
@@ -148,12 +148,14 @@ def sync(seq: int, wall: int) -> bytes:
     return frame(SYNC, TOKEN + struct.pack("<Qq", seq, wall))
 
 
-def data_frame(schema: Schema, stream: int, base, records: list[bytes], tails: list[list[bytes]] | None = None, run: int = 0, codec_: int = codec.ZSTD, transposed: bool = True) -> bytes:
-    fixed = b"".join(records)
+def data_frame(schema: Schema, stream: int, base, records: list[bytes] | bytes, tails: list[list[bytes]] | None = None, run: int = 0, codec_: int = codec.ZSTD, transposed: bool = True) -> bytes:
+    """records: one by one, or end to end."""
+    fixed = records if isinstance(records, bytes) else b"".join(records)
+    count = len(fixed) // schema.record_bytes if schema.record_bytes else len(tails or records)
     fixed = codec.transpose(fixed, schema.record_bytes) if transposed else fixed
     raw = fixed + b"".join(struct.pack("<I", len(x)) + x for row in tails or [] for x in row)
     start = struct.pack("<q" if schema.timed else "<d", base)
-    return frame(DATA, start + struct.pack("<IIBBHQ", len(records), run, codec_, transposed, 0, len(raw)) + codec.compress(raw, codec_), stream)
+    return frame(DATA, start + struct.pack("<IIBBHQ", count, run, codec_, transposed, 0, len(raw)) + codec.compress(raw, codec_), stream)
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -361,45 +363,55 @@ class PartFile(WriterCommitMessage):
         self.name, self.records = name, records
 
 
-class RecordingWriter(DataSourceWriter):
+class RecordingWriter(DataSourceArrowWriter):
     """One container file per task, of one segment per option segmentFrames frames. Rows come sorted by run and axis."""
 
-    def __init__(self, options: dict, columns: list[str]):
-        self.path, self.columns = options["path"], columns
+    def __init__(self, options: dict):
+        self.path = options["path"]
         self.schema = parse_schema(bytes.fromhex(options["schema"]))
         self.meta, self.attached = json.loads(options.get("meta", "[]")), json.loads(options.get("attachments", "[]"))
         self.codec, self.frame_records, self.segment_frames = int(options.get("codec", codec.ZSTD)), int(options.get("framerecords", 65_536)), int(options.get("segmentframes", 64))
 
-    def write(self, rows) -> PartFile:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> PartFile:
         store, folder = open_store(self.path)
         store.create_dir(folder, recursive=True)
-        name, n, frames, seq = f"part-{uuid.uuid4().hex}.rec", 0, 0, 0
+        name, n, frames, segments = f"part-{uuid.uuid4().hex}.rec", 0, 0, 0
         with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
             out.write(header())
-            held: list = []
-
-            def flush() -> None:
-                nonlocal frames, seq
+            for part in self.frames(iterator):
                 if not frames % self.segment_frames:
-                    out.write(sync(seq, 0) + frame(SCHEMA, put_schema(self.schema), 1))
-                    if not seq:
+                    out.write(sync(segments, 0) + frame(SCHEMA, put_schema(self.schema), 1))
+                    if not segments:
                         out.write(b"".join(frame(META, put_text(k) + put_text(v)) for k, v in self.meta))
                         out.write(b"".join(frame(ATTACH, put_text(k) + struct.pack("<I", len(v) // 2) + bytes.fromhex(v)) for k, v in self.attached))
-                    seq += 1
-                out.write(data_frame(self.schema, 1, held[0].axis, [bytes(r.record) for r in held], [list(map(bytes, r.tails)) for r in held] if any(f.variable for f in self.schema.fields) else None, held[0].run_id or 0, self.codec))
-                frames += 1
-                held.clear()
-
-            for row in rows:
-                if held and (len(held) == self.frame_records or row.run_id != held[0].run_id):
-                    flush()
-                held.append(row)
-                n += 1
-            if held:
-                flush()
+                    segments += 1
+                variable = any(f.variable for f in self.schema.fields)
+                tails = [[*map(bytes, x)] for x in part["tails"].to_pylist()] if variable else None
+                out.write(data_frame(self.schema, 1, part["axis"][0].as_py(), b"".join(part["record"].to_pylist()), tails, part["run_id"][0].as_py() or 0, self.codec))
+                frames, n = frames + 1, n + part.num_rows
             out.write(frame(END, b""))
         return PartFile(name, n)
 
+    def frames(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows of one run, frame_records at most."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            runs = batch["run_id"].fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and (held[-1]["run_id"][0].as_py() or 0) != runs[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                while a < b:
+                    room = self.frame_records - sum(x.num_rows for x in held)
+                    held.append(batch.slice(a, min(room, b - a)))
+                    a += held[-1].num_rows
+                    if sum(x.num_rows for x in held) == self.frame_records:
+                        yield pa.Table.from_batches(held)
+                        held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
     def commit(self, messages) -> None:
         pass
 
@@ -421,7 +433,7 @@ class Recordings(DataSource):
         return RecordingReader({k.lower(): v for k, v in self.options.items()}, schema)
 
     def writer(self, schema, overwrite: bool) -> RecordingWriter:
-        return RecordingWriter({k.lower(): v for k, v in self.options.items()}, [f.name for f in schema.fields])
+        return RecordingWriter({k.lower(): v for k, v in self.options.items()})
 
 
 def read(spark: SparkSession, path: str, view: str = "records", **options) -> DataFrame:
