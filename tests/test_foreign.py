@@ -150,3 +150,25 @@ def test_late_clock(spark):
     records = spark.createDataFrame([("f", 100), ("g", 5)], "file string, axis long")
     meta = spark.createDataFrame([("f", 1, "time.anchor", "50:1000"), ("f", 9, "time.anchor", "60:2000"), ("f", 10, "title", "x")], "file string, frame_offset long, key string, value string")
     assert {r.file: r.unix_ns for r in tail.anchored(records, meta).collect()} == {"f": 2040, "g": None}
+
+
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    from tidemark.streaming.progress import Progress
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.rec").write_bytes(build(1, 5))
+    told = []
+    listener = Progress(lambda *x: told.append(x))
+    spark.streams.addListener(listener)
+    try:
+        query = tail.read_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        query.stop()
+        until = time.time() + 20
+        while not any(x[0] == "ended" for x in told) and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[0][:2] == ("started", "told") and ("progress", "told", 9) in told and told[-1][0] == "ended"
