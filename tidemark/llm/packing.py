@@ -27,24 +27,44 @@ from .common import slices, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: Python's str.split() also splits at these, which Unicode doesn't count as white space.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Letters of which each has one lower-case form and no composition, then marks that never join letters.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of text taken together, and an odd multiplier of the rolling hash with its inverse modulo 2**64.
+CHUNK_BYTES = 4 << 20
+ROLL = 0x9E3779B97F4A7C15
+UNROLL = pow(ROLL, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-    With words=True the tokenizer must drop white space and never join across it; the ids of a text are then those of
-    its words in turn, and the ids of up to `limit` words are kept.
+    With words=True the tokenizer must lower-case, drop white space and split letters from marks; the ids of a text are then those
+    of its words in turn, and of a plain word those of its letters and its marks. Words of many texts are hashed at once (64 bits),
+    and each different one is looked up in a table of up to `limit` words, from which the longest unused go.
     """
 
     _open: dict[tuple[str, bool], WordTokenizer] = {}
 
-    def __init__(self, path: str, words: bool, limit: int = 300_000):
+    def __init__(self, path: str, words: bool, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.limit, self.known = Tokenizer.from_file(path), words, limit, {}
+        self.tokenizer, self.words, self.limit, self.round = Tokenizer.from_file(path), words, limit, 0
+        self.letters, self.older, self.marks = {}, {}, {"": b""}
+        self.keys, self.start, self.size, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        samples = ["word", "straße", "élan", "a", "internationalisation"]
+        self.direct = words and [self._model(w) for w in samples] == self._encode(samples)
 
     @classmethod
     def of(cls, path: str, words: bool) -> WordTokenizer:
@@ -56,18 +76,137 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, letters: str) -> bytes:
+        """The ids of lower-case letters, by the tokenizer's model alone: its alphabet shows each byte as one character."""
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.shown)
+        return np.array([x.id for x in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+
+    def _of_letters(self, letters: str) -> bytes:
+        ids = self.letters.get(letters)
+        if ids is None:
+            ids = self.older.get(letters)
+            if ids is None:
+                ids = self._model(letters) if self.direct else self._encode([letters])[0]
+            if len(self.letters) > self.limit // 3:
+                self.older, self.letters = self.letters, {}
+            self.letters[letters] = ids
+        return ids
+
+    def _of_marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[marks] = self._encode([marks])[0]
+        return self.marks[marks]
+
+    def _of_word(self, word: str) -> bytes:
+        match = PLAIN.fullmatch(word)
+        return self._of_letters(match[1].lower()) + self._of_marks(match[2]) if match else self._encode([word])[0]
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = [*map(self._of_word, words)]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self._keep(np.concatenate([self.keys, keys]), np.concatenate([self.start, start]), np.concatenate([self.size, size]), np.concatenate([self.used, np.full(len(keys), self.round)]))
+
+    def _keep(self, keys: np.ndarray, start: np.ndarray, size: np.ndarray, used: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.start, self.size, self.used = keys[order], start[order], size[order], used[order]
+
+    def _forget(self) -> None:
+        """Halves the table, the longest unused words first, once it exceeds its limit."""
+        if len(self.keys) <= self.limit:
+            return
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+        self.keys, self.start, self.size, self.used = self.keys[kept], self.start[kept], self.size[kept], self.used[kept]
+        self.flat = self.flat[spans(self.start, self.size)]
+        self.start = np.cumsum(self.size) - self.size
+
+    def _chunk(self, texts: list[bytes]) -> list[bytes]:
+        data = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(data, np.uint8)
+        blank = BLANK[raw]
+        change = np.flatnonzero(np.diff(blank, prepend=True))
+        starts, ends = change[::2], change[1::2]
+        if not len(starts):
+            return [b""] * len(texts)
+        forward, back = _powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * forward[: len(raw)], out=sums[1:])
+        found, inverse = np.unique((sums[ends] - sums[starts]) * back[starts], return_inverse=True)
+        self.round += 1
+        at = np.searchsorted(self.keys, found)
+        new = np.ones(len(found), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != found
+        if new.any():
+            place = np.empty(len(found), np.int64)
+            place[inverse] = np.arange(len(inverse))
+            some = place[new]
+            self._learn(found[new], [data[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist())])
+            at = np.searchsorted(self.keys, found)
+        self.used[at] = self.round
+        size = self.size[at][inverse]
+        ids = self.flat[spans(self.start[at][inverse], size)]
+        limits = np.cumsum([len(t) + 1 for t in texts])
+        ends_of = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, limits)].tolist()
+        self._forget()
+        return [ids[s:e].tobytes() for s, e in zip([0, *ends_of], ends_of)]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Texts longer than a chunk are parted at white space."""
+        if not self.words:
+            return [x for t in texts for x in self._encode([t])]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            for (i, _), ids in zip(held, self._chunk([x for _, x in held])):
+                out[i].append(ids)
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            for part in parted(text.encode()):
+                if held and size + len(part) > CHUNK_BYTES:
+                    flush()
+                held.append((i, part))
+                size += len(part)
+        if held:
+            flush()
+        return [b"".join(x) for x in out]
+
     def ids(self, text: str) -> bytes:
-        if not self.words or SEPARATORS.search(text):
-            return self._encode([text])[0]
-        words = text.split()
-        parts = [*map(self.known.get, words)]
-        if None in parts:
-            new = [*{w for w, x in zip(words, parts) if x is None}]
-            found = dict(zip(new, self._encode(new)))
-            if len(self.known) < self.limit:
-                self.known.update(found)
-            parts = [found[w] if x is None else x for w, x in zip(words, parts)]
-        return b"".join(parts)
+        return self.many([text])[0]
+
+
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of ROLL and of its inverse, n or more, kept per worker unless they are for a single immense word."""
+    if _tables and len(_tables[0]) >= n:
+        return _tables
+    made = [powers(ROLL, max(n, 5 << 20)), powers(UNROLL, max(n, 5 << 20))]
+    if n <= 5 << 20:
+        _tables[:] = made
+    return made
+
+
+def parted(text: bytes) -> Iterator[bytes]:
+    """Parts of at most CHUNK_BYTES that end before white space; longer only where a word is."""
+    at = 0
+    while len(text) - at > CHUNK_BYTES:
+        cut = max(text.rfind(blank, at + 1, at + CHUNK_BYTES) for blank in (b" ", b"\n", b"\t", b"\r"))
+        if cut < 0:
+            cut = min((x for x in (text.find(blank, at + CHUNK_BYTES) for blank in (b" ", b"\n", b"\t", b"\r")) if x >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Every place of the spans in turn."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 4096, words: bool = True, with_ids: bool = False) -> DataFrame:
@@ -78,10 +217,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(tokenizer_path, words)
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokenizer.ids(text.as_py() or "") + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), tokenizer.many([x.as_py() or "" for x in batch.column(1)])):
+                ids = found + end
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     row = (doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None)
