@@ -228,3 +228,18 @@ def test_a_damaged_member_is_read_again_alone(folder, times, works):
 
 def test_slices_are_bounded():
     assert SLICE_ROWS <= 1024
+
+
+def test_a_small_table_and_small_chunks_give_the_same_ids(path, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 50)
+    small, whole = packing.WordTokenizer(path, True, 40), packing.WordTokenizer(path, False)
+    texts = [" ".join(f"Wörter{i % 90},\t{i}th <|endoftext|> ÉTÉ!! a\x1cb x y" for i in range(k, k + 5)) for k in range(60)] + ["", " ", "x" * 300, "\n\n"]
+    for _ in range(2):
+        assert small.many(texts) == [whole.ids(t) for t in texts]
+    assert len(small.keys) <= 40 and small.direct
+
+
+def test_copies_of_a_row_spread_over_groups(spark):
+    parts = spark.range(4000).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "600L AS length", "1L AS ids_crc32")
+    rows = packing.pack(parts, group_rows=500).collect()
+    assert len({r.sequence_id >> 28 for r in rows}) > 4 and check_packed(rows, 4096) <= 4000 // 6 + 8

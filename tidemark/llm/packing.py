@@ -267,7 +267,7 @@ def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_cost: floa
 
 
 def _placed(table: pa.Table, first: int, **limits) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    order = np.lexsort([table[c].fill_null(-1).to_numpy() for c in ("ids_crc32", "piece", "doc_id", "length")])[::-1]
+    order = np.lexsort([table[c].fill_null(-1).to_numpy() for c in ("row", "ids_crc32", "piece", "doc_id", "length")])[::-1]
     table = table.take(pa.array(order))
     bins, offsets, left = best_fit(table["length"].to_numpy(), **limits)
     table = table.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
@@ -286,14 +286,14 @@ def _group_packer(base: int, cut: float, last: bool, limits: dict):
 def pack(parts: DataFrame, max_tokens: int = 4096, max_docs: int = 4096, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.001, 0.001), rule: str = "norm", group_rows: int = 8192, slack: float = 0.002) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32) with the sequence and offset of each.
 
-    Groups hold group_rows pieces on average. Sequences with more than slack of their tokens unused are packed
+    Groups hold group_rows pieces on average, dealt by row, so that copies of a row spread. Sequences with more than slack of their tokens unused are packed
     again with those of the other groups; their number falls from round to round until one group holds them.
     """
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
     limits = {"max_tokens": max_tokens, "max_docs": max_docs, "max_cost": float(max_tokens) ** 2 if max_cost is None else max_cost, "weights": weights, "rule": rule}
     columns = [x.split()[0] for x in PIECES.split(", ")]
-    todo, done, stage = written(parts.select(*columns), "pieces"), [], 0
+    todo, done, stage = written(parts.select(*columns, F.monotonically_increasing_id().alias("row")), "pieces"), [], 0
     before = None
     while True:
         rows = todo.count()
@@ -302,14 +302,14 @@ def pack(parts: DataFrame, max_tokens: int = 4096, max_docs: int = 4096, max_cos
         base, cut = stage << 56, slack * max_tokens
 
         placed = _group_packer(base, 0 if last else cut, last, limits)
-        spread = F.pmod(F.xxhash64("doc_id", "piece", F.lit(stage)), F.lit(groups)).alias("part")
-        out = todo.select(*columns, spread).groupBy("part").applyInArrow(placed, PACKED + ", poor boolean")
+        spread = F.pmod(F.xxhash64("row", F.lit(stage)), F.lit(groups)).alias("part")
+        out = todo.select(*columns, "row", spread).groupBy("part").applyInArrow(placed, PACKED.replace(", sequence_id", ", row long, sequence_id") + ", poor boolean")
         if last:
-            done.append(out.drop("poor"))
+            done.append(out.drop("poor", "row"))
             break
         out = written(out, "packed")
-        done.append(out.where(~F.col("poor")).drop("poor"))
-        todo, before, stage = out.where("poor").select(*columns), rows, stage + 1
+        done.append(out.where(~F.col("poor")).drop("poor", "row"))
+        todo, before, stage = out.where("poor").select(*columns, "row"), rows, stage + 1
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)
