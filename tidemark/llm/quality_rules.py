@@ -1,7 +1,7 @@
 """Line-first cleaning by rules, in DataFrame functions only.
 
 Each line with a word is judged alone. It fails as
-- punctuation: it has no sentence end although it has ten words or more, it has three words or fewer without a sentence end, it has
+- punctuation: it has no sentence end and either three words or fewer, or ten or more of which fewer than half differ; it has
   more symbols than a third of its words, or more than half as many exclamation and question marks as words;
 - navigation: three or more separators, which are a seventh of its words or more;
 - boilerplate: at most 40 words, among them a phrase of BOILERPLATE.
@@ -75,7 +75,8 @@ def judged_lines(text: Column) -> Column:
     def failed(x: Column) -> Column:
         line, n = x["line"], x["words"]
         ends = line.rlike(SENTENCE_END)
-        punctuation = (~ends & ((n >= 10) | (n <= 3))) | (3 * count(line, SYMBOL) > n) | (2 * count(line, "[!?]") > n)
+        few = (n >= 10) & (2 * F.size(F.array_distinct(words_of(line))) < n)
+        punctuation = (~ends & ((n <= 3) | few)) | (3 * count(line, SYMBOL) > n) | (2 * count(line, "[!?]") > n)
         separators = count(line, SEPARATOR)
         navigation = (separators >= 3) & (7 * separators >= n)
         boilerplate = (n <= 40) & F.lower(line).rlike("|".join(BOILERPLATE))

@@ -120,7 +120,7 @@ WITH w AS (
   SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
 ), judged AS (
   SELECT doc_id, line, n,
-    (NOT regexp_matches(line, '[.!?…。！？؟।]') AND (n >= 10 OR n <= 3))
+    (NOT regexp_matches(line, '[.!?…。！？؟।]') AND (n <= 3 OR n >= 10 AND 2 * len(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) < n))
     OR 3 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n
     OR 2 * len(regexp_extract_all(line, '[!?]')) > n
     OR (len(regexp_extract_all(line, '[|»›•·]')) + len(regexp_extract_all(line || ' ', '(^|\s)[>/]\s')) >= 3
