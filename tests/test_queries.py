@@ -106,3 +106,11 @@ def test_export(rows, tmp_path):
 def test_labels_and_classes(spark):
     assert spark.sql("SELECT map('b', '2', 'a', '1') AS m").select(records.run_label(F.col("m"))).first()[0] == "a=1 b=2"
     assert [records.field_class(*x) for x in (("string",), ("complex",), ("bool",), ("uint", "value_to_text"), ("float",))] == ["event", "blob", "categorical", "categorical", "numeric"]
+
+
+def test_states_by_frame_are_those_of_whole_runs(spark):
+    from tidemark.operators import decimate
+
+    rows = spark.createDataFrame([(r, i // 3, i, i, v) for r in (1, 2) for i, v in enumerate(["a", "a", None, None, "b", "b", "b", "b", "b", "a", None, "a", "a"])], "run_id int, frame int, axis long, seq long, state string")
+    whole, framed = (decimate.states(rows, ["run_id"], 1, 12, "state", f).orderBy("run_id", "run_no").collect() for f in (None, "frame"))
+    assert whole == framed and [r.raw for r in whole if r.run_id == 1] == ["a", None, "b", "a", None, "a"]

@@ -50,13 +50,23 @@ def from_stats(frames: DataFrame, keys: list[str], buckets: Buckets) -> DataFram
     return spine.join(sums, [*keys, "bucket"], "left").select(*keys, "bucket", buckets.centre(F.col("bucket")).alias("x"), "min", "max", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def states(series: DataFrame, keys: list[str], start, end, value: str = "value") -> DataFrame:
-    """keys, run_no, x0, x1, raw, absent: maximal runs of one value; a run lasts until the next begins, the last one to the end."""
-    order = Window.partitionBy(*keys).orderBy("axis", "seq")
-    rows = in_window(series, start, end).select(*keys, "axis", "seq", F.col(value).alias("raw"))
-    previous, first = F.lag("raw").over(order), F.row_number().over(order) == 1
-    flagged = rows.withColumn("begins", first | ~F.col("raw").eqNullSafe(previous))
-    return _bands(flagged.where("begins"), keys, end)
+def states(series: DataFrame, keys: list[str], start, end, value: str = "value", frame: str | None = None) -> DataFrame:
+    """keys, run_no, x0, x1, raw, absent: maximal runs of one value; a run lasts until the next begins, the last one to the end.
+
+    With a frame column (which grows with the axis) changes are found per frame, so that one long run of a stream is many tasks; only
+    the first record of a frame is compared with the frame before, by way of one row per frame.
+    """
+    parts = [*keys, frame] if frame else keys
+    order = Window.partitionBy(*parts).orderBy("axis", "seq")
+    rows = in_window(series, start, end).select(*parts, "axis", "seq", F.col(value).alias("raw"))
+    flagged = rows.withColumn("leads", F.row_number().over(order) == 1).withColumn("changes", ~F.col("raw").eqNullSafe(F.lag("raw").over(order)))
+    begun = flagged.where(F.col("leads") | F.col("changes"))
+    if frame:
+        last = rows.groupBy(*parts).agg(F.max_by(F.struct("raw"), F.struct("axis", "seq")).alias("last"))
+        before = last.select(*parts, F.lag("last").over(Window.partitionBy(*keys).orderBy(frame)).alias("before"))
+        begun = begun.join(before, parts, "left")
+        begun = begun.where(~F.col("leads") | F.col("before").isNull() | ~F.col("raw").eqNullSafe(F.col("before.raw")))
+    return _bands(begun, keys, end)
 
 
 def _bands(begun: DataFrame, keys: list[str], end) -> DataFrame:

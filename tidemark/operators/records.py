@@ -25,13 +25,15 @@ def record_page(records: DataFrame, frames: DataFrame, start, end, offset: int =
     """Records offset to offset + limit of a window, in frame order.
 
     A frame that lies wholly inside the window is skipped by its count if it ends before the page even when all records of the
-    frames before it are in the window; only the other frames are read. The running sum is over the index, one row per frame.
+    frames before it are in the window; only the other frames are read. Running sums are per segment, over the index.
     """
     limit = min(limit if limit > 0 else DEFAULT_PAGE, LARGEST_PAGE)
     hit = overlapping(frames, start, end, run)
     exact = F.when(inside(start, end), F.col("count")).otherwise(F.lit(0))
-    order = Window.orderBy("segment", "run_id", "frame")
-    run_sum = hit.withColumn("sure", exact).withColumn("most_to", F.sum("count").over(order))
+    sums = hit.groupBy("segment").agg(F.sum("count").alias("own"))
+    before = sums.select("segment", (F.sum("own").over(Window.orderBy("segment")) - F.col("own")).alias("before"))
+    within = F.sum("count").over(Window.partitionBy("segment").orderBy("run_id", "frame"))
+    run_sum = hit.withColumn("sure", exact).withColumn("within", within).join(before, "segment").withColumn("most_to", F.col("before") + F.col("within"))
     skippable = (F.col("sure") > 0) & (F.col("most_to") <= F.lit(offset))
     wanted = run_sum.where(~skippable)
     skipped = run_sum.where(skippable).agg(F.coalesce(F.sum("sure"), F.lit(0))).first()[0]

@@ -47,7 +47,7 @@ def states(records: DataFrame, stats: DataFrame, start, end, points: int = DEFAU
     if frames > most_frames:
         return decimate.states_from_stats(hit, ["run_id"], start, end).select(*columns, F.lit("stats").alias("tier"))
     rows = _of_run(records, run)
-    runs = decimate.states(rows, ["run_id"], start, end, value).withColumn("mixed", F.lit(False))
+    runs = decimate.states(rows, ["run_id"], start, end, value, "frame").withColumn("mixed", F.lit(False))
     most = runs.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
     out = runs if most <= points else decimate.states_bucketed(rows, ["run_id"], Buckets(start, end, points), value)
     return out.select(*columns, F.lit("exact").alias("tier"))

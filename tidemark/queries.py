@@ -180,7 +180,7 @@ SELECT run_id, (row_number() OVER o)::INT AS run_no, axis AS x0, coalesce(lead(a
 
 @query(f"WITH {REC}, {_rle_sql()}")
 def states_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decimate.states(recording(spark, sf_dir), ["run_id"], START, END, "state")
+    return decimate.states(recording(spark, sf_dir), ["run_id"], START, END, "state", "frame")
 
 
 @query(f"""WITH {REC}, w AS (SELECT run_id, state, {_share(START, END, 40)} AS bucket FROM rec WHERE axis BETWEEN {START} AND {END}),
