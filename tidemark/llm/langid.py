@@ -7,7 +7,7 @@ cross-entropy per event (a character or a word end). A fifth of the sample is le
 the scale of the scores and, for each language, the cross-entropy beyond which a text is rejected as none of the languages.
 
 The sample is bounded: about SAMPLE_DOCS documents a language, taken by a hash of their ids, of at most SAMPLE_CHARS characters each
-(longer documents aren't taken), so that the models are fitted on the driver. Every text is predicted whole.
+(longer documents aren't taken), of the MAX_LANGUAGES most frequent languages, so that the models are fitted on the driver. Every text is predicted whole.
 
 Defined results: und with score 0 if a text is null or has no letter, or if no language could be learned;
 rows with equal ids are predicted apart; an empty table gives no rows; other columns are ignored.
@@ -29,6 +29,7 @@ from .common import slices
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
+MAX_LANGUAGES = 256
 WORDS = re.compile(r"[^\W\d_]+")
 START, STOP = "\x02", "\x03"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -181,7 +182,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def training_sample(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(text, lang) of about sample_docs documents a language among the rows that `learn` allows."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = None
     for lang, n in sorted(counts.items()):
