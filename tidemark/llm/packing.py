@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import give_back, slices, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -31,7 +31,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Bytes of text taken together, and an odd multiplier of the rolling hash with its inverse modulo 2**64.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 ROLL = 0x9E3779B97F4A7C15
 UNROLL = pow(ROLL, -1, 1 << 64)
 
@@ -87,7 +87,7 @@ class WordTokenizer:
             ids = self.older.get(letters)
             if ids is None:
                 ids = self._model(letters) if self.direct else self._encode([letters])[0]
-            if len(self.letters) > self.limit // 3:
+            if len(self.letters) > self.limit // 6:
                 self.older, self.letters = self.letters, {}
             self.letters[letters] = ids
         return ids
@@ -186,8 +186,8 @@ def _powers(n: int) -> list[np.ndarray]:
     """Powers of ROLL and of its inverse, n or more, kept per worker unless they are for a single immense word."""
     if _tables and len(_tables[0]) >= n:
         return _tables
-    made = [powers(ROLL, max(n, 5 << 20)), powers(UNROLL, max(n, 5 << 20))]
-    if n <= 5 << 20:
+    made = [powers(ROLL, max(n, 3 << 20)), powers(UNROLL, max(n, 3 << 20))]
+    if n <= 3 << 20:
         _tables[:] = made
     return made
 
@@ -228,6 +228,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: in
                         column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
