@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, packing, quality_rules, simhash
+from tidemark.llm import line_dedup, mixing, near_copies, packing, quality_rules, simhash
 from tidemark.llm.common import written
 from tidemark.llm.queries import documents, tokenizer_path
 
@@ -40,8 +40,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the target weights of the sources take it."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Near copies go, of five-word shingles with a similarity of 0.8 or more; each document left as often as the target weights of the sources take it."""
+    return mixing.mix(near_copies.without_copies(docs)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,12 +49,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row_id, doc): the rows of docs as one struct column, each with a number of its own that stays."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc")), "numbered")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, on whichever file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() wrote, and lets the driver find shuffle files that are no longer in use."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            removed(df.sparkSession, path)
+        df.sparkSession._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
