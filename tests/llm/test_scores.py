@@ -171,3 +171,16 @@ def test_targets_fill_caps_and_share_the_rest(spark):
 def test_mix_reruns_agree_and_meet_targets(spark, sf):
     one, two = (sorted(map(tuple, queries.op10_mixing(spark, sf).collect())) for _ in range(2))
     assert one == two
+
+
+def test_every_language_is_learned(spark):
+    """More labels than 256, each with its own letters, and one whose documents are all long."""
+    rows = [(10 * k + i, f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)} " * (9 + i), f"l{k:03}") for k in range(300) for i in range(5)]
+    rows += [(9000 + i, "habari ya dunia " * 2000, "long") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, F.lit(True))
+    assert {lang for _, lang in sample} == {r[2] for r in rows} and max(len(t) for t, _ in sample) <= langid.SAMPLE_CHARS
+    found = langid.identify(docs, langid.LanguageModels(sample)).join(docs, "doc_id").collect()
+    assert len(found) == len(rows) and all(r.lang_pred == r.lang for r in found)
+    fewer = langid.training_sample(docs, F.lit(True), sample_docs=1)
+    assert {lang for _, lang in fewer} == {r[2] for r in rows} and len(fewer) < len(sample)

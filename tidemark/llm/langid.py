@@ -6,8 +6,9 @@ of their contexts are kept in arrays sorted by hash and found by bisection. A te
 cross-entropy per event (a character or a word end). A fifth of the sample is left out of the counts and calibrates
 the scale of the scores and, for each language, the cross-entropy beyond which a text is rejected as none of the languages.
 
-The sample is bounded: about SAMPLE_DOCS documents a language, taken by a hash of their ids, of at most SAMPLE_CHARS characters each
-(longer documents aren't taken), of the MAX_LANGUAGES most frequent languages, so that the models are fitted on the driver. Every text is predicted whole.
+The sample is bounded: about SAMPLE_DOCS documents a language, taken by a hash of their ids, and of longer ones an excerpt of SAMPLE_CHARS
+characters at a place drawn by another hash. Every language that occurs with a letter is learned; where there are many, each has fewer and shorter excerpts
+(TOTAL_DOCS and TOTAL_CHARS, but LEAST_DOCS and LEAST_CHARS each), so that the models are fitted on the driver. Every text is predicted whole.
 
 Defined results: und with score 0 if a text is null or has no letter, or if no language could be learned;
 rows with equal ids are predicted apart; an empty table gives no rows; other columns are ignored.
@@ -24,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SLICE_ROWS, slices, written
 
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 256
+TOTAL_DOCS, TOTAL_CHARS = 100_000, 40_000_000
+LEAST_DOCS, LEAST_CHARS = 5, 200
 WORDS = re.compile(r"[^\W\d_]+")
 START, STOP = "\x02", "\x03"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 KNOWN_WORDS = 300_000
+#: The most scores of kept words, and of the documents of one step (about), over all languages.
+KNOWN_SCORES, STEP_SCORES = 80_000_000, 1 << 16
 
 
 def hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -157,7 +161,7 @@ class LanguageModels:
         return self.batch_entropies([words])[0]
 
     def batch_entropies(self, docs: list[dict[str, int]]) -> np.ndarray:
-        """Cross-entropy per event of each document, which has a word at least, in each language. Up to KNOWN_WORDS words are kept."""
+        """Cross-entropy per event of each document, which has a word at least, in each language. Up to KNOWN_WORDS words and KNOWN_SCORES scores are kept."""
         new = [*{w for d in docs for w in d if w not in self.known}]
         if new:
             base = len(self.table) if len(self.table) else 0
@@ -169,7 +173,7 @@ class LanguageModels:
             at, n = np.fromiter(map(self.known.__getitem__, d), np.int64, len(d)), np.fromiter(d.values(), float, len(d))
             events = sum((len(w) + 1) * k for w, k in d.items())
             out[i] = -(n[:, None] * self.table[at]).sum(axis=0) / events
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > min(KNOWN_WORDS, KNOWN_SCORES // len(self.langs)):
             self.known, self.table = {}, self.table[:0]
         return out
 
@@ -180,17 +184,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(text, lang) of about sample_docs documents a language among the rows that `learn` allows."""
-    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    """(text, lang) of about sample_docs excerpts a language, one at least, among the rows that `learn` allows."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = None
-    for lang, n in sorted(counts.items()):
-        one = (F.col("lang") == lang) & (draw < F.lit(sample_docs / n))
-        wanted = one if wanted is None else wanted | one
-    if wanted is None:
-        return []
-    return [(r.text, r.lang) for r in usable.where(wanted).select("doc_id", "text", "lang").orderBy("doc_id", "text").collect()]
+    drawn = rows.select("doc_id", "lang", "text", draw.alias("draw"))
+    langs = written(drawn.groupBy("lang").agg(F.count("*").alias("of"), F.min("draw").alias("least")), "languages")
+    n = max(1, langs.count())
+    most = min(sample_docs, max(LEAST_DOCS, TOTAL_DOCS // n))
+    chars = min(sample_chars, max(LEAST_CHARS, TOTAL_CHARS // (n * most)))
+    taken = drawn.join(F.broadcast(langs), "lang").where((F.col("draw") < F.lit(most) / F.col("of")) | (F.col("draw") == F.col("least")))
+    place = lambda text: F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.char_length(text) - chars + 1))
+    return [(r.text, r.lang) for r in taken.select("doc_id", F.substr("text", (place(F.col("text")) + 1).cast("int"), F.lit(chars)).alias("text"), "lang").orderBy("doc_id", "text", "lang").collect()]
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
@@ -200,7 +204,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, max(1, min(SLICE_ROWS, STEP_SCORES // max(1, len(own.langs))))):
             found = [Counter(WORDS.findall((x.as_py() or "").lower())) for x in batch.column(1)]
             some = [i for i, d in enumerate(found) if d] if own.langs else []
             pred, score, entropy, rejected = ["und"] * len(found), [0.0] * len(found), [None] * len(found), [True] * len(found)
