@@ -114,3 +114,10 @@ def test_states_by_frame_are_those_of_whole_runs(spark):
     rows = spark.createDataFrame([(r, i // 3, i, i, v) for r in (1, 2) for i, v in enumerate(["a", "a", None, None, "b", "b", "b", "b", "b", "a", None, "a", "a"])], "run_id int, frame int, axis long, seq long, state string")
     whole, framed = (decimate.states(rows, ["run_id"], 1, 12, "state", f).orderBy("run_id", "run_no").collect() for f in (None, "frame"))
     assert whole == framed and [r.raw for r in whole if r.run_id == 1] == ["a", None, "b", "a", None, "a"]
+
+
+@pytest.mark.parametrize(("whole", "single"), [("run_passthrough", "envelope_passthrough"), ("run_frames", "frame_prune"), ("run_events", "events_exact")])
+def test_whole_tables_hold_the_single_run(spark, sf, whole, single):
+    rows = entry.queries()[whole](spark, sf)
+    assert rows.select("run_id").distinct().count() > 1
+    assert plain(rows.where(F.col("run_id") == queries.RUN).collect()) == plain(entry.queries()[single](spark, sf).select(*rows.columns).collect())

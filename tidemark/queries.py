@@ -99,6 +99,11 @@ def envelope_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimate.samples(recording(spark, sf_dir).where(F.col("run_id") == RUN), ["run_id"], START, END, "amount")
 
 
+@query(f"WITH {REC} SELECT run_id, axis::DOUBLE AS x, amount AS min, amount AS max, count(amount) OVER (PARTITION BY seq) AS n FROM rec WHERE axis BETWEEN {START} AND {END}")
+def run_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decimate.samples(recording(spark, sf_dir), ["run_id"], START, END, "amount")
+
+
 @query("""WITH f AS (SELECT p_brand AS run_id, p_retailprice AS v, CASE WHEN p_retailprice >= 900 THEN least(9, floor((log10(p_retailprice) - 2.9542425094393248::DOUBLE) / (3.3010299956639813::DOUBLE - 2.9542425094393248::DOUBLE) * 10)::INT) END AS bucket
   FROM part WHERE p_retailprice BETWEEN 900 AND 2000),
 b AS (SELECT run_id, bucket, min(v) AS min, max(v) AS max, count(v)::BIGINT AS n FROM f GROUP BY run_id, bucket),
@@ -162,6 +167,11 @@ def frame_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.overlapping(index.frame_index(recording(spark, sf_dir)), START, END, RUN)
 
 
+@query(f"WITH {REC}, {STATS.format(v='value')} SELECT segment, run_id, frame, \"count\", first, last FROM stats WHERE last >= {START} AND first <= {END}")
+def run_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.overlapping(index.frame_index(recording(spark, sf_dir)), START, END)
+
+
 @query(f"WITH {REC}, {STATS.format(v='value')} SELECT segment, count(*)::BIGINT AS frames, sum(\"count\")::BIGINT AS records, count(DISTINCT run_id)::BIGINT AS runs, max(last) AS last FROM stats GROUP BY segment")
 def segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.segment_totals(index.frame_index(recording(spark, sf_dir)))
@@ -205,6 +215,11 @@ def events_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.exact_events(recording(spark, sf_dir).where(F.col("run_id") == RUN), "text", START, END)
 
 
+@query(f"WITH {REC} SELECT run_id, axis, seq, text FROM rec WHERE text IS NOT NULL AND axis BETWEEN {START} AND {END}")
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiers.exact_events(recording(spark, sf_dir), "text", START, END)
+
+
 @query(f"WITH {REC}, {STATS.format(v='amount')} SELECT run_id, greatest(first, {START}) AS x0, least(last, {END}) AS x1, n_present AS n FROM stats WHERE n_present > 0 AND last >= {START} AND first <= {END}")
 def events_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimate.event_density(index.frame_stats(recording(spark, sf_dir), F.col("amount"), bounds=False), ["run_id"], START, END)
