@@ -158,3 +158,13 @@ def test_digest_of_kept_text(spark, sf):
     docs = [(r.doc_id, r.text) for r in queries.documents(spark, sf).collect()]
     want = {(d, hashlib.sha256(t.encode()).hexdigest(), n, k) for d, t, n, k in brute_lines(docs)}
     assert {(r.doc_id, r.kept_sha256, r.n_lines, r.n_dropped) for r in rows} == want
+
+
+def test_repeated_rows_are_one_document(spark):
+    """Two documents of which one is stored twice aren't three; the lines of a document's rows add up."""
+    line = "a line that stands in only two documents"
+    rows = [(1, line), (2, line), (2, line)]
+    two = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.drop_lines(two).select("n_dropped").collect()} == {0}
+    three = spark.createDataFrame([*rows, (3, line)], "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.drop_lines(three).select("doc.doc_id", "n_dropped").collect())) == [(1, 1), (2, 1), (2, 1), (3, 0)]

@@ -8,8 +8,8 @@ hash of the id.
 
 A line's key is the line without white space (space, U+0009 to U+000D) at its ends and with A-Z lower-cased.
 
-Defined results: a null or empty text is one empty line; rows with equal ids count as so many documents and are treated
-alike; a row with a null id is left as it is and counts for no line; an empty table gives no rows.
+Defined results: a null or empty text is one empty line; rows with equal ids are one document that
+holds the lines of all and are treated alike; a row with a null id is left as it is and counts for no line; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def key_of(line: str, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h1, h2): each long enough key of each document once."""
+    """(doc_id, h1, h2): each long enough key of each row once."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -100,7 +100,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     """(doc_id, keys array<binary>): the keys that each document has to lose."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = written(line_keys(docs, min_chars), "line-keys")
+    keys = written(line_keys(docs, min_chars).distinct(), "line-keys")
     index = LevelledRuns(spark, buckets)
     for k in range(batches):
         part = keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)
