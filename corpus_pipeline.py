@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, mixing, near_copies, packing, quality_rules, simhash
-from tidemark.llm.common import written
+from tidemark.llm.common import numbered, written
 from tidemark.llm.queries import documents, tokenizer_path
 
 
@@ -33,10 +33,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the least id; documents with a null id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays: that of the least id, null ids last, of equal ones the first."""
+    rows = numbered(docs)
+    found = simhash.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "doc.text"))
+    grouped = found.select(F.col("doc_id").alias("row_id"), "component_id").join(rows.select("row_id", F.col("doc.doc_id").alias("doc_id")), "row_id")
+    stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))["row_id"].alias("row_id"))
+    return rows.join(stays, "row_id", "left_semi").select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

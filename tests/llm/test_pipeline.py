@@ -51,3 +51,12 @@ def test_odd_rows_pass_every_stage(spark, odd, none, sf):
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
         for _, f in corpus_pipeline.STAGES:
             f(spark, odd, sf).collect()
+
+
+def test_one_row_of_each_group_stays(spark, sf):
+    """Repeated rows, null ids, and two texts under one id."""
+    same, other, third = "one text that is stored a few times over", "quite another text that has the same id", "a text which only rows without an id have"
+    rows = [(1, same), (1, same), (2, same), (None, same), (2, other), (2, other), (None, third), (None, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = stage("simhash")(spark, docs, sf).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([(1, same), (2, other), (None, third)], key=repr)
