@@ -243,3 +243,38 @@ def test_copies_of_a_row_spread_over_groups(spark):
     parts = spark.range(4000).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "600L AS length", "1L AS ids_crc32")
     rows = packing.pack(parts, group_rows=500).collect()
     assert len({r.sequence_id >> 28 for r in rows}) > 4 and check_packed(rows, 4096) <= 4000 // 6 + 8
+
+
+def thue_morse(n):
+    """Two words of 2**n letters each that a polynomial modulo a power of two can't tell apart."""
+    word = ""
+    for i in range(1 << n):
+        word += "ab"[i.bit_count() & 1]
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_any_length_have_their_own_ids(path):
+    texts = [*thue_morse(10), *thue_morse(5), *thue_morse(6), "x" * 63, "x" * 64, "x" * 65, "é" * 50_000, "ab" * 50_000, "wörd" * 16]
+    fast, whole = packing.WordTokenizer(path, True), packing.WordTokenizer(path, False)
+    assert fast.many(texts) == [whole.ids(t) for t in texts]
+    assert fast.many([" ".join(texts)]) == [whole.ids(" ".join(texts))]
+
+
+def test_equal_hashes_of_different_words_are_found(path):
+    """With a table that gives every word one key, the second hash tells, and texts are tokenized whole."""
+    fast, whole = packing.WordTokenizer(path, True), packing.WordTokenizer(path, False)
+    fast.tables[0] = fast.tables[0] * 0
+    texts = ["one two three", "two", "one"]
+    assert fast.many(texts) == [whole.ids(t) for t in texts] and fast.many(["three"]) == [whole.ids("three")]
+    assert fast.many(["one", "one"]) == [whole.ids("one")] * 2
+
+
+def test_every_id_of_documents(spark, sf, path):
+    tokenizer = Tokenizer.from_file(path)
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in queries.op1_best_fit_packing(spark, sf).collect()}
+    want = {}
+    for r in queries.documents(spark, sf).collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1]
+        for i in range(0, len(ids), 4096):
+            want[r.doc_id, i // 4096] = (i, len(ids[i : i + 4096]), zlib.crc32(np.array(ids[i : i + 4096], "<u4").tobytes()))
+    assert got == want

@@ -4,7 +4,8 @@ Every document is tokenized whole, closed by an end id and cut only where it exc
 by hash into groups of bounded size; within a group a vector best-fit places pieces, longest first, into the
 open bin that the residual token, document-count and attention-cost capacities favour: least weighted residual
 norm, or greatest weighted dot product of demand and residual. Every constraint must hold. What each group leaves in
-poorly filled bins is dealt again, so that the number of part-filled bins doesn't grow with the number of groups.
+poorly filled bins is dealt again, as long as that at least halves it or until one group holds it, so that the number of part-filled
+bins doesn't grow with the number of groups; pieces that no others complete (such as halves and a bit) stay as they are.
 
 Defined results: a null or empty text is one piece holding the end id only; a repeated row is packed again; a null id
 stays null; an empty table gives no rows; other columns of the input are ignored.
@@ -23,31 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, slices, written
+from .words import random_table, word_hashes, word_spans
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 #: Letters of which each has one lower-case form and no composition, then marks that never join letters.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: Bytes of text taken together, and an odd multiplier of the rolling hash with its inverse modulo 2**64.
+#: Bytes of text taken together.
 CHUNK_BYTES = 2 << 20
-ROLL = 0x9E3779B97F4A7C15
-UNROLL = pow(ROLL, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
 
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     With words=True the tokenizer must lower-case, drop white space and split letters from marks; the ids of a text are then those
-    of its words in turn, and of a plain word those of its letters and its marks. Words of many texts are hashed at once (64 bits),
-    and each different one is looked up in a table of up to `limit` words, from which the longest unused go.
+    of its words in turn, and of a plain word those of its letters and its marks. Words of many texts are hashed at once, by random
+    tables of this process, and each different one is looked up in a table of up to `limit` words, from which the longest unused go.
+    A second hash is compared for every word; where it differs, the texts are tokenized whole.
     """
 
     _open: dict[tuple[str, bool], WordTokenizer] = {}
@@ -58,7 +52,8 @@ class WordTokenizer:
 
         self.tokenizer, self.words, self.limit, self.round = Tokenizer.from_file(path), words, limit, 0
         self.letters, self.older, self.marks = {}, {}, {"": b""}
-        self.keys, self.start, self.size, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.tables = [random_table(), random_table()]
+        self._keep(*np.zeros((2, 0), np.uint64), *np.zeros((3, 0), np.int64))
         self.flat = np.zeros(0, "<u4")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
@@ -103,46 +98,46 @@ class WordTokenizer:
         match = PLAIN.fullmatch(word)
         return self._of_letters(match[1].lower()) + self._of_marks(match[2]) if match else self._encode([word])[0]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
         ids = [*map(self._of_word, words)]
         size = np.array([len(x) // 4 for x in ids], np.int64)
         start = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
-        self._keep(np.concatenate([self.keys, keys]), np.concatenate([self.start, start]), np.concatenate([self.size, size]), np.concatenate([self.used, np.full(len(keys), self.round)]))
+        new = (keys, checks, start, size, np.full(len(keys), self.round))
+        self._keep(*map(np.concatenate, zip((self.keys, self.checks, self.start, self.size, self.used), new)))
 
-    def _keep(self, keys: np.ndarray, start: np.ndarray, size: np.ndarray, used: np.ndarray) -> None:
+    def _keep(self, keys: np.ndarray, checks: np.ndarray, start: np.ndarray, size: np.ndarray, used: np.ndarray) -> None:
         order = np.argsort(keys)
-        self.keys, self.start, self.size, self.used = keys[order], start[order], size[order], used[order]
+        self.keys, self.checks, self.start, self.size, self.used = keys[order], checks[order], start[order], size[order], used[order]
 
     def _forget(self) -> None:
         """Halves the table, the longest unused words first, once it exceeds its limit."""
         if len(self.keys) <= self.limit:
             return
         kept = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
-        self.keys, self.start, self.size, self.used = self.keys[kept], self.start[kept], self.size[kept], self.used[kept]
+        self._keep(self.keys[kept], self.checks[kept], self.start[kept], self.size[kept], self.used[kept])
         self.flat = self.flat[spans(self.start, self.size)]
         self.start = np.cumsum(self.size) - self.size
 
     def _chunk(self, texts: list[bytes]) -> list[bytes]:
         data = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(data, np.uint8)
-        blank = BLANK[raw]
-        change = np.flatnonzero(np.diff(blank, prepend=True))
-        starts, ends = change[::2], change[1::2]
+        starts, ends = word_spans(raw)
         if not len(starts):
             return [b""] * len(texts)
-        forward, back = _powers(len(raw))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * forward[: len(raw)], out=sums[1:])
-        found, inverse = np.unique((sums[ends] - sums[starts]) * back[starts], return_inverse=True)
+        hashed, second = word_hashes(raw, starts, ends, *self.tables)
+        found, inverse = np.unique(hashed, return_inverse=True)
+        place = np.empty(len(found), np.int64)
+        place[inverse] = np.arange(len(inverse))
+        checks = second[place]
         self.round += 1
         at = np.searchsorted(self.keys, found)
         new = np.ones(len(found), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != found
+        if (checks[inverse] != second).any() or (self.checks[at[~new]] != checks[~new]).any():
+            return self._encode([t.decode() for t in texts])
         if new.any():
-            place = np.empty(len(found), np.int64)
-            place[inverse] = np.arange(len(inverse))
             some = place[new]
-            self._learn(found[new], [data[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist())])
+            self._learn(found[new], checks[new], [data[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist())])
             at = np.searchsorted(self.keys, found)
         self.used[at] = self.round
         size = self.size[at][inverse]
@@ -179,19 +174,6 @@ class WordTokenizer:
         return self.many([text])[0]
 
 
-_tables: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of ROLL and of its inverse, n or more, kept per worker unless they are for a single immense word."""
-    if _tables and len(_tables[0]) >= n:
-        return _tables
-    made = [powers(ROLL, max(n, 3 << 20)), powers(UNROLL, max(n, 3 << 20))]
-    if n <= 3 << 20:
-        _tables[:] = made
-    return made
-
-
 def parted(text: bytes) -> Iterator[bytes]:
     """Parts of at most CHUNK_BYTES that end before white space; longer only where a word is."""
     at = 0
@@ -288,7 +270,7 @@ def pack(parts: DataFrame, max_tokens: int = 4096, max_docs: int = 4096, max_cos
     """parts (doc_id, piece, start, length, ids_crc32) with the sequence and offset of each.
 
     Groups hold group_rows pieces on average, dealt by row, so that copies of a row spread. Sequences with more than slack of their tokens unused are packed
-    again with those of the other groups; their number falls from round to round until one group holds them.
+    again with those of the other groups, until one group holds them or a round leaves more than half of them.
     """
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
