@@ -114,35 +114,51 @@ def test_a_document_of_navigation_is_rejected(spark):
 
 
 def brute_scores(texts):
-    counts = Counter(t[max(0, i + 1 - k) : i + 1] for t in texts for i in range(len(t)) for k in (1, 2, 3) if k <= i + 1)
-    total = sum(map(len, texts))
-    out = []
-    for t in texts:
+    """(words, score) of each text under the counts of the others."""
+    lower = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    docs = [[lower(w) for w in WORD.findall(t or "")] for t in texts]
+    own = [Counter(tuple(d[i + 1 - k : i + 1]) for i in range(len(d)) for k in (1, 2, 3) if k <= i + 1) for d in docs]
+    counts, total, out = sum(own, Counter()), sum(map(len, docs)), []
+    for d, mine in zip(docs, own):
+        left = lambda g: counts[g] - mine[g] if g else total - len(d)  # noqa: B023, E731
         s = 0.0
-        for i in range(len(t)):
-            penalty = 0.0
+        for i in range(len(d)):
             for k in range(min(3, i + 1), 0, -1):
-                gram = t[i + 1 - k : i + 1]
-                if k == 1:
-                    s += penalty + math.log(counts[gram] / total)
-                elif counts[gram] >= 2:
-                    s += penalty + math.log(counts[gram] / counts[gram[:-1]])
+                gram = tuple(d[i + 1 - k : i + 1])
+                if left(gram) > 0:
+                    s += math.log(left(gram) / left(gram[:-1]))
                     break
-                penalty += math.log(0.4)
-        out.append(s)
+                s += math.log(0.4) if k > 1 else -math.log(left(()) + 1)
+        out.append((len(d), s))
     return out
 
 
 def test_stupid_backoff_of_odd_rows(odd, none):
     rows = lm_score.scores(odd).collect()
-    texts = [r.text or "" for r in odd.collect()]
-    want = sorted(zip([len(t) for t in texts], brute_scores(texts)))
-    got = sorted((r.n_chars, r.score) for r in rows)
+    want, got = sorted(brute_scores([r.text for r in odd.collect()])), sorted((r.n_words, r.score) for r in rows)
     assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
-    assert all((r.mean_score is None) == (r.n_chars == 0) for r in rows)
+    assert all((r.mean_score is None) == (r.n_words == 0) for r in rows)
     assert lm_score.scores(none).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [200, 3000, 1 << 20])
+def test_scores_of_many_blocks_and_parts(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(lm_score, "PART_GRAMS", 300)
+    rng = np.random.default_rng(block_bytes)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, n) % 50) for n in rng.integers(0, 60, 200)] + ["w1 w2 w3 w4"] * 50 + ["The the THE " + "w" * 100]
+    rows = lm_score.scores(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), block_bytes=block_bytes).collect()
+    want = brute_scores(texts)
+    assert len(rows) == len(texts) and all((r.n_words, r.score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1])) for r in rows)
+
+
+def test_a_document_alone_and_one_that_occurs_twice(spark):
+    one = lm_score.scores(spark.createDataFrame([(1, "some words here")], "doc_id long, text string")).first()
+    assert one.score == pytest.approx(3 * math.log(0.4))
+    texts = ["a text that is stored two times"] * 2 + ["another one that occurs only once"]
+    rows = {r.doc_id: r.mean_score for r in lm_score.scores(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert rows[0] == rows[1] > rows[2] + 1
+
+
 def test_mix_of_odd_rows(odd, none):
     rows = mixing.mixing_plan(odd).select("doc.doc_id", "doc.source", "size", "source_size", "target", "taken").collect()
     assert len(rows) == odd.count() and all(r.taken <= 2 * r.size and r.target <= 2 * r.source_size for r in rows)

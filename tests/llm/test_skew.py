@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm import test_dedup, test_scores
-from tidemark.llm import common, line_dedup, lm_score, mixing, simhash
+from tests.llm import test_dedup
+from tidemark.llm import common, line_dedup, mixing, simhash
 
 
 @pytest.fixture(params=[1, 4, 1 << 20])
@@ -30,6 +30,4 @@ def test_operators(spark, odd, slots):
     got = line_dedup.drop_lines(odd).select("doc.doc_id", "kept_text", "n_lines", "n_dropped").collect()
     assert sorted(map(tuple, got), key=repr) == test_dedup.brute_lines(rows)
     assert simhash.near_duplicates(odd).count() == len(rows)
-    texts = [t or "" for _, t in rows]
-    assert sorted(r.score for r in lm_score.scores(odd).collect()) == pytest.approx(sorted(test_scores.brute_scores(texts)))
     assert mixing.mixing_plan(odd).count() == len(rows)

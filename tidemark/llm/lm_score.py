@@ -1,118 +1,155 @@
-"""Language-model scores by stupid backoff over character n-grams, in tables.
-
-Every character of a whole text is a token: the n-gram of it and up to two characters before it. Up to three code points pack
-exactly into a 64-bit key. Counts cover all documents: tokens are counted per document, then over the corpus in
-a table partitioned by hash of the n-gram; counts of shorter n-grams are sums over the longer ones they end. Of order two
-and three, n-grams seen less than min_count times are pruned. A token's score is log(count / count of its context) of
-the longest n-gram left in the table, plus log(backoff) for each order skipped; a single character has its share of all.
-Backing off is resolved once per distinct token, order by order, each order taking what the one above didn't find. The
-exploded tokens are joined with these scores and summed per document; the hot n-grams are joined by broadcast, their number
-bounded by the counts themselves.
-
-Defined results: a null or empty text has no tokens, score 0 and a null mean; each row is scored apart; rows with equal
-ids and texts count as so many documents; an empty table gives no rows; other columns are ignored.
+"""Language-model scores by stupid backoff over word n-grams, each document under the counts of all the others.
+
+A token is a word, A-Z lower-cased, after up to order - 1 words before it. Its score is log(count / count of its context) of the
+longest n-gram that some other document holds, plus log(backoff) for each order skipped; a word that no other holds has one
+in the sum of all words and one. Counts leave out the document's own, or every text would be certain under itself; nothing is pruned.
+
+Documents are written in blocks of about block_bytes, bucketed by block. For each order, the blocks are exploded to their distinct
+n-grams with counts (combined in the block) and dealt by ranges of the n-gram's 64-bit hash; in each such part of the count table the
+counts of all blocks are summed and joined back to each block's n-grams. The sums meet the exploded tokens of their block, from
+which the document's own counts are taken, and are summed per document. N-grams travel packed, as arrays of hashes: a row for each
+would shuffle several times the input. A frequent n-gram is one entry a block, however often it occurs; rows are dealt to blocks by
+number, so copies spread. The tables grow with the corpus: a part has about PART_GRAMS n-grams, a block about block_bytes.
+
+Different n-grams of one hash, of which 10 million have one pair in 400,000 times, would count as one.
+
+Defined results: a null or empty text has no words, score 0 and a null mean; rows with equal ids or texts are so many
+documents; a document alone in its table has only unknown words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted_join, slices, written
+from .common import removed, shared_path, written
+from .words import random_table, word_hashes, word_spans
 
 ORDER = 3
-BITS = 21
 BACKOFF = 0.4
-MIN_COUNT = 2
-
-
-def tokens(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, n_chars, grams array<long>, counts array<int>): the distinct tokens of each document.
-
-    A key has 21 bits for each code point plus one, the last one lowest; an n-gram of fewer code points has zeros above.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sizes, ends, grams, counts = [], [0], [], []
-            for x in batch.column(1):
-                code = np.frombuffer((x.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.int64) + 1
-                key = code.copy()
-                for back in range(1, ORDER):
-                    key[back:] |= code[: len(code) - back] << (BITS * back)
-                gram, n = np.unique(key, return_counts=True)
-                sizes.append(len(code))
-                ends.append(ends[-1] + len(gram))
-                grams.append(gram)
-                counts.append(n.astype(np.int32))
-            at = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x or [np.zeros(0, kind)]), type_)) for x, kind, type_ in ((grams, np.int64, pa.int64()), (counts, np.int32, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "n_chars", "grams", "counts"])
-
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_chars long, grams array<long>, counts array<int>")
-    return counted.select(F.monotonically_increasing_id().alias("row_id"), "*")
-
-
-def suffix(gram: Column, n: int) -> Column:
-    """The last n code points."""
-    return gram.bitwiseAND(F.lit((1 << (BITS * n)) - 1))
-
-
-def ngram_table(types: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """(gram, n, logp) of the n-grams kept, written partitioned by hash. types: (gram, n), the count of each token."""
-    parts = int(types.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = {ORDER: types.where(of_order(ORDER)).select("gram", "n")}
-    for n in range(ORDER - 1, 0, -1):
-        counts[n] = types.where(of_order(n)).select(suffix(F.col("gram"), n).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    total = counts[1].agg(F.sum("n")).first()[0] or 1
-    table = counts[1].select("gram", "n", F.log(F.col("n") / F.lit(total)).alias("logp"))
-    for n in range(2, ORDER + 1):
-        context = counts[n - 1].select(F.col("gram").alias("context"), F.col("n").alias("of"))
-        kept = counts[n].where(F.col("n") >= min_count).withColumn("context", F.shiftright("gram", BITS))
-        table = table.unionByName(kept.join(context, "context").select("gram", "n", F.log(F.col("n") / F.col("of")).alias("logp")))
-    return written(table.repartition(parts, "gram"), "ngram-table")
-
-
-def of_order(n: int) -> Column:
-    """Whether gram has n code points or more."""
-    return F.col("gram") >= F.lit(1 << (BITS * (n - 1)))
-
-
-def backed_off(types: DataFrame, table: DataFrame, backoff: float = BACKOFF) -> DataFrame:
-    """types with the score s of each: that of the longest ending in the table, and a penalty for each order skipped.
-
-    What the table doesn't hold in an order goes on to the next lower one; a character that it never holds scores as one in
-    the sum of all characters.
-    """
-    penalty = float(np.log(backoff))
-    total = table.where(~of_order(2)).agg(F.sum("n")).first()[0] or 1
-    todo, found = types.select("gram", "n", "rows", F.col("gram").alias("part"), F.lit(0.0).alias("s")), None
-    for n in range(ORDER, 0, -1):
-        here = todo.where(F.col("part") >= F.lit(1 << (BITS * (n - 1))))
-        model = table.where(of_order(n) & (F.col("gram") <= F.lit((1 << (BITS * n)) - 1))).select(F.col("gram").alias("part"), "logp")
-        joined = here.join(model, "part", "left")
-        if n == 1:
-            joined = joined.withColumn("logp", F.coalesce("logp", F.lit(-float(np.log(total)))))
-        done = joined.where(F.col("logp").isNotNull()).select("gram", "n", "rows", (F.col("s") + F.col("logp")).alias("s"))
-        found = done if found is None else found.unionByName(done)
-        if n > 1:
-            missed = joined.where(F.col("logp").isNull()).select("gram", "n", "rows", suffix(F.col("part"), n - 1).alias("part"), (F.col("s") + F.lit(penalty)).alias("s"))
-            todo = todo.where(F.col("part") < F.lit(1 << (BITS * (n - 1)))).unionByName(missed)
-    return found
-
-
-def scores(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """(doc_id, n_chars, score, mean_score) of each row; natural logarithms."""
-    rows = written(tokens(docs), "tokens")
-    exploded = rows.select("row_id", F.explode(F.arrays_zip("grams", "counts")).alias("t")).select("row_id", F.col("t.grams").alias("gram"), F.col("t.counts").alias("k"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    types = written(exploded.groupBy("gram").agg(F.sum("k").alias("n"), F.count("*").alias("rows")).repartition(parts, "gram"), "ngrams")
-    scored = written(backed_off(types, ngram_table(types, min_count), backoff).select("gram", "rows", "s"), "ngram-scores")
-    sums = counted_join(exploded, scored, ["gram"], "rows").groupBy("row_id").agg(F.sum(F.col("k") * F.col("s")).alias("score"))
-    score = F.coalesce("score", F.lit(0.0))
-    out = rows.select("row_id", "doc_id", "n_chars").join(sums, "row_id", "left")
-    return out.select("doc_id", "n_chars", score.alias("score"), F.when(F.col("n_chars") > 0, score / F.col("n_chars")).alias("mean_score"))
+BLOCK_BYTES = 4 << 20
+PART_GRAMS = 1 << 20
+#: Every task must hash alike.
+SEED = 11
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class Tokens:
+    """The words of a block's texts: for each the text it is in, its place there and the hash of the n-gram it ends."""
+
+    def __init__(self, texts: pa.ChunkedArray, table: np.ndarray):
+        data = [(x.as_py() or "").encode().lower() + b"\n" for x in texts]
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        starts, ends = word_spans(raw)
+        (self.words,) = word_hashes(raw, starts, ends, table)
+        limits = np.searchsorted(starts, np.cumsum([len(x) for x in data]))
+        self.sizes = np.diff(np.r_[0, limits])
+        self.text = np.repeat(np.arange(len(data)), self.sizes)
+        self.place = np.arange(len(starts)) - np.repeat(limits - self.sizes, self.sizes)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that have n - 1 words before them, and the hashes of their n-grams."""
+        ends = np.flatnonzero(self.place >= n - 1)
+        out = mixed(self.words[ends - (n - 1)])
+        for back in range(n - 2, -1, -1):
+            out = mixed(out + self.words[ends - back])
+        return ends, out
+
+
+def blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, str, str, int]:
+    """The table (block, doc_id, text), bucketed by block, with its name, its path and the bytes of its texts."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    buckets = min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name, path = f"tidemark_blocks_{uuid.uuid4().hex}", shared_path(spark, "blocks")
+    dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).alias("block"), "*")
+    dealt.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return spark.table(name), name, path, size
+
+
+def shared_counts(table: DataFrame, n: int, parts: int) -> DataFrame:
+    """(block, part, own, totals): of the n-grams of each block in a part, sorted by hash, the counts in the whole table; own: their sum in the block."""
+    bits = parts.bit_length() - 1
+
+    def explode(rows: pa.Table) -> pa.Table:
+        tokens = Tokens(rows["text"], random_table(SEED))
+        grams, counts = np.unique(tokens.grams(n)[1], return_counts=True)
+        cuts = np.searchsorted(grams, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+        both = [(p, g, c) for p, (g, c) in enumerate(zip(np.split(grams, cuts), np.split(counts.astype(np.uint32), cuts))) if len(g)]
+        columns = [pa.array([x[0] for x in both], pa.int64()), pa.array([rows["block"][0].as_py()] * len(both), pa.int64()), pa.array([x[1].tobytes() for x in both], pa.binary()), pa.array([zlib.compress(x[2].tobytes(), 1) for x in both], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["part", "block", "grams", "counts"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        grams = [np.frombuffer(x.as_py(), np.uint64) for x in rows["grams"]]
+        counts = [np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in rows["counts"]]
+        _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+        sums = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)[inverse]
+        ends = np.cumsum([len(x) for x in grams])
+        packed = [zlib.compress(x.tobytes(), 1) for x in np.split(sums, ends[:-1])]
+        return pa.Table.from_arrays([rows["block"], rows["part"], pa.array([int(x.sum()) for x in counts], pa.int64()), pa.array(packed, pa.binary())], names=["block", "part", "own", "totals"])
+
+    exploded = table.groupBy("block").applyInArrow(explode, "part long, block long, grams binary, counts binary")
+    return exploded.groupBy("part").applyInArrow(total, "block long, part long, own long, totals binary")
+
+
+def token_scores(tokens: Tokens, totals: dict[int, np.ndarray], words: int, backoff: float) -> np.ndarray:
+    """The score of each token; totals: by order, the counts of the sorted distinct n-grams of the block; words: of the whole table."""
+    n_tokens = len(tokens.words)
+    others = words - tokens.sizes[tokens.text]
+    counts = {0: others}
+    for n, whole in totals.items():
+        ends, grams = tokens.grams(n)
+        found, at = np.unique(grams, return_inverse=True)
+        _, which, own = np.unique(tokens.text[ends] * len(found) + at, return_inverse=True, return_counts=True)
+        counts[n] = np.zeros(n_tokens, np.int64)
+        counts[n][ends] = whole[at] - own[which]
+    score = -np.log(others + 1.0)
+    for n in sorted(totals):
+        before = np.maximum(np.arange(n_tokens) - 1, 0)
+        context = counts[n - 1] if n == 1 else counts[n - 1][before]
+        known = counts[n] > 0
+        score = np.where(known, np.log(np.maximum(counts[n], 1) / np.maximum(context, 1)), score + np.where(tokens.place >= n - 1, np.log(backoff) if n > 1 else 0.0, 0.0))
+    return score
+
+
+def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, score, mean_score) of each row; natural logarithms."""
+    spark = docs.sparkSession
+    table, name, path, size = blocks(docs, block_bytes)
+    parts = 1 << max(0, size // (6 * PART_GRAMS)).bit_length()
+    counted = {n: written(shared_counts(table, n, parts), f"counts-{n}") for n in range(1, order + 1)}
+    words = counted[1].agg(F.sum("own")).first()[0] or 0
+    schema = "doc_id long, n_words long, score double"
+    names = [x.split()[0] for x in schema.split(", ")]
+    everything = None
+    for n, found in counted.items():
+        found = found.select("block", F.lit(n).alias("n"), "part", "totals")
+        everything = found if everything is None else everything.unionByName(found)
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        tokens = Tokens(rows["text"], random_table(SEED))
+        totals = {n: [] for n in range(1, order + 1)}
+        for n, _, packed in sorted(zip(*(found[c].to_pylist() for c in ("n", "part", "totals")))):
+            totals[n].append(np.frombuffer(zlib.decompress(packed), np.int64))
+        own = token_scores(tokens, {n: np.concatenate([*x, np.zeros(0, np.int64)]) for n, x in totals.items()}, words, backoff)
+        sums = np.bincount(tokens.text, own, len(tokens.sizes))
+        return pa.Table.from_arrays([rows["doc_id"], pa.array(tokens.sizes, pa.int64()), pa.array(sums, pa.float64())], names=names)
+
+    scored = written(table.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(score, schema), "scores")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    removed(spark, path)
+    return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

@@ -73,7 +73,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_score.scores(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_chars", F.round("score", 3).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+    return out.select("doc_id", "n_words", F.round("score", 3).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,24 +139,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * lost <= n_words AS kept
 FROM base""".replace("{boilerplate}", "|".join(quality_rules.BOILERPLATE)),
     "op9_lm_score": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-chars AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, unnest(string_split(text, '')) AS c FROM d WHERE text <> ''),
-tok AS (SELECT doc_id, c, lag(c) OVER w AS b, lag(c, 2) OVER w AS a FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c1 AS (SELECT c, count(*) AS n FROM tok GROUP BY c),
-c2 AS (SELECT b, c, count(*) AS n FROM tok WHERE b IS NOT NULL GROUP BY b, c),
-c3 AS (SELECT a, b, c, count(*) AS n FROM tok WHERE a IS NOT NULL GROUP BY a, b, c),
-total AS (SELECT sum(n) AS n FROM c1),
-s AS (
-  SELECT tok.doc_id,
-    CASE WHEN c3.n >= 2 THEN ln(c3.n / h2.n::DOUBLE)
-         WHEN c2.n >= 2 THEN CASE WHEN tok.a IS NULL THEN 0 ELSE ln(0.4) END + ln(c2.n / h1.n::DOUBLE)
-         ELSE CASE WHEN tok.a IS NOT NULL THEN 2 WHEN tok.b IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) + ln(c1.n / total.n::DOUBLE) END AS s
-  FROM tok CROSS JOIN total JOIN c1 ON tok.c = c1.c
-  LEFT JOIN c2 ON tok.b = c2.b AND tok.c = c2.c LEFT JOIN c1 h1 ON tok.b = h1.c
-  LEFT JOIN c3 ON tok.a = c3.a AND tok.b = c3.b AND tok.c = c3.c LEFT JOIN c2 h2 ON tok.a = h2.b AND tok.b = h2.c
-), sums AS (SELECT doc_id, sum(s) AS score FROM s GROUP BY doc_id)
-SELECT d.doc_id, length(text)::BIGINT AS n_chars, round(coalesce(score, 0), 3) AS score, round(score / length(text), 6) AS mean_score
-FROM d LEFT JOIN sums USING (doc_id)""",
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), words AS (SELECT r, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS c FROM d),
+tok AS (SELECT r, i, c, lag(c) OVER w AS b, lag(c, 2) OVER w AS a FROM words WINDOW w AS (PARTITION BY r ORDER BY i)),
+total AS (SELECT count(*) AS n FROM tok),
+counted AS (
+  SELECT r, i, (SELECT n FROM total) - count(*) OVER (PARTITION BY r) AS n0,
+    count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS n1,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY r, b, c) ELSE 0 END AS n2,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY r, a, b, c) ELSE 0 END AS n3
+  FROM tok
+), s AS (
+  SELECT r,
+    CASE WHEN n3 > 0 THEN ln(n3 / (lag(n2) OVER w)::DOUBLE)
+         WHEN n2 > 0 THEN CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END + ln(n2 / (lag(n1) OVER w)::DOUBLE)
+         ELSE CASE WHEN i > 2 THEN 2 WHEN i > 1 THEN 1 ELSE 0 END * ln(0.4) + CASE WHEN n1 > 0 THEN ln(n1 / n0::DOUBLE) ELSE -ln(n0 + 1.0::DOUBLE) END END AS s
+  FROM counted WINDOW w AS (PARTITION BY r ORDER BY i)
+), sums AS (SELECT r, sum(s) AS score FROM s GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, round(coalesce(score, 0), 3) AS score, round(score / len(words), 6) AS mean_score
+FROM d LEFT JOIN sums USING (r)""",
     "op10_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
