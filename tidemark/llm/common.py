@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,12 +61,19 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets the driver find shuffle files that are no longer in use; else they stay until it happens to run out of memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Deletes what written() wrote, and lets the driver find shuffle files that are no longer in use."""
+    """Deletes what written() wrote, and the shuffle files behind it."""
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             removed(df.sparkSession, path)
-        df.sparkSession._jvm.System.gc()
+    for spark in {df.sparkSession for df in tables}:
+        freed(spark)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
