@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -62,8 +63,12 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def freed(spark: SparkSession) -> None:
-    """Lets the driver find shuffle files that are no longer in use; else they stay until it happens to run out of memory."""
+    """Lets the driver find shuffle files that are no longer in use; else they stay until it happens to run out of memory.
+
+    What Python drops is let go in the JVM by a thread that looks once a second.
+    """
     gc.collect()
+    time.sleep(1.2)
     spark._jvm.System.gc()
 
 
