@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,10 +42,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shuffle files of each query that runs inside as it ends; what such a query wrote is all that is read later."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and outlives executors."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with own_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,23 +73,11 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets the driver find shuffle files that are no longer in use; else they stay until it happens to run out of memory.
-
-    What Python drops is let go in the JVM by a thread that looks once a second.
-    """
-    gc.collect()
-    time.sleep(1.2)
-    spark._jvm.System.gc()
-
-
 def dropped(*tables: DataFrame) -> None:
-    """Deletes what written() wrote, and the shuffle files behind it."""
+    """Deletes what written() wrote."""
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             removed(df.sparkSession, path)
-    for spark in {df.sparkSession for df in tables}:
-        freed(spark)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

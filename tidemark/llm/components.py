@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_key_join, removed, shared_path
+from .common import hot_key_join, own_shuffles, removed, shared_path
 
 
 def _linked(edges: DataFrame, small: bool) -> DataFrame:
@@ -27,14 +27,16 @@ def _linked(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a long, b long), any order. (a, b) with b the least node of a's component, for each node a but the least ones.
 
-    Each round is written to the shared folder; it ends when a round changes nothing, by count and hash sum.
+    Each round is written to the shared folder; it ends when a round changes nothing, by count and hash sum. A graph that isn't done
+    after most_rounds is an error, never a partial result.
     """
     spark = edges.sparkSession
     schema = "a long, b long"
 
     def put(df: DataFrame) -> tuple[str, DataFrame]:
         path = shared_path(spark, "star")
-        df.write.parquet(path)
+        with own_shuffles(spark):
+            df.write.parquet(path)
         return path, spark.read.schema(schema).parquet(path)
 
     path, now = put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

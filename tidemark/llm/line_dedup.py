@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hot_key_join, removed, shared_path, slices, written
+from .common import BLANKS, hot_key_join, own_shuffles, removed, shared_path, slices, written
 
 KEY = ["h1", "h2"]
 
@@ -37,7 +37,8 @@ class LevelledRuns:
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         name, path = f"tidemark_run_{uuid.uuid4().hex}", shared_path(self.spark, "run")
-        rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        with own_shuffles(self.spark):
+            rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         return name, path
 
     def _drop(self, name: str, path: str, keep_files: bool = False) -> None:

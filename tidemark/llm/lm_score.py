@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, freed, removed, shared_path, written
+from .common import dropped, own_shuffles, removed, shared_path, written
 from .words import random_table, word_hashes, word_spans
 
 ORDER = 3
@@ -77,8 +77,8 @@ def blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, str, str, int]
     buckets = min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     name, path = f"tidemark_blocks_{uuid.uuid4().hex}", shared_path(spark, "blocks")
     dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).alias("block"), "*")
-    dealt.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
-    freed(spark)
+    with own_shuffles(spark):
+        dealt.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     return spark.table(name), name, path, size
 
 
@@ -132,10 +132,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
     spark = docs.sparkSession
     table, name, path, size = blocks(docs, block_bytes)
     parts = 1 << max(0, size // (6 * PART_GRAMS)).bit_length()
-    counted = {}
-    for n in range(1, order + 1):
-        counted[n] = written(shared_counts(table, n, parts), f"counts-{n}")
-        freed(spark)
+    counted = {n: written(shared_counts(table, n, parts), f"counts-{n}") for n in range(1, order + 1)}
     words = counted[1].agg(F.sum("own")).first()[0] or 0
     schema = "doc_id long, n_words long, score double"
     names = [x.split()[0] for x in schema.split(", ")]

@@ -198,7 +198,6 @@ def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS) -> DataFra
     entries = own.where("size > 0").select(F.explode("keys").alias("key"), "doc_id", "row_id", "size")
     while True:
         found = written(paired(entries, pivots), "paired")
-        rows.sparkSession._jvm.System.gc()  # the shuffle files of the pairs
         fresh = close(found.where("b IS NOT NULL").select("a", "b"), rows, prints, width)
         gone = gone.unionByName(fresh)
         open_ = found.where("key IS NOT NULL").select("key")
