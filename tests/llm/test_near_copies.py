@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.test_dedup import lower
 from tidemark.llm import mixing, near_copies
@@ -35,7 +37,8 @@ def test_no_near_copy_is_mixed(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
     fewer = near_copies.without_copies(docs)
     holds([(r.doc_id, r.text) for r in docs.collect()], [r.doc_id for r in fewer.collect()])
-    mixed = {r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, sf).collect()}
+    single = corpus_pipeline.simhash_stage(spark, docs, sf)
+    mixed = {r.doc_id for r in corpus_pipeline.mixing_stage(spark, single, sf).collect()}
     assert {145, 177} & {r.doc_id for r in mixing.mix(docs).collect()} and mixed and not {145, 177} & mixed
 
 
@@ -54,8 +57,18 @@ def test_crowded_groups_are_paired_whole(spark):
     rng.shuffle(rows)
     before = [*enumerate(rows + rows[:9])]
     docs = spark.createDataFrame(before, "doc_id long, text string")
-    for pivots in (1, 8):
-        holds(before, [r.doc_id for r in near_copies.without_copies(docs, pivots=pivots).collect()])
+    for pivots, max_bits in ((1, 1), (8, 3)):
+        holds(before, [r.doc_id for r in near_copies.without_copies(docs, pivots=pivots, max_bits=max_bits).collect()])
+
+
+def test_folded_parities_differ_in_no_more_slots_than_sets_in_shingles():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 127, 128, 129, 3000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.r_[a[: len(a) // 2], rng.integers(0, 1 << 64, n // 3, np.uint64)])
+        odd = near_copies.parities(a), near_copies.parities(b)
+        assert near_copies.slots_that_differ(*odd) == near_copies.slots_that_differ(*odd[::-1]) <= len(np.setxor1d(a, b))
+        assert near_copies.slots_that_differ(odd[0], odd[0]) == 0
 
 
 def test_rows_are_apart(odd, none):

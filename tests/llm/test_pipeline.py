@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_lines
+from tests.llm.test_dedup import brute_lines
+from tests.llm.test_near_copies import holds
 from tidemark.llm import quality_rules
 
 
@@ -30,10 +31,9 @@ def test_stages_keep_columns_and_agree_with_brute_force(spark, sf):
     assert fewer.columns == docs.columns and {r.doc_id: r.text for r in rows} == want
 
     single = stage("simhash")(spark, fewer, sf)
-    prints = [(r.doc_id, brute_fingerprint(r.text)) for r in rows]
-    part = brute_components(prints, 2)
-    rows = single.collect()
-    assert single.columns == docs.columns and {r.doc_id for r in rows} == {d for d, fp in prints if part[fp] == d}
+    before, rows = [(r.doc_id, r.text) for r in rows], single.collect()
+    assert single.columns == docs.columns and len(rows) < len(before)
+    holds(before, [r.doc_id for r in rows])
 
     mixed = stage("mixing")(spark, single, sf)
     copies = Counter(r.doc_id for r in mixed.collect())

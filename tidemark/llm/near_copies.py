@@ -1,10 +1,14 @@
-"""Near copies by the Jaccard similarity of their word shingles: an exact set-similarity join.
+"""Near copies of a Jaccard similarity of 4/5 or more between word shingles: SimHash first, the rest by an exact set join.
+
+The binary trie of simhash links fingerprints of the same shingles; of each component the rows are compared with the first. That takes
+most copies for little, but not all: sets of a similarity of 4/5 differ in ten bits of 64 on average, beyond any radius at which
+a trie prunes. What it leaves is joined exactly:
 
 Two sets of a similarity of 4/5 or more share a shingle among the fifth of each (and one more) that comes first in
 any fixed order. Rows are dealt by those shingles and paired within each; no pair of 4/5 or more is missed. The order takes
 shingles by hash, those that a sample finds common last; the sample decides the cost, never the result. Pairs are left out
-by their sizes and by the parities of their shingles in 512 slots, which differ in no more slots than the sets in shingles; the rest is
-compared by the shingles of the whole texts.
+by their sizes and by the parities of their shingles in slots, four or more for each shingle, which differ in no more slots than the sets in
+shingles; the rest is compared by the shingles of the whole texts, each row with one of its pairs first.
 
 In a group each row is paired with the PIVOTS first rows. Rows found to be copies leave; groups that are
 larger than that are dealt again with GROWTH times as many pivots, until no group is left that wasn't paired whole. A large group of
@@ -22,16 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import BROADCAST_ROWS, dropped, hot_key_join, numbered, slices, written
 
 WIDTH = 5
+MAX_BITS = 3
 SEED = 42
 PIVOTS = 8
 GROWTH = 16
-SLOTS = 8
+#: The least slots of parities, and slots for each shingle.
+SLOTS, SLOTS_EACH = 512, 4
 CHUNK_ROWS = 1 << 16
 CHUNK_PAIRS = 1 << 20
 #: The sample has about this many rows; a shingle in COMMON of them or more is common.
@@ -52,10 +59,17 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, n))
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """Per slot of 512, whether an odd number of shingles fall in it."""
-    odd = np.bincount((found & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities(found: np.ndarray) -> bytes:
+    """Per slot, whether an odd number of shingles fall in it: a bit each, of a power of two of slots."""
+    slots = max(SLOTS, 1 << (SLOTS_EACH * len(found) - 1).bit_length()) if len(found) else SLOTS
+    odd = np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def slots_that_differ(a: bytes, b: bytes) -> int:
+    """Parities of more slots are first folded to as many as the others have."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
 def first_ones(found: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -83,20 +97,19 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 def sketches(rows: DataFrame, common: np.ndarray, width: int) -> DataFrame:
     """rows (row_id, doc_id, text). Per row its number of shingles, their digest, parities and first ones."""
-    bits = [f"p{i}" for i in range(SLOTS)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(x.as_py() or "", width) for x in batch.column(2)]
             firsts = [first_ones(x, common) for x in sets]
-            parity = np.stack([parities(x) for x in sets]) if sets else np.zeros((0, SLOTS), np.int64)
             ends = pa.array(np.r_[0, np.cumsum([len(x) for x in firsts])].astype(np.int32))
             keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64)))
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, digests, *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(SLOTS)], keys], names=["row_id", "doc_id", "size", "digest", *bits, "keys"])
+            odd = pa.array([parities(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, digests, odd, keys], names=["row_id", "doc_id", "size", "digest", "odd", "keys"])
 
-    return rows.mapInArrow(of, "row_id long, doc_id long, size long, digest binary, " + ", ".join(f"{b} long" for b in bits) + ", keys array<long>")
+    return rows.mapInArrow(of, "row_id long, doc_id long, size long, digest binary, odd binary, keys array<long>")
 
 
 def pairs_of(n: int, pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,21 +169,21 @@ def paired(entries: DataFrame, pivots: int) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long, key long")
 
 
-def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> DataFrame:
-    """pairs (a, b), a pair once or more. (row_id): each b that has a similarity of 4/5 or more to its a."""
-    bits = [f"p{i}" for i in range(SLOTS)]
+def with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns that of (row_id, ...) has for each."""
+    n = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    first, second = (of.select(F.col("row_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
+    return hot_key_join(pairs, first.join(n, "a"), ["a"], "n", pairs.count()).drop("n").join(second, "b")
 
-    def weighed(pairs: DataFrame, of: DataFrame, side: str) -> DataFrame:
-        n = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        return hot_key_join(pairs, of.join(n, side), [side], "n", pairs.count()).drop("n")
 
-    def named(side: str, columns: list[str]) -> list[Column]:
-        return [F.col("row_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]]
+def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b), a pair once or more. (row_id): each b that has a similarity of 4/5 or more to its a."""
 
-    pairs = written(pairs.distinct(), "pairs")
-    both = weighed(pairs, prints.select(*named("a", ["size", *bits])), "a").join(prints.select(*named("b", ["size", *bits])), "b")
-    differ = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in bits), F.lit(0))
-    likely = written(both.where(9 * differ <= F.col("a_size") + F.col("b_size")).select("a", "b"), "likely-pairs")
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *columns = (c.to_pylist() for c in batch.columns)
+            near = [9 * slots_that_differ(x, y) <= n + m for n, m, x, y in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, ok in zip(v, near) if ok], pa.int64()) for v in (a, b)], names=["a", "b"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -178,40 +191,58 @@ def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> D
             ends = pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))], names=["row_id", "found"])
 
-    named_rows = likely.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    whole = written(rows.select("row_id", "text").join(named_rows, "row_id", "left_semi").mapInArrow(sets, "row_id long, found array<long>"), "shingle-sets")
-    both = weighed(likely, whole.select(*named("a", ["found"])), "a").join(whole.select(*named("b", ["found"])), "b")
-    shared = F.size(F.array_intersect("a_found", "b_found"))
-    found = written(both.where(9 * shared >= 4 * (F.size("a_found") + F.size("b_found"))).select(F.col("b").alias("row_id")).distinct(), "near-copies")
-    dropped(pairs, likely, whole)
-    return found
+    pairs = written(pairs.distinct(), "pairs")
+    both = with_both(pairs, prints, ["size", "odd"]).where("5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)")
+    likely = written(both.select("a", "b", "a_size", "b_size", "a_odd", "b_odd").mapInArrow(alike, "a long, b long"), "likely-pairs")
+    named = likely.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    whole = written(rows.select("row_id", "text").join(named, "row_id", "left_semi").mapInArrow(sets, "row_id long, found array<long>"), "shingle-sets")
+
+    def compared(some: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("a_found", "b_found"))
+        near = with_both(some, whole, ["found"]).where(9 * shared >= 4 * (F.size("a_found") + F.size("b_found")))
+        return written(near.select(F.col("b").alias("row_id")).distinct(), "near-copies")
+
+    one = written(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one-pair")
+    found = compared(one)
+    rest = written(likely.join(one, ["a", "b"], "left_anti").join(found.withColumnRenamed("row_id", "b"), "b", "left_anti").select("a", "b"), "other-pairs")
+    more = compared(rest)
+    dropped(pairs, likely, whole, one, rest)
+    return found.unionByName(more)
 
 
-def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
+def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
     """rows (row_id, doc_id, text), row_id unique. (row_id) of the rows that go."""
     rows = rows.select("row_id", F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = written(sketches(rows, common_shingles(rows, width), width), "sketches")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     stays = written(prints.groupBy("digest").agg(F.min(order)["row_id"].alias("row_id")).select("row_id"), "distinct-sets")
     gone = written(prints.select("row_id").join(stays, "row_id", "left_anti"), "exact-copies")
-    own = prints.join(stays, "row_id", "left_semi")
-    entries = own.where("size > 0").select(F.explode("keys").alias("key"), "doc_id", "row_id", "size")
+    own = written(prints.where("size > 0").join(stays, "row_id", "left_semi"), "own-sketches")
+    dropped(prints, stays)
+
+    linked = simhash.near_duplicates(rows.join(own, "row_id", "left_semi").select(F.col("row_id").alias("doc_id"), "text"), width, max_bits)
+    linked = written(linked.select(F.col("doc_id").alias("row_id"), "component_id").join(own.select("row_id", "doc_id"), "row_id"), "linked")
+    firsts = linked.groupBy("component_id").agg(F.min(order)["row_id"].alias("a"), F.count("*").alias("n")).where("n > 1")
+    paired_rows = hot_key_join(linked, firsts, ["component_id"], "n", linked.count()).where("a <> row_id").select("a", F.col("row_id").alias("b"))
+    fresh = close(paired_rows, rows, own, width)
+    gone = gone.unionByName(fresh)
+    entries = own.join(fresh, "row_id", "left_anti").select(F.explode("keys").alias("key"), "doc_id", "row_id", "size")
     while True:
         found = written(paired(entries, pivots), "paired")
-        fresh = close(found.where("b IS NOT NULL").select("a", "b"), rows, prints, width)
+        fresh = close(found.where("b IS NOT NULL").select("a", "b"), rows, own, width)
         gone = gone.unionByName(fresh)
         open_ = found.where("key IS NOT NULL").select("key")
         if open_.isEmpty():
-            dropped(prints, stays, found)
+            dropped(own, linked, found)
             return gone
         entries = written(entries.join(open_, "key", "left_semi").join(fresh, "row_id", "left_anti"), "open-groups")
         pivots *= GROWTH
 
 
-def without_copies(docs: DataFrame, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
+def without_copies(docs: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the rows that go."""
     rows = numbered(docs)
-    gone = copies(rows.select("row_id", "doc.doc_id", "doc.text"), width, pivots)
+    gone = copies(rows.select("row_id", "doc.doc_id", "doc.text"), width, pivots, max_bits)
     left = written(rows.join(gone, "row_id", "left_anti").select("doc.*"), "without-copies")
     dropped(rows)
     return left
