@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: clean, deduplicate, mix and pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-documents; where a stage changes a text it also restates n_chars, if there is such a column.
+documents, whatever these are; where a stage changes a text it also restates n_chars, if there is such a column. An empty table
+passes through as one.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, near_copies, packing, quality_rules, simhash
-from tidemark.llm.common import numbered, written
+from tidemark.llm import line_dedup, mixing, near_copies, packing, quality_rules
+from tidemark.llm.common import written
 from tidemark.llm.queries import documents, tokenizer_path
 
 
@@ -21,33 +22,29 @@ def _with_text(docs: DataFrame, text: Column) -> list[Column]:
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines that fail."""
+    """Rejected documents go, null and empty texts among them; the others lose the lines that fail. Rows are judged alone, so repeated ones alike."""
     kept = quality_rules.judge(docs).where("quality.kept")
     return kept.select(*_with_text(docs, F.col("quality.clean_text")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that has lost every word goes with them."""
+    """Repeated lines go; a document that has lost every word goes with them, one that had none stays. Rows of one id are one document; a null id keeps its lines."""
     kept = line_dedup.drop_lines(docs)
     return kept.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(quality_rules.WORD)).select(*_with_text(docs, F.col("kept_text")))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: that of the least id, null ids last, of equal ones the first."""
-    rows = numbered(docs)
-    found = simhash.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "doc.text"))
-    grouped = found.select(F.col("doc_id").alias("row_id"), "component_id").join(rows.select("row_id", F.col("doc.doc_id").alias("doc_id")), "row_id")
-    stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))["row_id"].alias("row_id"))
-    return rows.join(stays, "row_id", "left_semi").select("doc.*")
+    """One row of each group of near copies stays: five-word shingles, a similarity of 0.8 or more. Of equal rows the first stays, null ids come last."""
+    return near_copies.without_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies go, of five-word shingles with a similarity of 0.8 or more; each document left as often as the target weights of the sources take it."""
-    return mixing.mix(near_copies.without_copies(docs)).select(*docs.columns)
+    """Each document as often as the target weights of the sources take it, with what mixing defines for odd rows."""
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each copy with their sequences and offsets."""
+    """The pieces of each copy with their sequences and offsets; an empty text is one piece with the end id, a repeated row is packed again."""
     return packing.pack(packing.pieces(docs, tokenizer_path()))
 
 
