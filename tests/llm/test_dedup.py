@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import line_dedup, queries, simhash
+from tidemark.llm import common, line_dedup, queries, simhash
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -60,9 +60,27 @@ def test_levelled_runs_agree_with_one_aggregate(spark, batches):
         for k, (n, owner) in batch.items():
             want[k] = [want[k][0] + n, max(want[k][1], owner)]
         index.add(spark.createDataFrame([(*k, *v) for k, v in batch.items()], "h1 long, h2 long, n long, owner long"))
-        assert len(index.runs) <= 3
+        held = [(r.h1, r.h2) for _, name, _ in index.runs for r in spark.table(name).collect()]
+        assert len(index.runs) <= 3 and sorted(held) == sorted(want)
     rows = index.finish().collect()
-    assert {(r.h1, r.h2): [r.n, r.owner] for r in rows} == dict(want) and all(r["first"] for r in rows)
+    assert len(rows) == len(want) and {(r.h1, r.h2): [r.n, r.owner] for r in rows} == dict(want)
+
+
+def test_runs_are_merged_without_sorting(spark):
+    index = line_dedup.LevelledRuns(spark, 4)
+    for k in range(2):
+        index.add(spark.range(100).selectExpr(f"id + {k} AS h1", "id AS h2", "1L AS n", "id AS owner"))
+    with line_dedup.in_bucket_order(spark):
+        plan = index.fresh(spark.table(index.runs[0][1]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+
+
+def test_a_hot_id_is_dealt_to_many_tasks(spark):
+    left = spark.range(2000).selectExpr("IF(id % 3 = 0, 5L, id) AS doc_id", "id AS place")
+    right = left.where("doc_id % 2 = 1").groupBy("doc_id").agg(simhash.F.count("*").alias("n"), simhash.F.max("place").alias("keys"))
+    got = sorted(map(tuple, common.salted_left_join(left, right, "doc_id", "n", 2000, slots=16).select("doc_id", "place", "keys").collect()), key=repr)
+    most = {r.doc_id: r["keys"] for r in right.collect()}
+    assert got == sorted([(r.doc_id, r.place, most.get(r.doc_id)) for r in left.collect()], key=repr)
 
 
 def brute_fingerprint(text, width=3):

@@ -106,6 +106,21 @@ def hot_key_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str
     return by_hot.unionByName(by_cold)
 
 
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, slots: int = 1024) -> DataFrame:
+    """left with the row of right, which has unique keys and in weight the rows of left that have each; rows of right may be long.
+
+    A key with more than total / slots rows is dealt to as many salts as it has such shares, fewer than slots in all; the row of
+    right goes to each. Only these keys and their numbers are broadcast.
+    """
+    share = F.ceil(F.col(weight) * F.lit(float(slots)) / F.lit(float(max(1, total)))).cast("int")
+    dealt = right.withColumn("salts", share)
+    hot = F.broadcast(dealt.where("salts > 1").select(key, "salts"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int")
+    spread = left.join(hot, key, "left").withColumn("salt", salt).drop("salts")
+    copied = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), "salts") - 1)))
+    return spread.join(copied, [key, "salt"], "left").drop("salt", "salts", weight)
+
+
 def counted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """As hot_key_join, for a right side that is written already: counts it, broadcasts it if it is small."""
     rows, total = right.agg(F.count("*"), F.sum(weight)).first()

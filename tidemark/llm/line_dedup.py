@@ -1,10 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a bucketed, sorted table of line keys (128-bit hashes), each with the number of documents that hold it and
-the largest id among them. A new batch of keys is merge-joined with the open runs: the anti-join finds the keys that no run
-holds, which the new run marks as first; the others add to the counts. Two runs of one level are merged into one run of
-the next, so there are never more than log2(batches) + 1 runs and each row is rewritten as often at most. Batches are dealt by a
-hash of the id.
+A run is a bucketed, sorted table of line keys (128-bit hashes), each with the number of documents of its first batch that hold it and
+the largest id among them. A new batch of keys is merge-anti-joined with the runs, bucket by bucket: the keys that no run
+holds become a run of their own, the others are kept as updates of counts. So each key is in one run only. Two runs of one level
+are compacted into one of the next, so there are never more than log2(batches) + 1 runs and each row is rewritten as often at most. At the
+end the updates are summed and added. Batches are dealt by a hash of the id.
 
 A line's key is the line without white space (space, U+0009 to U+000D) at its ends and with A-Z lower-cased.
 
@@ -14,6 +14,7 @@ holds the lines of all and are treated alike; a row with a null id is left as it
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -23,19 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hot_key_join, own_shuffles, removed, shared_path, slices, written
+from .common import BLANKS, hot_key_join, own_shuffles, removed, salted_left_join, shared_path, slices, written
 
 KEY = ["h1", "h2"]
 
 
 class LevelledRuns:
-    """Runs of (h1, h2, n, owner, first), merged pairwise level by level like a binary counter."""
+    """Disjoint runs of (h1, h2, n, owner), compacted pairwise level by level like a binary counter, and updates of their counts."""
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets = spark, buckets
         self.runs: list[tuple[int, str, str]] = []
+        self.updates: list[DataFrame] = []
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
+        """One sorted file a bucket."""
         name, path = f"tidemark_run_{uuid.uuid4().hex}", shared_path(self.spark, "run")
         with own_shuffles(self.spark):
             rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
@@ -46,33 +49,62 @@ class LevelledRuns:
         if not keep_files:
             removed(self.spark, path)
 
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The rows of a sorted batch whose keys no run holds."""
+        for _, name, _ in self.runs:
+            batch = batch.join(self.spark.table(name).select(*KEY).hint("merge"), KEY, "left_anti")
+        return batch
+
     def add(self, batch: DataFrame) -> None:
         """batch: unique keys with n and owner."""
-        seen = batch.withColumn("first", F.lit(True))
-        for _, name, _ in self.runs:
-            run = self.spark.table(name).select(*KEY, F.lit(True).alias("held"))
-            seen = seen.join(run, KEY, "left").select(*KEY, "n", "owner", (F.col("first") & F.col("held").isNull()).alias("first"))
-        self.runs.append((0, *self._write(seen)))
+        name, path = self._write(batch.select(*KEY, "n", "owner"))
+        if self.runs:
+            with in_bucket_order(self.spark):
+                rows = self.spark.table(name)
+                new = self._write(self.fresh(rows))
+                for _, run, _ in self.runs:
+                    self.updates.append(written(rows.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_semi"), "run-updates"))
+            self._drop(name, path)
+            name, path = new
+        self.runs.append((0, name, path))
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             self._merge()
 
     def _merge(self) -> None:
         (level, a, path_a), (_, b, path_b) = self.runs[-2:]
-        left, right = self.spark.table(a).alias("a"), self.spark.table(b).alias("b")
-        both = left.join(right, KEY, "full").select(*KEY, (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"), F.greatest("a.owner", "b.owner").alias("owner"), (F.coalesce("a.first", F.lit(False)) | F.coalesce("b.first", F.lit(False))).alias("first"))
+        both = self.spark.read.schema(self.spark.table(a).schema).parquet(path_a, path_b)
         merged = self._write(both)
         self.runs[-2:] = [(level + 1, *merged)]
         self._drop(a, path_a)
         self._drop(b, path_b)
 
     def finish(self) -> DataFrame:
-        """One row per key: compacts what is left to one run."""
+        """One row per key: compacts what is left to one run and adds the updates."""
         while len(self.runs) > 1:
             self._merge()
         (_, name, path) = self.runs[0]
         schema = self.spark.table(name).schema
         self._drop(name, path, keep_files=True)
-        return self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        if not self.updates:
+            return out
+        more = self.updates[0]
+        for x in self.updates[1:]:
+            more = more.unionByName(x)
+        more = more.groupBy(*KEY).agg(F.sum("n").alias("more"), F.max("owner").alias("other"))
+        return out.join(more, KEY, "left").select(*KEY, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("owner", "other").alias("owner"))
+
+
+@contextlib.contextmanager
+def in_bucket_order(spark: SparkSession) -> Iterator[None]:
+    """Inside, scans of buckets of one sorted file each are known to be sorted, so that a merge join takes them as they are."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def key_of(line: str, min_chars: int) -> bytes | None:
@@ -119,7 +151,11 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     """
     lost = repeated_lines(docs, min_chars, min_docs, batches)
     whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
-    joined = whole.join(lost, "doc_id", "left").select("doc", F.col("doc.text").cast("string").alias("text"), "keys")
+    with_id = whole.where("doc_id IS NOT NULL")
+    rows = with_id.groupBy("doc_id").agg(F.count("*").alias("n"))
+    joined = salted_left_join(with_id, lost.join(rows, "doc_id"), "doc_id", "n", docs.count())
+    joined = joined.unionByName(whole.where("doc_id IS NULL").withColumn("keys", F.lit(None).cast("array<binary>")), allowMissingColumns=True)
+    joined = joined.select("doc", F.col("doc.text").cast("string").alias("text"), "keys")
     schema = joined.select("doc").schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
