@@ -1,8 +1,12 @@
 """Packing, WARC and media: exact round trips and constraints."""
 
+import base64
 import gzip
 import hashlib
 import io
+import os
+import subprocess
+import sys
 import zipfile
 import zlib
 
@@ -135,6 +139,44 @@ def test_damaged_archives_are_errors(damage):
         [*warc.read_records(io.BytesIO(bad))]
 
 
+def foreign(kind, block, *more, content="application/http; msgtype=response"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    body, http = b"<p>text</p>", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: x\r\nformat: WARC", content="application/warc-fields"), foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", content="application/http; msgtype=request"),
+        foreign("response", http + body, f"WARC-Payload-Digest: {sha1(body)}", f"WARC-Block-Digest: {sha1(http + body)}", "WARC-Target-URI: http://a/"), foreign("response", http + body),
+        foreign("response", http + body, "WARC-Payload-Digest: md5:" + hashlib.md5(body).hexdigest()), foreign("response", http + body, "WARC-Payload-Digest: blake3:00"), foreign("metadata", b"a: b", content="application/warc-fields"),
+        foreign("resource", body, f"WARC-Payload-Digest: {sha1(body)}", content="text/html"), foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", f"WARC-Payload-Digest: {sha1(body)}"), foreign("revisit", b"", "WARC-Payload-Digest: sha1:X"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", None)], "archive string, n_records long")
+    rows = warc.read_archives(manifest).orderBy("offset").collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "request", *["response"] * 4, "metadata", "resource", "revisit", "revisit"]
+    assert [r.payload_bytes for r in rows] == [25, 0, *[len(body)] * 4, 4, len(body), None, None] and {r.page_id for r in rows} == {None}
+    assert {r.payload_digest for r in rows[2:6]} == {hashlib.sha256(body).hexdigest()} and rows[8].payload_digest == sha1(body) and rows[2].url == "http://a/"
+
+
+@pytest.mark.parametrize("missing", ["WARC-Type", "WARC-Record-ID", "Content-Length"])
+def test_records_without_what_all_have_are_errors(missing):
+    text = gzip.decompress(foreign("response", b"HTTP/1.1 200 OK\r\n\r\nx")).replace(missing.encode(), b"X-Else")
+    with pytest.raises(warc.WarcError):
+        [*warc.read_records(io.BytesIO(gzip.compress(text)))]
+    for wrong in (foreign("response", b"HTTP/1.1 200 OK\r\n\r\nx", "WARC-Payload-Digest: sha1:AAAA"), foreign("resource", b"x", "WARC-Block-Digest: md5:00", content="text/plain")):
+        with pytest.raises(warc.WarcError):
+            [*warc.read_records(io.BytesIO(wrong))]
+
+
+def test_record_ids_tell_payloads_of_a_page_and_pages_without_id_apart(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (None, "u", "c"), (None, "u", "c"), (2, "u", "x" * 200), (3, "u", "x" * 200)], "page_id long, url string, html string")
+    rows = warc.read_archives(warc.write_archives(pages)).collect()
+    assert len({r.record_id for r in rows}) == 6 and {r.refers_to for r in rows if r.record_type == "revisit"} == {2}
+
+
 @given(st.binary(max_size=500))
 @settings(max_examples=60, deadline=None)
 def test_png_round_trip(data):
@@ -162,6 +204,42 @@ def folder(spark, tmp_path_factory):
     return root
 
 
+def test_what_a_lost_writer_leaves_is_not_opened(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    root, manifest = media.write_archives(docs)
+    with open(root.removeprefix("file://") + "/orphan.zip", "wb") as f:
+        f.write(b"PK\x03\x04 half a member")
+    assert sorted(r.doc_id for r in media.described(media.read_archives(spark, root, manifest)).collect()) == [1, 2]
+    with pytest.raises(Exception, match="no directory"):
+        media.read_archives(spark, root).collect()
+
+
+def test_a_task_that_fails_once_gives_each_member_once(tmp_path):
+    """A job of its own with retries: the first attempt of a task writes an archive and dies."""
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from tidemark.llm import media
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+def once(batches):
+    for b in batches:
+        yield b
+    if not os.path.exists("{tmp_path}/died"):
+        open("{tmp_path}/died", "w").close()
+        os._exit(1)
+docs = spark.range(40).selectExpr("id AS doc_id", "repeat('text ', 50) AS text").repartition(2)
+real = type(docs).mapInArrow
+def wrapped(self, f, schema):
+    return real(self, lambda batches: once(f(batches)), schema) if "n_members" in schema else real(self, f, schema)
+type(docs).mapInArrow = wrapped
+root, manifest = media.write_archives(docs, archive_bytes=500)
+print("IDS", sorted(r.doc_id for r in media.described(media.read_archives(spark, root, manifest)).collect()) == list(range(40)), len(os.listdir(root.removeprefix("file://"))) > manifest.count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180, env=os.environ)
+    assert "IDS True True" in out.stdout, out.stderr[-2000:]
+
+
 def test_archives_are_plain_zip_with_png(folder):
     names = []
     for x in media.fs.LocalFileSystem().get_file_info(media.fs.FileSelector(folder.removeprefix("file://"))):

@@ -1,10 +1,11 @@
 """Media columns: payloads as 8-bit grey PNG members of ZIP archives, read by a data source of byte ranges.
 
 The writer stores each payload losslessly in a PNG of 64 samples a row and puts the PNGs, stored, into ZIP archives in
-the shared folder. The data source `media_archive` lists an archive folder and plans byte ranges from the
-files' sizes alone; a task finds the members that begin in its range in the archive's directory, reads neighbours together,
-and gives batches of bounded bytes through Arrow. A member whose read or CRC fails is read again by its own offset, with a new
-handle, up to `attempts` times; the others aren't read again.
+the shared folder; the manifest, which a job commits as a whole, names the finished ones. The data source `media_archive` plans byte ranges
+from the sizes in the manifest, or without one from a folder's files; a task finds the members that begin in its range in the
+archive's directory, reads neighbours together, and gives batches of bounded bytes through Arrow. A member whose read or CRC fails
+is read again by its own offset, with a new handle, up to `attempts` times; the others aren't read again. What a lost writer leaves is in no
+manifest and is never opened.
 
 Defined results: a null or empty text is 64 zero bytes; a null id stays null; repeated rows are members of their
 own; an empty table gives no archives and no rows; columns other than id and text are ignored.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,7 +100,7 @@ def feature(payload: bytes) -> str:
     return f"mean={mean:.3f};std={deviation:.3f};entropy={entropy:.3f};step={step:.3f};hist={shares}"
 
 
-def write_archives(docs: DataFrame, archive_bytes: int = 64 << 20) -> tuple[str, DataFrame]:
+def write_archives(docs: DataFrame, archive_bytes: int = 256 << 20) -> tuple[str, DataFrame]:
     """Writes the texts of docs (doc_id, text) and returns the folder and the manifest: archive, n_members, n_bytes."""
     spark = docs.sparkSession
     root = shared_path(spark, "media")
@@ -143,14 +145,22 @@ class ByteRange(InputPartition):
 class MediaArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/")
-        self.range_bytes = int(options.get("rangebytes", 32 << 20))
+        self.manifest = options.get("manifest")
+        self.range_bytes = int(options.get("rangebytes", 64 << 20))
         self.attempts = int(options.get("attempts", 3))
-        self.names = set(filter(None, options.get("archives", "").split(",")))
 
-    def partitions(self) -> list[ByteRange]:
+    def sizes(self) -> list[tuple[str, int]]:
+        """(name, bytes) of each archive to read."""
+        if self.manifest:
+            store, folder = fs.FileSystem.from_uri(self.manifest)
+            files = [x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.is_file and x.extension == "parquet"]
+            return sorted(row for f in files for row in zip(*pq.read_table(f, columns=["archive", "n_bytes"], filesystem=store).to_pydict().values()))
         store, folder = fs.FileSystem.from_uri(self.root)
-        found = [x for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.is_file and x.extension == "zip"]
-        ranges = [ByteRange(f"{self.root}/{x.base_name}", at, at + self.range_bytes) for x in sorted(found, key=lambda x: x.base_name) for at in range(0, x.size, self.range_bytes)]
+        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        return sorted((x.base_name, x.size) for x in found if x.is_file and x.extension == "zip")
+
+    def partitions(self) -> list[ByteRange]:
+        ranges = [ByteRange(f"{self.root}/{name}", at, at + self.range_bytes) for name, size in self.sizes() for at in range(0, size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -198,8 +208,8 @@ def member_bytes(entry: tuple) -> int:
 
 def directory_of(file) -> Iterator[tuple[str, int, int, int]]:
     """(name, offset, size, crc) of each member, from the archive's directory."""
-    end = file.read_at(22, file.size() - 22)
-    if end[:4] != END:
+    end = file.read_at(22, max(0, file.size() - 22))
+    if len(end) < 22 or end[:4] != END:
         raise MediaError("the archive has no directory")
     _, _, _, n, size, start, _ = struct.unpack_from(END_FIELDS, end, 4)
     body, at = file.read_at(size, start), 0
@@ -236,7 +246,7 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class MediaArchives(DataSource):
-    """format("media_archive").load(folder); options rangeBytes and attempts."""
+    """format("media_archive").load(folder); options manifest (a folder of Parquet with archive and n_bytes), rangeBytes and attempts."""
 
     @classmethod
     def name(cls) -> str:
@@ -250,13 +260,12 @@ class MediaArchives(DataSource):
 
 
 def read_archives(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
-    """The members of the archives in a folder; with a manifest, only of the archives it lists (not of failed attempts)."""
+    """The members of the archives in a folder; with a manifest as write_archives gives it, only of the archives it lists."""
     spark.dataSource.register(MediaArchives)
-    members = spark.read.format("media_archive").load(root)
-    if manifest is None:
-        return members
-    listed = manifest.select(F.concat(F.lit(root + "/"), "archive").alias("archive"))
-    return members.join(F.broadcast(listed), "archive", "left_semi") if manifest.count() <= 10_000 else members.join(listed, "archive", "left_semi")
+    reader = spark.read.format("media_archive")
+    if manifest is not None:
+        reader = reader.option("manifest", manifest.inputFiles()[0].rsplit("/", 1)[0])
+    return reader.load(root)
 
 
 def described(members: DataFrame) -> DataFrame:
