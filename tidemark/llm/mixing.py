@@ -10,7 +10,9 @@ and rate 0; rows with equal ids share their draw; an empty table gives no rows;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import counted_join, written
@@ -30,17 +32,32 @@ def uniform(id_: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def numbered_sources(sources: DataFrame) -> DataFrame:
+    """sources with number: how many come before by code point, null last. Each task numbers its range; the ranges' sizes are added up."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").asc_nulls_last()]
+    place = F.monotonically_increasing_id()
+    ranged = written(sources.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", place), "ranged-sources")
+    part = F.shiftright("place", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts = dict(zip((r.part for r in sizes), itertools.accumulate((r.n for r in sizes), initial=0)))
+    if not starts:
+        return ranged.withColumn("number", F.col("place")).drop("place")
+    start = F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair])[part]
+    return ranged.withColumn("number", start + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("place")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
     """sources: one row (source, source_size) for each source, written. Adds target.
 
-    Numbering the sources takes one task, of one row per source. Each round then caps the sources that the
+    Sources are numbered in their order by range partitions and the rows before each. Each round then caps the sources that the
     common level would fill beyond their cap and raises the level for the others; it ends when no more are capped.
     Only three sums a round reach the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    at = (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")
+    at = (F.pmod(F.col("number"), F.lit(len(weights))) + 1).cast("int")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), at)
-    table = written(sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_repeats))), "sources")
+    table = numbered_sources(sources).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
+    table = written(table.drop("number"), "sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, capped = -1.0, -1
     while True:
