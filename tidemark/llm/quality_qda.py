@@ -2,7 +2,7 @@
 
 Statistics of each whole text are transformed to be roughly symmetric. Per label, the count, sum and sum of products of
 the statistics come from all rows that may be learned from, in one aggregate with map-side combining; nothing else
-reaches the driver but a bounded sample of CALIBRATION_ROWS rows that calibrates the score. Covariances shrink towards their
+reaches the driver but a sample of CALIBRATION_ROWS rows at most that calibrates the score, taken by a hash of id and statistics. Covariances shrink towards their
 mean variance; the Cholesky factors of both are cached in the model. The score is a logistic function of the difference of the
 two Mahalanobis log-densities, fitted on the sample.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import hot_key_join, slices, written
 
 FEATURES = ("words", "word_length", "distinct", "top_word", "same_next", "upper", "digits", "symbols", "shouts", "punctuation", "separators", "line_words", "repeated_lines", "open_lines", "density")
 SHRINKAGE = 0.1
@@ -145,7 +145,9 @@ def fit(stats: DataFrame, labels: DataFrame, learn: Column, calibration_rows: in
     """stats (doc_id, x), labels (doc_id, quality); learn says which rows may be learned from."""
     d = len(FEATURES)
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.where(learn & F.col("doc_id").isNotNull()).join(known, "doc_id")
+    own = stats.where(learn & F.col("doc_id").isNotNull())
+    known = known.join(own.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+    rows = hot_key_join(own, known, ["doc_id"], "n", own.count())
     sums = [F.sum(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d)]
     products = [F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
     moments = {}
@@ -154,8 +156,9 @@ def fit(stats: DataFrame, labels: DataFrame, learn: Column, calibration_rows: in
         moments[r.quality] = (r.n, np.array([r[f"s{i}"] for i in range(d)]), second)
     model = QuadraticDiscriminant(moments)
     total = sum(model.rows.values())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < F.lit(min(1.0, calibration_rows / max(total, 1)))).select("x", "quality").collect() if total else []
+    draw = F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    likely = rows.select("x", "quality", draw.alias("draw")).where(F.col("draw") < F.lit(1.5 * calibration_rows / max(total, 1)))
+    sample = likely.orderBy("draw", "quality").limit(calibration_rows).collect() if total else []
     if sample:
         model.calibrate(np.array([r.x for r in sample]), np.array([r.quality for r in sample], float))
     return model
