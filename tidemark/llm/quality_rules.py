@@ -1,7 +1,7 @@
 """Line-first cleaning by rules, in DataFrame functions only.
 
 Each line with a word is judged alone. It fails as
-- punctuation: it has no sentence end and either three words or fewer, or ten or more of which fewer than half differ; it has
+- punctuation: it doesn't end as a sentence and has either three words or fewer, or ten or more of which fewer than half differ; it has
   more symbols than a third of its words, or more than half as many exclamation and question marks as words;
 - navigation: three or more separators, which are a seventh of its words or more;
 - boilerplate: at most 40 words, among them a phrase of BOILERPLATE.
@@ -23,13 +23,19 @@ BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 
-SENTENCE_END = r"[.!?…。！？؟।]"
+#: A mark, closing quotes or brackets, and blanks at the end of a line.
+SENTENCE_END = r"""[.!?…。！？؟।]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
 SYMBOL = r"[#*$%&|<>]"
 SEPARATOR = r"[|»›•·]|(?:^|\s)[>/](?=\s|$)"
+#: Each begins with a letter of a to z and stands at the begin of a word.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "terms of service", "terms of use", "privacy policy", "cookie policy",
     "we use cookies", "accept cookies", "enable javascript", "lorem ipsum", "sign in to", "subscribe to our", "click here to", "powered by", "skip to content",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "wir verwenden cookies", "zum inhalt springen", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "nous utilisons des cookies", "aller au contenu", "abonnez-vous à",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utilizamos cookies", "saltar al contenido", "haz clic aquí",
 )
+BOILERPLATE_PATTERN = "(?:^|[^a-z])(?:" + "|".join(BOILERPLATE) + ")"
 
 
 def words_of(text: Column) -> Column:
@@ -79,7 +85,7 @@ def judged_lines(text: Column) -> Column:
         punctuation = (~ends & ((n <= 3) | few)) | (3 * count(line, SYMBOL) > n) | (2 * count(line, "[!?]") > n)
         separators = count(line, SEPARATOR)
         navigation = (separators >= 3) & (7 * separators >= n)
-        boilerplate = (n <= 40) & F.lower(line).rlike("|".join(BOILERPLATE))
+        boilerplate = (n <= 40) & F.lower(line).rlike(BOILERPLATE_PATTERN)
         return (n > 0) & (punctuation | navigation | boilerplate)
 
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), count(x, WORD).alias("words")))
