@@ -41,6 +41,67 @@ def test_kneser_ney_is_a_distribution_and_backs_off():
     assert p("ba", "n") > p("ba", "u") > p("ba", "z")
 
 
+def brute_kneser_ney(words, order, alphabet):
+    """Interpolated Kneser-Ney by its definition: probability of a character after a context, from counts alone."""
+    texts = [langid.START + w + langid.STOP for w, n in words.items() for _ in range(n)]
+    grams = [Counter(t[i + 1 - k : i + 1] for t in texts for i in range(1, len(t)) if i + 1 >= k) for k in range(order + 1)]
+    seen = [Counter() for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g in grams[k]:
+            seen[k][g] = grams[k][g] if k == order or g[0] == langid.START else len({h for h in grams[k + 1] if h[1:] == g})
+
+    def p(context, c):
+        if context is None:
+            return 1 / alphabet
+        k = len(context) + 1
+        own = {g: n for g, n in seen[k].items() if g[:-1] == context}
+        lower = p(context[1:], c) if context else p(None, c)
+        if not own:
+            return lower
+        once, twice = (sum(n == m for n in seen[k].values()) for m in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        total = sum(own.values())
+        return max(own.get(context + c, 0) - d, 0) / total + min(1, d * len(own) / total) * lower
+
+    return p
+
+
+def test_models_are_those_of_the_definition():
+    words = Counter({"banana": 5, "bandana": 2, "cab": 3, "abacus": 1, "a": 4, "ban": 1})
+    for order in (1, 2, 3, 4):
+        model, p = langid.KneserNey(words, order, alphabet=64), brute_kneser_ney(words, order, 64)
+        for word in ("banana", "cabana", "zz", "a", "bac"):
+            s = langid.START + word + langid.STOP
+            codes = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+            got = model.scores(langid.hashes(codes, order), np.arange(len(codes)), np.arange(1, len(codes)))
+            want = [math.log2(p(s[max(0, i + 1 - order) : i], s[i])) for i in range(1, len(s))]
+            assert got == pytest.approx(want, abs=1e-4)
+
+
+@pytest.mark.parametrize(("text", "words"), [("²", []), ("½ ³ ①", []), ("12 ٣ _ №", []), ("e\u0301te\u0301 x_y", ["e\u0301te\u0301", "x", "y"]), ("नमस्ते", ["नमस्ते"]), ("日本 straße", ["日本", "straße"]), ("\u0301a", ["a"])])
+def test_words_are_letters_with_marks(text, words):
+    assert langid.WORDS.findall(text) == words
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    models = langid.LanguageModels([("hello world this is text", "en"), ("bonjour le monde ceci est", "fr")] * 5)
+    docs = spark.createDataFrame([(1, "²"), (2, "½ ³ ①"), (3, "42 !"), (4, None)], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs, models).collect()} == {("und", 0.0)}
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    few = spark.range(5000).selectExpr("id % 3 AS doc_id", "concat('some text ', id % 2500) AS text", "'en' AS lang")
+    for most in (1, 40, 400):
+        sample = langid.training_sample(few, F.lit(True), sample_docs=most)
+        assert most // 2 <= len(sample) <= most and len(set(sample)) == len(sample)
+    same = spark.range(3000).selectExpr("7L AS doc_id", "'one text' AS text", "'en' AS lang")
+    assert langid.training_sample(same, F.lit(True)) == [("one text", "en")]
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    stats = quality_qda.document_statistics(same.unionByName(spark.createDataFrame([(8, "AA!! BB!!", "en")] * 20, same.schema)))
+    model = quality_qda.fit(stats, labels, F.lit(True), calibration_rows=50)
+    assert model.rows == {0: 20, 1: 3000}
+
+
 def test_held_out_language_accuracy(spark, sf):
     rows = queries.op6_language_id(spark, sf).join(queries.documents(spark, sf).select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
@@ -75,6 +136,27 @@ def test_log_density_is_that_of_the_shrunk_gaussian():
     assert model.log_density(z, 1) == pytest.approx(want)
 
 
+def test_fit_agrees_with_moments_and_calibration_of_all_rows(spark, sf):
+    docs, labels = queries.documents(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.doc_id, quality_qda.statistics(r.text or "")) for r in docs.collect() if r.doc_id in known]
+    x, y = np.array([s for _, s in rows]), np.array([known[d] for d, _ in rows], float)
+    model = quality_qda.fit(quality_qda.document_statistics(docs), labels, F.lit(True))
+    within = sum(((x[y == k] - x[y == k].mean(0)) ** 2).sum(0) for k in (0, 1)) / len(x)
+    unit, density = np.sqrt(np.maximum(within, quality_qda.FLOOR**2)), {}
+    for k in (0, 1):
+        z = x[y == k] / unit
+        cov = np.cov(z.T, bias=True)
+        cov = (1 - quality_qda.SHRINKAGE) * cov + (quality_qda.SHRINKAGE * np.trace(cov) / len(cov) + quality_qda.FLOOR) * np.eye(len(cov))
+        off = x / unit - z.mean(0)
+        density[k] = -0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(cov), off) - 0.5 * np.linalg.slogdet(cov)[1]
+    margin = np.arcsinh((density[1] - density[0]) / 4)
+    assert model.margin(x) == pytest.approx(margin, rel=1e-5, abs=1e-5)
+    p = 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
+    assert [((y - p) * margin).sum() - 1e-3 * model.slope, (y - p).sum() - 1e-3 * model.shift] == pytest.approx([0, 0], abs=1e-3)
+    assert model.score(x) == pytest.approx(p, abs=1e-5)
+
+
 def brute_rules(text):
     words, lines = WORD.findall(text or ""), (text or "").split("\n")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
@@ -100,7 +182,7 @@ def test_base_counts_of_odd_and_repetitive_rows(odd, spark, none):
     assert quality_rules.judge(none).count() == 0
 
 
-@pytest.mark.parametrize(("line", "stays"), [("This is a plain sentence with several words in it.", True), ("Home | News | Sport | About | Contact", False), ("Licensed under the Apache License, Version 2.0.", False), ("Menu", False), ("WHAT!! A!! GREAT!! DEAL!!", False), ("to be or not to be or not to be or", False), ("many different words on one line that somebody wrote without any mark", True), ("Chapter one and the beginning", True), ("", True)])
+@pytest.mark.parametrize(("line", "stays"), [("This is a plain sentence with several words in it.", True), ("Home | News | Sport | About | Contact", False), ("Licensed under the Apache License, Version 2.0.", False), ("Menu", False), ("v1.2 menu", False), ("He said \"yes.\" ", True), ("Tous Droits Réservés à tous.", False), ("Hier steht die Datenschutzerklärung.", False), ("Reintroducing unlicensed underwear is fun.", True), ("WHAT!! A!! GREAT!! DEAL!!", False), ("to be or not to be or not to be or", False), ("many different words on one line that somebody wrote without any mark", True), ("Chapter one and the beginning", True), ("", True)])
 def test_lines(spark, line, stays):
     clean = "The first sentence is long enough to stay here. " * 1 + "A second sentence follows it and also has quite some words."
     q = quality_rules.judge(spark.createDataFrame([(1, clean + "\n" + line)], "doc_id long, text string")).select("quality.*").first()
@@ -184,6 +266,12 @@ def test_targets_fill_caps_and_share_the_rest(spark):
     assert got == pytest.approx({s: 2 * sizes[s] if s in full else weight[s] * level for s in sizes})
 
 
+def test_sources_are_numbered_by_code_point(spark):
+    names = [f"{c}{i}" for i in range(40) for c in "zAaé"] + [None, ""]
+    rows = mixing.numbered_sources(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")).collect()
+    assert {r.source: r.number for r in rows} == {n: i for i, n in enumerate([*sorted(n for n in names if n is not None), None])}
+
+
 def test_mix_reruns_agree_and_meet_targets(spark, sf):
     one, two = (sorted(map(tuple, queries.op10_mixing(spark, sf).collect())) for _ in range(2))
     assert one == two

@@ -6,7 +6,9 @@ of their contexts are kept in arrays sorted by hash and found by bisection. A te
 cross-entropy per event (a character or a word end). A fifth of the sample is left out of the counts and calibrates
 the scale of the scores and, for each language, the cross-entropy beyond which a text is rejected as none of the languages.
 
-The sample is bounded: about SAMPLE_DOCS documents a language, taken by a hash of their ids, and of longer ones an excerpt of SAMPLE_CHARS
+A word is a letter (Unicode category L) and the letters and marks (M) that follow; digits, numerals and signs are no letters.
+
+The sample is bounded: at most SAMPLE_DOCS different texts a language, taken by a hash of the text, and of longer ones an excerpt of SAMPLE_CHARS
 characters at a place drawn by another hash. Every language that occurs with a letter is learned; where there are many, each has fewer and shorter excerpts
 (TOTAL_DOCS and TOTAL_CHARS, but LEAST_DOCS and LEAST_CHARS each), so that the models are fitted on the driver. Every text is predicted whole.
 
@@ -17,22 +19,33 @@ rows with equal ids are predicted apart; an empty table gives no rows; other col
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, slices, written
+from .common import BROADCAST_ROWS, SLICE_ROWS, slices, written
 
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 TOTAL_DOCS, TOTAL_CHARS = 100_000, 40_000_000
 LEAST_DOCS, LEAST_CHARS = 5, 200
-WORDS = re.compile(r"[^\W\d_]+")
+
+
+def of_categories(kinds: str) -> str:
+    """The characters whose Unicode category begins with one of kinds, as ranges of a character class."""
+    own = np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist()
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2]))
+
+
+WORDS = re.compile(f"[{of_categories('L')}][{of_categories('LM')}]*")
 START, STOP = "\x02", "\x03"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 KNOWN_WORDS = 300_000
@@ -184,17 +197,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(text, lang) of about sample_docs excerpts a language, one at least, among the rows that `learn` allows."""
+    """(text, lang) of sample_docs excerpts a language at most, one at least, among the rows that `learn` allows.
+
+    Equal texts of a language share a draw and count once, so that copies don't crowd the others out.
+    """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.select("doc_id", "lang", "text", draw.alias("draw"))
+    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.select("lang", "text", draw.alias("draw"))
     langs = written(drawn.groupBy("lang").agg(F.count("*").alias("of"), F.min("draw").alias("least")), "languages")
     n = max(1, langs.count())
     most = min(sample_docs, max(LEAST_DOCS, TOTAL_DOCS // n))
     chars = min(sample_chars, max(LEAST_CHARS, TOTAL_CHARS // (n * most)))
-    taken = drawn.join(F.broadcast(langs), "lang").where((F.col("draw") < F.lit(most) / F.col("of")) | (F.col("draw") == F.col("least")))
-    place = lambda text: F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.char_length(text) - chars + 1))
-    return [(r.text, r.lang) for r in taken.select("doc_id", F.substr("text", (place(F.col("text")) + 1).cast("int"), F.lit(chars)).alias("text"), "lang").orderBy("doc_id", "text", "lang").collect()]
+    place = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.lit(1), F.char_length("text") - chars + 1))
+    excerpt = F.substr("text", (place + 1).cast("int"), F.lit(chars)).alias("excerpt")
+    taken = drawn.join(F.broadcast(langs), "lang") if n <= BROADCAST_ROWS else drawn.join(langs, "lang")
+    taken = taken.where((F.col("draw") < F.lit(2.0 * most) / F.col("of")) | (F.col("draw") == F.col("least"))).select("lang", "draw", excerpt).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "excerpt")) <= most
+    return [(r.excerpt, r.lang) for r in taken.withColumn("first", first).where("first").orderBy("lang", "draw", "excerpt").collect()]
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:

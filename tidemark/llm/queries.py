@@ -25,6 +25,11 @@ def remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def held_out(divisor: int, own: int):
+    """Whether the id has that remainder; a null id is never learned from, so it is held out too."""
+    return F.coalesce(remainder(divisor) == own, F.lit(True)).alias("held_out")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return packing.pack(packing.pieces(docs, tokenizer_path()))
@@ -56,14 +61,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     models = langid.LanguageModels(langid.training_sample(docs, remainder(5) != 0))
     out = langid.identify(docs.select("doc_id", "text"), models)
-    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return out.select("doc_id", held_out(5, 0), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out = quality_qda.learn_and_classify(docs, labels, remainder(4) != 2)
-    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +125,7 @@ WITH w AS (
   SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
 ), judged AS (
   SELECT doc_id, line, n,
-    (NOT regexp_matches(line, '[.!?…。！？؟।]') AND (n <= 3 OR n >= 10 AND 2 * len(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) < n))
+    (NOT regexp_matches(line, '{end}') AND (n <= 3 OR n >= 10 AND 2 * len(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) < n))
     OR 3 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n
     OR 2 * len(regexp_extract_all(line, '[!?]')) > n
     OR (len(regexp_extract_all(line, '[|»›•·]')) + len(regexp_extract_all(line || ' ', '(^|\s)[>/]\s')) >= 3
@@ -137,7 +142,7 @@ WITH w AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * lost <= n_words AS kept
-FROM base""".replace("{boilerplate}", "|".join(quality_rules.BOILERPLATE)),
+FROM base""".replace("{boilerplate}", quality_rules.BOILERPLATE_PATTERN.replace("'", "''")).replace("{end}", quality_rules.SENTENCE_END.replace("'", "''")),
     "op9_lm_score": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
