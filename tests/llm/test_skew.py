@@ -1,5 +1,6 @@
 """Joins on hot keys: both ways, broadcast and shuffled, give whole results."""
 
+import os
 from collections import Counter
 
 import pytest
@@ -31,3 +32,11 @@ def test_operators(spark, odd, slots):
     assert sorted(map(tuple, got), key=repr) == test_dedup.brute_lines(rows)
     assert simhash.near_duplicates(odd).count() == len(rows)
     assert mixing.mixing_plan(odd).count() == len(rows)
+
+
+def test_scratch_is_deleted(spark, odd):
+    folder = common.shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with common.scratch(spark) as root:
+        assert line_dedup.drop_lines(odd).count() == odd.count() and os.listdir(root.removeprefix("file://"))
+    assert set(os.listdir(folder)) == before

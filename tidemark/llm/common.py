@@ -37,9 +37,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scopes: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Inside, operators write what they keep (tables, archives) into a folder of its own, which is deleted at the end.
+
+    Results that are still to be computed read from there: write or collect them inside.
+    """
+    root = f"{shared_root(spark)}/scratch-{uuid.uuid4().hex}"
+    _scopes.append(root)
+    try:
+        yield root
+    finally:
+        _scopes.remove(root)
+        removed(spark, root)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, or in that of the innermost scratch()."""
+    return f"{_scopes[-1] if _scopes else shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager

@@ -153,16 +153,15 @@ def paired(entries: DataFrame, pivots: int) -> DataFrame:
         held: list[list[np.ndarray]] = []
         rows = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
-            if rows >= CHUNK_ROWS:
+            if rows >= CHUNK_ROWS and held[0][0][0] != held[-1][0][-1]:
                 key, row, size = (np.concatenate(c) for c in zip(*held))
-                changes = np.flatnonzero(key[1:] != key[:-1])
-                if len(changes):
-                    cut = changes[-1] + 1
-                    yield from linked(key[:cut], row[:cut], size[:cut])
-                    key, row, size = key[cut:], row[cut:], size[cut:]
-                held, rows = [[key, row, size]], len(key)
+                cut = np.flatnonzero(key[1:] != key[:-1])[-1] + 1
+                yield from linked(key[:cut], row[:cut], size[:cut])
+                held, rows = [[key[cut:], row[cut:], size[cut:]]], len(key) - cut
         if rows:
             yield from linked(*(np.concatenate(c) for c in zip(*held)))
 

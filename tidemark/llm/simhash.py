@@ -189,16 +189,16 @@ def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
         held: list[list[np.ndarray]] = []
         rows = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
-            if rows >= CHUNK_ROWS:
+            first, last = ([c[k] for c in held[j][:2]] for j, k in ((0, 0), (-1, -1)))
+            if rows >= CHUNK_ROWS and first != last:
                 mask, block, fp, rep = (np.concatenate(c) for c in zip(*held))
-                changes = np.flatnonzero((mask[1:] != mask[:-1]) | (block[1:] != block[:-1]))
-                if len(changes):
-                    cut = changes[-1] + 1
-                    yield linked(mask[:cut], block[:cut], fp[:cut], rep[:cut])
-                    mask, block, fp, rep = mask[cut:], block[cut:], fp[cut:], rep[cut:]
-                held, rows = [[mask, block, fp, rep]], len(mask)
+                cut = np.flatnonzero((mask[1:] != mask[:-1]) | (block[1:] != block[:-1]))[-1] + 1
+                yield linked(mask[:cut], block[:cut], fp[:cut], rep[:cut])
+                held, rows = [[mask[cut:], block[cut:], fp[cut:], rep[cut:]]], len(mask) - cut
         if rows:
             yield linked(*(np.concatenate(c) for c in zip(*held)))
 
