@@ -10,9 +10,11 @@ shingles by hash, those that a sample finds common last; the sample decides the
 by their sizes and by the parities of their shingles in slots, four or more for each shingle, which differ in no more slots than the sets in
 shingles; the rest is compared by the shingles of the whole texts, each row with one of its pairs first.
 
-In a group each row is paired with the PIVOTS first rows. Rows found to be copies leave; groups that are
-larger than that are dealt again with GROWTH times as many pivots, until no group is left that wasn't paired whole. A large group of
-near copies is so gone after one round. Of the rows that stay no two have a similarity of 4/5 or more; each row that goes has that
+First each row is compared with the first of its groups; a large group of near copies is so gone after one round. Shingles of groups that
+stay larger than PIVOTS + 1 rows are shared by strangers: of all rows that hold one the shingles are counted, and rows with frequent ones among
+their first are dealt again by their rarest. In a group each row is then paired with the PIVOTS first rows. Rows found to be copies leave; groups that
+are still larger are dealt again with GROWTH times as many pivots, until no group is left that wasn't paired whole.
+Of the rows that stay no two have a similarity of 4/5 or more; each row that goes has that
 to a row before it (lesser id, null ids last, then the row's place), which stays or goes for the same reason.
 
 Defined results: words and shingles as in simhash, with A-Z lower-cased; texts without a word are copies of one another; fewer words than a shingle
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import BROADCAST_ROWS, dropped, hot_key_join, numbered, slices, written
+from .common import BROADCAST_ROWS, dropped, hot_key_join, numbered, salted_left_join, slices, written
 
 WIDTH = 5
 MAX_BITS = 3
@@ -72,14 +74,12 @@ def slots_that_differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
-def first_ones(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which a set of 4/5 similarity has one too among its own."""
-    n = len(found)
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        late = common[at] == found
-        found = np.r_[found[~late], found[late]]
-    return found[: n - (4 * n + 4) // 5 + 1]
+def first_ones(found: np.ndarray, common: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """The shingles of which a set of 4/5 similarity has one too among its own: common ones after the others, then the late ones as they come."""
+    n, late = len(found), np.zeros(0, np.uint64) if late is None else late
+    rest = found[~np.isin(found, late)]
+    last = np.isin(rest, common)
+    return np.r_[rest[~last], rest[last], late][: n - (4 * n + 4) // 5 + 1]
 
 
 def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
@@ -168,6 +168,46 @@ def paired(entries: DataFrame, pivots: int) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long, key long")
 
 
+def all_shingles(rows: DataFrame, width: int) -> DataFrame:
+    """(row_id, key): the shingles of rows (row_id, text)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(x.as_py() or "", width) for x in batch.column(1)]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["row_id", "key"])
+
+    return rows.select("row_id", "text").mapInArrow(of, "row_id long, key long")
+
+
+def rarest_first(entries: DataFrame, rows: DataFrame, most: int, width: int, common: np.ndarray) -> DataFrame:
+    """entries, with those of the rows whose first shingles are frequent replaced by their rarest ones.
+
+    The order is one for all rows: shingles that more than `most` of the rows of large groups hold come last, by their number, the others as
+    before. Rows without one among their first have the same first ones in both orders.
+    """
+    large = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
+    held = written(entries.join(large, "key", "left_semi").select("row_id").distinct(), "rows-of-large-groups")
+    counts = all_shingles(rows.join(held, "row_id", "left_semi"), width).groupBy("key").agg(F.count("*").alias("n"))
+    often = written(counts.where(F.col("n") > most), "frequent-shingles")
+    changed = written(entries.join(often, "key", "left_semi").select("row_id").distinct(), "rows-dealt-again")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    held_often = salted_left_join(all_shingles(rows.join(changed, "row_id", "left_semi"), width), often.withColumn("often", F.col("n")), "key", "n", total).where("often IS NOT NULL")
+    late = written(held_often.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("late")).select("row_id", "late.key"), "late-shingles")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [first_ones(shingles(t.as_py() or "", width), common, np.array(k.as_py(), np.int64).view(np.uint64)) for t, k in zip(batch.column(1), batch.column(2))]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], names=["row_id", "key"])
+
+    again = rows.select("row_id", "text").join(late, "row_id").mapInArrow(first, "row_id long, key long")
+    again = again.join(entries.select("row_id", "doc_id", "size").distinct(), "row_id").select("key", "doc_id", "row_id", "size")
+    out = written(entries.join(changed, "row_id", "left_anti").select("key", "doc_id", "row_id", "size").unionByName(again), "rarest-first")
+    dropped(held, often, changed, late, entries)
+    return out
+
+
 def with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (a, b) with the columns that of (row_id, ...) has for each."""
     n = pairs.groupBy("a").agg(F.count("*").alias("n"))
@@ -176,7 +216,7 @@ def with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> DataFrame:
-    """pairs (a, b), a pair once or more. (row_id): each b that has a similarity of 4/5 or more to its a."""
+    """pairs (a, b), each once, written. (row_id): each b that has a similarity of 4/5 or more to its a."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +230,6 @@ def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> D
             ends = pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))], names=["row_id", "found"])
 
-    pairs = written(pairs.distinct(), "pairs")
     both = with_both(pairs, prints, ["size", "odd"]).where("5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)")
     likely = written(both.select("a", "b", "a_size", "b_size", "a_odd", "b_odd").mapInArrow(alike, "a long, b long"), "likely-pairs")
     named = likely.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
@@ -205,14 +244,15 @@ def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> D
     found = compared(one)
     rest = written(likely.join(one, ["a", "b"], "left_anti").join(found.withColumnRenamed("row_id", "b"), "b", "left_anti").select("a", "b"), "other-pairs")
     more = compared(rest)
-    dropped(pairs, likely, whole, one, rest)
+    dropped(likely, whole, one, rest)
     return found.unionByName(more)
 
 
 def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
     """rows (row_id, doc_id, text), row_id unique. (row_id) of the rows that go."""
     rows = rows.select("row_id", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = written(sketches(rows, common_shingles(rows, width), width), "sketches")
+    common = common_shingles(rows, width)
+    prints = written(sketches(rows, common, width), "sketches")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     stays = written(prints.groupBy("digest").agg(F.min(order)["row_id"].alias("row_id")).select("row_id"), "distinct-sets")
     gone = written(prints.select("row_id").join(stays, "row_id", "left_anti"), "exact-copies")
@@ -222,17 +262,22 @@ def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits:
     linked = simhash.near_duplicates(rows.join(own, "row_id", "left_semi").select(F.col("row_id").alias("doc_id"), "text"), width, max_bits)
     linked = written(linked.select(F.col("doc_id").alias("row_id"), "component_id").join(own.select("row_id", "doc_id"), "row_id"), "linked")
     firsts = linked.groupBy("component_id").agg(F.min(order)["row_id"].alias("a"), F.count("*").alias("n")).where("n > 1")
-    paired_rows = hot_key_join(linked, firsts, ["component_id"], "n", linked.count()).where("a <> row_id").select("a", F.col("row_id").alias("b"))
-    fresh = close(paired_rows, rows, own, width)
+    links = hot_key_join(linked, firsts, ["component_id"], "n", linked.count()).where("a <> row_id").select("a", F.col("row_id").alias("b"))
+    fresh = close(written(links, "links"), rows, own, width)
     gone = gone.unionByName(fresh)
     entries = own.join(fresh, "row_id", "left_anti").select(F.explode("keys").alias("key"), "doc_id", "row_id", "size")
+    seen = written(paired(entries, 1).where("b IS NOT NULL").select("a", "b").distinct(), "stars")
+    fresh = close(seen, rows, own, width)
+    gone = gone.unionByName(fresh)
+    entries = rarest_first(written(entries.join(fresh, "row_id", "left_anti"), "entries"), rows, pivots + 1, width, common)
     while True:
         found = written(paired(entries, pivots), "paired")
-        fresh = close(found.where("b IS NOT NULL").select("a", "b"), rows, own, width)
-        gone = gone.unionByName(fresh)
+        new = written(found.where("b IS NOT NULL").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "new-pairs")
+        fresh = close(new, rows, own, width)
+        gone, seen = gone.unionByName(fresh), seen.unionByName(new)
         open_ = found.where("key IS NOT NULL").select("key")
         if open_.isEmpty():
-            dropped(own, linked, found)
+            dropped(own, linked, found, seen, entries)
             return gone
         entries = written(entries.join(open_, "key", "left_semi").join(fresh, "row_id", "left_anti"), "open-groups")
         pivots *= GROWTH
