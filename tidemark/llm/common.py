@@ -80,9 +80,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row_id, doc): the rows of docs as one struct column, each with a number of its own that stays."""
-    return written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc")), "numbered")
+@contextlib.contextmanager
+def numbered(docs: DataFrame) -> Iterator[DataFrame]:
+    """(row_id, doc): the rows of docs as one struct column, each with a number of its own that stays.
+
+    A table bucketed by row_id, so that joins by it don't shuffle texts; it is deleted at the end.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"tidemark_rows_{uuid.uuid4().hex}", shared_path(spark, "numbered")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc"))
+    with own_shuffles(spark):
+        rows.repartition(parts, "row_id").write.bucketBy(parts, "row_id").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(spark, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:

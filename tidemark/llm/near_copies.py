@@ -23,6 +23,7 @@ make one shingle; rows with equal ids are apart; an empty table gives no rows; o
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ GROWTH = 16
 #: The least slots of parities, and slots for each shingle.
 SLOTS, SLOTS_EACH = 512, 4
 CHUNK_ROWS = 1 << 16
+#: Shingles are counted in so many ranges of their hashes, one after the other, to hold less on disk at once.
+PASSES = 2
 CHUNK_PAIRS = 1 << 20
 #: The sample has about this many rows; a shingle in COMMON of them or more is common.
 SAMPLE_ROWS = 4_000
@@ -168,12 +171,18 @@ def paired(entries: DataFrame, pivots: int) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long, key long")
 
 
-def all_shingles(rows: DataFrame, width: int) -> DataFrame:
-    """(row_id, key): the shingles of rows (row_id, text)."""
+def united(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def all_shingles(rows: DataFrame, width: int, part: int) -> DataFrame:
+    """(row_id, key): the shingles of rows (row_id, text) in one of PASSES ranges of hashes."""
+    low, high = (-(-(part + k << 64) // PASSES) for k in (0, 1))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(x.as_py() or "", width) for x in batch.column(1)]
+            sets = [x[(x >= np.uint64(low)) & (x <= np.uint64(high - 1))] for x in sets]
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["row_id", "key"])
 
@@ -188,12 +197,16 @@ def rarest_first(entries: DataFrame, rows: DataFrame, most: int, width: int, com
     """
     large = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
     held = written(entries.join(large, "key", "left_semi").select("row_id").distinct(), "rows-of-large-groups")
-    counts = all_shingles(rows.join(held, "row_id", "left_semi"), width).groupBy("key").agg(F.count("*").alias("n"))
-    often = written(counts.where(F.col("n") > most), "frequent-shingles")
-    changed = written(entries.join(often, "key", "left_semi").select("row_id").distinct(), "rows-dealt-again")
-    total = often.agg(F.sum("n")).first()[0] or 0
-    held_often = salted_left_join(all_shingles(rows.join(changed, "row_id", "left_semi"), width), often.withColumn("often", F.col("n")), "key", "n", total).where("often IS NOT NULL")
-    late = written(held_often.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("late")).select("row_id", "late.key"), "late-shingles")
+    large_rows = rows.join(held, "row_id", "left_semi")
+    often = [all_shingles(large_rows, width, k).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most) for k in range(PASSES)]
+    often = [written(x, "frequent-shingles") for x in often]
+    changed = written(entries.join(united(often), "key", "left_semi").select("row_id").distinct(), "rows-dealt-again")
+    again, late = rows.join(changed, "row_id", "left_semi"), []
+    for k, part in enumerate(often):
+        total = part.agg(F.sum("n")).first()[0] or 0
+        found = salted_left_join(all_shingles(again, width, k), part.withColumn("often", F.col("n")), "key", "n", total).where("often IS NOT NULL")
+        late.append(written(found.select("row_id", "often", "key"), "late-shingles"))
+    late_of = united(late).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("late")).select("row_id", "late.key")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -201,10 +214,10 @@ def rarest_first(entries: DataFrame, rows: DataFrame, most: int, width: int, com
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], names=["row_id", "key"])
 
-    again = rows.select("row_id", "text").join(late, "row_id").mapInArrow(first, "row_id long, key long")
+    again = rows.select("row_id", "text").join(late_of, "row_id").mapInArrow(first, "row_id long, key long")
     again = again.join(entries.select("row_id", "doc_id", "size").distinct(), "row_id").select("key", "doc_id", "row_id", "size")
     out = written(entries.join(changed, "row_id", "left_anti").select("key", "doc_id", "row_id", "size").unionByName(again), "rarest-first")
-    dropped(held, often, changed, late, entries)
+    dropped(held, changed, entries, *often, *late)
     return out
 
 
@@ -285,8 +298,6 @@ def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits:
 
 def without_copies(docs: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the rows that go."""
-    rows = numbered(docs)
-    gone = copies(rows.select("row_id", "doc.doc_id", "doc.text"), width, pivots, max_bits)
-    left = written(rows.join(gone, "row_id", "left_anti").select("doc.*"), "without-copies")
-    dropped(rows)
-    return left
+    with numbered(docs) as rows:
+        gone = copies(rows.select("row_id", "doc.doc_id", "doc.text"), width, pivots, max_bits)
+        return written(rows.join(gone, "row_id", "left_anti").select("doc.*"), "without-copies")
