@@ -80,7 +80,13 @@ def test_models_are_those_of_the_definition():
 
 @pytest.mark.parametrize(("text", "words"), [("²", []), ("½ ³ ①", []), ("12 ٣ _ №", []), ("e\u0301te\u0301 x_y", ["e\u0301te\u0301", "x", "y"]), ("नमस्ते", ["नमस्ते"]), ("日本 straße", ["日本", "straße"]), ("\u0301a", ["a"])])
 def test_words_are_letters_with_marks(text, words):
-    assert langid.WORDS.findall(text) == words
+    assert langid.words_of(text) == words == langid.WORDS.findall(text)
+
+
+def test_plain_words_are_those_of_the_categories():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    rest = "".join(c for c in every if c not in langid.ODD)
+    assert langid.PLAIN.findall(rest) == langid.WORDS.findall(rest) and langid.PLAIN.findall(every) != langid.WORDS.findall(every)
 
 
 def test_texts_without_letters_are_undetermined(spark):
