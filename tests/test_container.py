@@ -1,6 +1,9 @@
 """Containers: round trips, splits, torn tails, validation, and foreign files."""
 
+import os
 import struct
+import subprocess
+import sys
 import uuid
 
 import numpy as np
@@ -101,6 +104,51 @@ def test_concatenated_files_merge_by_stream(spark, tmp_path):
     assert container.read(spark, path).where(F.col("stream") == ENGINE.uuid).count() == 10
 
 
+@pytest.mark.parametrize("split", [64, 500, 1 << 20])
+def test_a_damaged_frame_costs_its_segment_only_and_is_told(spark, tmp_path, split):
+    data = bytearray(build(4, 50))
+    path = put(tmp_path, bytes(data))
+    at = container.read(spark, path, "frames").where("segment = 1 AND type = 'DATA'").agg(F.min("frame_offset")).first()[0]
+    data[at + 40] ^= 1
+    put(tmp_path, bytes(data))
+    rows = container.read(spark, path, splitBytes=split).where(F.col("stream") == ENGINE.uuid).groupBy("segment").count().collect()
+    assert {r.segment: r["count"] for r in rows} == {0: 50, 2: 50, 3: 50}
+    assert [(r.segment, r.frame_offset) for r in container.read(spark, path, "frames", splitBytes=split).where("type = 'damaged'").collect()] == [(1, at)]
+
+
+def test_files_of_attempts_that_died_are_not_read(tmp_path):
+    """A job of its own with retries: the first attempt of a task dies after it has given its rows."""
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from tidemark.model import Field, Schema
+from tidemark.sources import container
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+plain = Schema("{ENGINE.uuid}", "plain", 64, (Field("a", 0, 64),), axis_mode="implicit", axis_step=1)
+def once(batches):
+    for b in batches:
+        yield b
+    if not os.path.exists("{tmp_path}/died"):
+        open("{tmp_path}/died", "w").close()
+        os._exit(1)
+rows = container.encode(spark.range(0, 1000, 1, 2).selectExpr("id AS axis", "0L AS run_id", "id AS a"), plain)
+rows = rows.select("axis", "run_id", "record", "tails").sortWithinPartitions("axis")
+container.write(rows.mapInArrow(once, rows.schema), "{tmp_path}/out", plain, frameRecords=10)
+open("{tmp_path}/out/.part-half.rec", "wb").write(b"half a file")
+print("ROWS", container.read(spark, "{tmp_path}/out").count(), container.read(spark, "{tmp_path}/out").select("file").distinct().count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180, env=os.environ)
+    assert "ROWS 1000 2" in out.stdout, out.stderr[-2000:]
+
+
+def test_bad_text_and_floats_that_are_no_numbers(spark, tmp_path):
+    schema = Schema(ENGINE.uuid, "odd", 64, (Field("s", 0, 32, "string"), Field("x", 32, 32, "float")), axis_mode="implicit", axis_step=1)
+    records = [b"AB\0\0" + struct.pack("<f", float("nan")), b"\xff\xfeAB" + struct.pack("<f", float("inf")), b"\xc3\xa9AB" + struct.pack("<f", 1.5)]
+    put(tmp_path, container.header() + container.sync(0, 0) + container.frame(container.SCHEMA, container.put_schema(schema), 1) + container.data_frame(schema, 1, 0, records))
+    rows = container.decode(container.read(spark, str(tmp_path)), schema).orderBy("axis").collect()
+    assert [(r.s, r.x) for r in rows] == [("AB", None), ("\ufffd\ufffdAB", None), ("éAB", 1.5)]
+
+
 def test_damaged_header(spark, tmp_path):
     path = put(tmp_path, b"\0" + build(1, 1)[1:])
     with pytest.raises(Exception, match="not a recording"):

@@ -185,6 +185,12 @@ class Walk:
         self.file, self.size, self.at, self.payloads = file, size, at, payloads
         self.segment, self.schemas, self.bad = -1, {}, {}
 
+    def resume(self, end: int) -> bool:
+        """Goes on at the next intact SYNC before end, after a frame that is torn or damaged; its segment restates what is needed."""
+        begin = next_sync(self.file, self.size, self.at + 1, end)
+        self.at = self.at if begin is None else begin
+        return begin is not None
+
     def frames(self) -> Iterator[tuple[int, int, int, bytes]]:
         """(offset, type, stream id, payload) up to the first that is torn or damaged."""
         while self.at + 12 <= self.size:
@@ -277,9 +283,7 @@ class RecordingReader(DataSourceReader):
                 return
             walk = Walk(file, part.size, begin)
             rows: list[tuple] = []
-            for at, type_, stream, payload in walk.frames():
-                if type_ == SYNC and at >= part.end:
-                    break
+            for at, type_, stream, payload in self.intact(walk, part):
                 if self.view == "records":
                     if type_ == DATA and (batch := self.records(part.file, walk, at, stream, payload)):
                         yield batch
@@ -291,6 +295,19 @@ class RecordingReader(DataSourceReader):
             if rows:
                 yield self.batch(rows)
 
+    def intact(self, walk: Walk, part: Split) -> Iterator[tuple[int, int | None, int, bytes]]:
+        """The frames of the segments that begin in the split. Where one is torn or damaged, a frame of type None, and on from the next intact
+        SYNC; one beyond the split is the next split's, so that the same frames come out however a file is split."""
+        while True:
+            for at, type_, stream, payload in walk.frames():
+                if type_ == SYNC and at >= part.end:
+                    return
+                yield at, type_, stream, payload
+            if walk.at < part.size:
+                yield walk.at, None, 0, b""
+            if not walk.resume(part.end):
+                return
+
     def wanted(self, walk: Walk, stream: int, payload: bytes) -> tuple | None:
         """(schema, split frame) of a DATA frame of the stream and window asked for; None if it can't be read."""
         schema = walk.schemas.get(stream)
@@ -320,6 +337,8 @@ class RecordingReader(DataSourceReader):
 
     def rows(self, file: str, walk: Walk, at: int, type_: int, stream: int, payload: bytes) -> list[tuple]:
         place = (file, walk.segment)
+        if type_ is None:
+            return [(*place, at, "damaged", None, None, None, None, None, 0, "torn or damaged, up to the next intact segment")] if self.view == "frames" else []
         schema = walk.schemas.get(stream)
         if self.view == "stats":
             found = self.wanted(walk, stream, payload) if type_ == DATA else None
@@ -376,7 +395,7 @@ class RecordingWriter(DataSourceArrowWriter):
         store, folder = open_store(self.path)
         store.create_dir(folder, recursive=True)
         name, n, frames, segments = f"part-{uuid.uuid4().hex}.rec", 0, 0, 0
-        with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
+        with store.open_output_stream(f"{folder}/.{name}", compression=None) as out:
             out.write(header())
             for part in self.frames(iterator):
                 if not frames % self.segment_frames:
@@ -413,12 +432,15 @@ class RecordingWriter(DataSourceArrowWriter):
             yield pa.Table.from_batches(held)
 
     def commit(self, messages) -> None:
-        pass
+        """Gives the files of the attempts that count their names; those of others stay hidden, and hidden files are never read."""
+        store, folder = open_store(self.path)
+        for m in messages:
+            store.move(f"{folder}/.{m.name}", f"{folder}/{m.name}")
 
     def abort(self, messages) -> None:
         store, folder = open_store(self.path)
         for m in filter(None, messages):
-            store.delete_file(f"{folder}/{m.name}")
+            store.delete_file(f"{folder}/.{m.name}")
 
 
 class Recordings(DataSource):
@@ -476,7 +498,7 @@ def ieee(raw: Column, width: int) -> Column:
 def raw_column(f: Field, record: Column, tails: Column, slot: int | None) -> Column:
     if f.variable or f.type in ("bytes", "string"):
         blob = F.get(tails, F.lit(slot)) if f.variable else F.substring(record, f.offset // 8 + 1, f.width // 8)
-        return F.decode(blob, "UTF-8") if f.type == "string" else blob
+        return F.regexp_replace(F.make_valid_utf8(blob.cast("string")), r"\x00+\z", "") if f.type == "string" else blob
     if f.type == "complex":
         half = f.width // 2
         parts = [bits.bit_slice(record, f.offset + k * half, half, f.big_endian) for k in (0, 1)]
@@ -501,6 +523,8 @@ def value_column(schema: Schema, i: int) -> Column:
             value = conversions.complex_linear(value, *f.conversion.params) if f.conversion.kind == "linear" else conversions.complex_rational(value, f.conversion.params)
         else:
             value = f.conversion.column(conversions.numeric(value, f.type))
+    if f.type == "float" and f.conversion.kind not in ("value_to_text", "range_to_text"):
+        value = conversions.finite(value)
     if f.guard:
         g = schema.fields[f.guard[0]]
         wanted = f.guard[1] - (1 << 64) if f.guard[1] >> 63 else f.guard[1]
