@@ -19,7 +19,7 @@ from .sources import container, dbc
 
 DAY = 86_400_000_000
 #: The window and run that the single-run queries show.
-RUN, START, END = 7, 2 * DAY, 25 * DAY
+START, END = 2 * DAY, 25 * DAY
 
 
 def epoch(spark: SparkSession, sf_dir: str) -> int:
@@ -78,15 +78,9 @@ def query(sql: str | None = None):
     return put
 
 
-@query(_envelope_sql("value", "run_id", f"run_id = {RUN}", START, END, 20).replace(" AS n FROM s", " AS n, 'exact' AS tier FROM s"))
-def envelope_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recording(spark, sf_dir).where(F.col("run_id") == RUN)
-    return decimate.bucketed(rows, ["run_id"], Buckets(START, END, 20)).withColumn("tier", F.lit("exact"))
-
-
-@query(_envelope_sql("value", "run_id", "true", START, END, 50))
+@query(_envelope_sql("value", "run_id", "true", START, END, 50).replace(" AS n FROM s", " AS n, 'exact' AS tier FROM s"))
 def run_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decimate.bucketed(recording(spark, sf_dir), ["run_id"], Buckets(START, END, 50))
+    return decimate.bucketed(recording(spark, sf_dir), ["run_id"], Buckets(START, END, 50)).withColumn("tier", F.lit("exact"))
 
 
 @query(_envelope_sql("amount", "run_id", "true", START, END, 50))
@@ -94,11 +88,6 @@ def envelope_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimate.bucketed(recording(spark, sf_dir), ["run_id"], Buckets(START, END, 50), "amount")
 
 
-@query(f"WITH {REC} SELECT run_id, axis::DOUBLE AS x, amount AS min, amount AS max, count(amount) OVER (PARTITION BY seq) AS n FROM rec WHERE run_id = {RUN} AND axis BETWEEN {START} AND {END}")
-def envelope_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decimate.samples(recording(spark, sf_dir).where(F.col("run_id") == RUN), ["run_id"], START, END, "amount")
-
-
 @query(f"WITH {REC} SELECT run_id, axis::DOUBLE AS x, amount AS min, amount AS max, count(amount) OVER (PARTITION BY seq) AS n FROM rec WHERE axis BETWEEN {START} AND {END}")
 def run_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimate.samples(recording(spark, sf_dir), ["run_id"], START, END, "amount")
@@ -162,11 +151,6 @@ def epoch_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(at).alias("epoch"), (F.max(at) - F.min(at)).alias("last_tick"))
 
 
-@query(f"WITH {REC}, {STATS.format(v='value')} SELECT segment, run_id, frame, \"count\", first, last FROM stats WHERE last >= {START} AND first <= {END} AND run_id = {RUN}")
-def frame_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.overlapping(index.frame_index(recording(spark, sf_dir)), START, END, RUN)
-
-
 @query(f"WITH {REC}, {STATS.format(v='value')} SELECT segment, run_id, frame, \"count\", first, last FROM stats WHERE last >= {START} AND first <= {END}")
 def run_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.overlapping(index.frame_index(recording(spark, sf_dir)), START, END)
@@ -210,11 +194,6 @@ def states_from_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimate.states_from_stats(index.frame_stats(recording(spark, sf_dir), F.col("state")), ["run_id"], START, END)
 
 
-@query(f"WITH {REC} SELECT run_id, axis, seq, text FROM rec WHERE text IS NOT NULL AND run_id = {RUN} AND axis BETWEEN {START} AND {END}")
-def events_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiers.exact_events(recording(spark, sf_dir).where(F.col("run_id") == RUN), "text", START, END)
-
-
 @query(f"WITH {REC} SELECT run_id, axis, seq, text FROM rec WHERE text IS NOT NULL AND axis BETWEEN {START} AND {END}")
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.exact_events(recording(spark, sf_dir), "text", START, END)
