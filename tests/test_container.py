@@ -173,33 +173,46 @@ def test_written_files_read_back(spark, tmp_path):
     assert [tuple(r) for r in got] == [(i, i % 2, i - 500, i, i / 4, f"s{i}") for i in range(1000)]
 
 
-DBC = '''BO_ 2015 Request: 8 Tester
- SG_ Length : 7|8@0+ (1,0) [0|255] "" X
- SG_ Service M : 8|8@1+ (1,0) [0|255] "" X
- SG_ Rpm m12 : 31|16@0+ (0.25,0) [0|1] "rpm" X
- SG_ Temp m5 : 24|8@1- (1,-40) [0|1] "degC" X
-BO_ 2566844926 Far: 4 X
- SG_ Level : 0|8@1- (1,0) [0|1] "" X
-
-BO_ 1000 Empty: 0 X
-CM_ SG_ 2015 Rpm "engine speed";
-VAL_ 2566844926 Level -1 "low" 1 "high" ;
+DBC = '''VERSION ""
+NS_ :
+	CM_
+	VAL_
+
+BO_ 321 Pump: 8 Control
+ SG_ Count : 7|8@0+ (1,0) [0|255] "" X
+ SG_ Page M : 8|8@1+ (1,0) [0|255] "" X,Y
+ SG_ Flow m7 : 31|16@0+ (0.5,0) [0|1] "l/min" X
+ SG_ Depth m3 : 24|8@1- (1,-10) [0|1] "m" X
+BO_ 2147484000 Valve: 4 X
+ SG_ State : 0|8@1- (1E0,0) [0|1] "" X
+
+BO_ 77 Empty: 0 X
+BO_ 78 Nested: 8 X
+ SG_ Inner m1M : 0|8@1+ (1,0) [0|1] "" X
+BO_ 79 Several: 8 X
+ SG_ One m1 : 0|8@1+ (1,0) [0|1] "" X
+CM_ "all; of it";
+CM_ BO_ 321 "SG_ in a text
+of two lines";
+CM_ SG_ 321 Flow "what runs through";
+SG_MUL_VAL_ 79 One Page 1-1, 3-4;
+VAL_ 2147484000 State -1 "shut" 1 "open" ;
 '''
 
 
 def test_dbc(spark):
     messages = dbc.parse(DBC)
-    assert [(m.can_id, m.extended, len(m.signals)) for m in messages] == [(2015, False, 4), (2566844926 & 0x7FFFFFFF, True, 1), (1000, False, 0)]
-    assert messages[0].signals[2].offset == 24 and messages[0].signals[2].comment == "engine speed"
+    assert [(m.name, m.can_id, m.extended, len(m.signals)) for m in messages] == [("Pump", 321, False, 4), ("Valve", 352, True, 1), ("Empty", 77, False, 0)]
+    assert messages[0].signals[2].offset == 24 and messages[0].signals[2].comment == "what runs through" and messages[0].comment == "SG_ in a text\nof two lines"
     schema = dbc.message_schema(messages[0], DBC.encode())
-    assert schema.fields[2].guard == (1, 12) and schema.uuid == dbc.message_schema(messages[0], DBC.encode()).uuid
-    far = 2566844926 & 0x7FFFFFFF
-    frames = spark.createDataFrame([(1, 2015, False, bytes([8, 12, 0, 0x1A, 0xF8, 0, 0, 0])), (2, 2015, False, bytes([3, 5, 0, 90])), (3, 2015, False, bytes([1, 12, 0, 1])), (4, far, True, b"\xff"), (5, far, False, b"\xff")], "n int, can_id long, extended boolean, payload binary")
+    assert schema.fields[2].guard == (1, 7) and schema.uuid == dbc.message_schema(messages[0], DBC.encode()).uuid
+    frames = spark.createDataFrame([(1, 321, False, bytes([8, 7, 0, 0x1A, 0xF8, 0, 0, 0])), (2, 321, False, bytes([3, 3, 0, 90])), (3, 321, False, bytes([1, 7, 0, 1])), (4, 352, True, b"\xff"), (5, 352, False, b"\xff")], "n int, can_id long, extended boolean, payload binary")
     got = {(r.n, r.signal): (r.value, r.text) for r in dbc.decode_frames(frames, messages).collect()}
-    assert got == {(1, "Length"): (8, None), (1, "Service"): (12, None), (1, "Rpm"): (0x1AF8 / 4, None), (2, "Length"): (3, None), (2, "Service"): (5, None), (2, "Temp"): (50, None), (3, "Length"): (1, None), (3, "Service"): (12, None), (4, "Level"): (-1, "low")}
-    assert [(r.can_id, r.frames) for r in dbc.unknown_frames(frames, messages).collect()] == [(far, 1)]
-    with pytest.raises(dbc.DatabaseError):
-        dbc.parse('BO_ 1 A: 8 X\n SG_ S m1M : 0|8@1+ (1,0) [0|1] "" X')
+    assert got == {(1, "Count"): (8, None), (1, "Page"): (7, None), (1, "Flow"): (0x1AF8 / 2, None), (2, "Count"): (3, None), (2, "Page"): (3, None), (2, "Depth"): (80, None), (3, "Count"): (1, None), (3, "Page"): (7, None), (4, "State"): (-1, "shut")}
+    assert [(r.can_id, r.frames) for r in dbc.unknown_frames(frames, messages).collect()] == [(352, 1)]
+    for wrong in ('BO_ 1 A: 8 X\n SG_ S : 0|8@2+ (1,0) [0|1] "" X', 'BO_ 1 A 8 X', 'BO_ 1 A: 8 X\n SG_ S q : 0|8@1+ (1,0) [0|1] "" X'):
+        with pytest.raises(dbc.DatabaseError):
+            dbc.parse(wrong)
 
 
 def raw_file(flags, points, wide=False, extra=""):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -18,7 +19,7 @@ EXTENDED = 1 << 31
 
 
 class DatabaseError(ValueError):
-    """A line that can't be read, or nested multiplexing."""
+    """A statement that can't be read."""
 
 
 @dataclass(frozen=True)
@@ -60,50 +61,109 @@ class Message:
         return next((s for s in self.signals if s.mux == "M"), None)
 
 
-MESSAGE = re.compile(r"BO_\s+(\d+)\s+(\w+)\s*:\s*(\d+)")
-SIGNAL = re.compile(r'SG_\s+(\w+)\s*(M|m\d+M?)?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*\(\s*([^,]+),([^)]+)\)\s*\[[^]]*\]\s*"([^"]*)"')
-VALUES = re.compile(r'VAL_\s+(\d+)\s+(\w+)\s+((?:-?\d+\s+"[^"]*"\s*)*);')
-REAL = re.compile(r"SIG_VALTYPE_\s+(\d+)\s+(\w+)\s*:?\s*([0123])\s*;")
-COMMENT = re.compile(r'CM_\s+(BO_|SG_)\s+(\d+)\s+(?:(\w+)\s+)?"([^"]*)"\s*;')
+TOKEN = re.compile(r"""
+    "(?P<text>[^"]*)" | (?P<name>[A-Za-z_]\w*) | (?P<number>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?) | (?P<mark>\S)
+""", re.X)
+
+
+class Tokens:
+    """The tokens of a database: texts, names, numbers and single marks, each with the line that it begins in."""
+
+    def __init__(self, text: str):
+        lines = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.items = [(m.lastgroup, m[m.lastgroup], bisect.bisect_right(lines, m.start())) for m in TOKEN.finditer(text)]
+        self.at = 0
+
+    def peek(self, ahead: int = 0) -> tuple[str, str]:
+        return self.items[self.at + ahead][:2] if self.at + ahead < len(self.items) else ("end", "")
+
+    def take(self, kind: str, among: str | None = None) -> str:
+        found, value = self.peek()
+        if found != kind or among is not None and value not in among:
+            line = self.items[min(self.at, len(self.items) - 1)][2] if self.items else 0
+            raise DatabaseError(f"line {line}: {kind} {among or ''} expected, not {value!r}")
+        self.at += 1
+        return value
+
+    def until(self, mark: str) -> None:
+        while self.peek() not in (("mark", mark), ("end", "")):
+            self.at += 1
+        self.at += 1
+
+
+def _message(t: Tokens) -> tuple[int, Message]:
+    """BO_ number name : size sender"""
+    number, name = int(t.take("number")), t.take("name")
+    t.take("mark", ":")
+    return number, Message(number & (EXTENDED - 1), bool(number & EXTENDED), name, int(t.take("number")))
+
+
+def _signal(t: Tokens) -> Signal:
+    """SG_ name [M | m number [M]] : start | width @ order sign ( factor , shift ) [ least | most ] unit receivers"""
+    name = t.take("name")
+    mux = t.take("name") if t.peek()[0] == "name" else ""
+    if mux and not re.fullmatch(r"M|m\d+M?", mux):
+        raise DatabaseError(f"{name}: {mux} is no multiplexing")
+    t.take("mark", ":")
+    start = int(t.take("number"))
+    t.take("mark", "|")
+    width = int(t.take("number"))
+    t.take("mark", "@")
+    order, sign = t.take("number", "01"), t.take("mark", "+-")
+    t.take("mark", "(")
+    factor = float(t.take("number"))
+    t.take("mark", ",")
+    shift = float(t.take("number"))
+    t.take("mark", ")")
+    t.take("mark", "[")
+    t.until("]")
+    return Signal(name, start, width, order == "0", sign == "-", factor, shift, t.take("text"), mux)
 
 
 def parse(text: str) -> list[Message]:
-    """Messages in file order. Lookups go by the whole number, its extended bit included, so equal 11- and 29-bit ids differ."""
+    """Messages in file order. Lookups go by the whole number, its extended bit included, so equal 11- and 29-bit ids differ.
+
+    Messages whose signals are multiplexed by more than one multiplexor (a nested one, or SG_MUL_VAL_) are left out; the others are read.
+    """
     found: dict[int, Message] = {}
-    now = None
-    for line in text.splitlines():
-        line = line.strip()
-        if m := MESSAGE.match(line):
-            now = int(m[1])
-            found[now] = Message(now & (EXTENDED - 1), bool(now & EXTENDED), m[2], int(m[3]))
-        elif line.startswith("SG_ "):
-            m = SIGNAL.match(line)
-            if not m or now is None:
-                raise DatabaseError(line)
-            mux = m[2] or ""
-            if mux.startswith("m") and mux.endswith("M"):
-                raise DatabaseError(f"{m[1]}: nested multiplexing")
-            signal = Signal(m[1], int(m[3]), int(m[4]), m[5] == "0", m[6] == "-", float(m[7]), float(m[8]), m[9], mux)
-            found[now] = replace(found[now], signals=(*found[now].signals, signal))
-        elif line and not line.startswith("SG_"):
-            now = now if line.startswith("SG_") else None
-    if re.search(r"^SG_MUL_VAL_\s", text, re.M):
-        raise DatabaseError("extended multiplexing")
+    refused: set[int] = set()
+    now, t = None, Tokens(text)
 
     def changed(number: int, name: str, **new) -> None:
         if number in found:
             found[number] = replace(found[number], signals=tuple(replace(s, **new) if s.name == name else s for s in found[number].signals))
 
-    for m in VALUES.finditer(text):
-        changed(int(m[1]), m[2], labels=tuple((float(k), label) for k, label in re.findall(r'(-?\d+)\s+"([^"]*)"', m[3])))
-    for m in REAL.finditer(text):
-        changed(int(m[1]), m[2], real={"1": 32, "2": 64}.get(m[3], 0))
-    for m in COMMENT.finditer(text):
-        if m[1] == "SG_":
-            changed(int(m[2]), m[3], comment=m[4])
-        elif int(m[2]) in found:
-            found[int(m[2])] = replace(found[int(m[2])], comment=m[4])
-    return [*found.values()]
+    while t.peek()[0] != "end":
+        keyword, following = t.peek(), t.peek(1)
+        t.at += 1
+        if keyword == ("name", "BO_") and following[0] == "number":
+            now, message = _message(t)
+            found[now] = message
+        elif keyword == ("name", "SG_") and following[0] == "name" and now is not None:
+            signal = _signal(t)
+            found[now] = replace(found[now], signals=(*found[now].signals, signal))
+            refused |= {now} if signal.mux.startswith("m") and signal.mux.endswith("M") else set()
+        elif keyword == ("name", "SG_MUL_VAL_") and following[0] == "number":
+            refused.add(int(t.take("number")))
+            t.until(";")
+        elif keyword == ("name", "VAL_") and following[0] == "number":
+            number, name, labels = int(t.take("number")), t.take("name"), []
+            while t.peek()[0] == "number":
+                labels.append((float(t.take("number")), t.take("text")))
+            changed(number, name, labels=tuple(labels))
+        elif keyword == ("name", "SIG_VALTYPE_") and following[0] == "number":
+            number, name = int(t.take("number")), t.take("name")
+            t.at += t.peek() == ("mark", ":")
+            changed(number, name, real={"1": 32, "2": 64}.get(t.take("number"), 0))
+        elif keyword == ("name", "CM_") and following in (("name", "BO_"), ("name", "SG_")) and t.peek(1)[0] == "number":
+            kind, number = t.take("name"), int(t.take("number"))
+            name = t.take("name") if kind == "SG_" else None
+            comment = t.take("text")
+            if name:
+                changed(number, name, comment=comment)
+            elif number in found:
+                found[number] = replace(found[number], comment=comment)
+    return [m for number, m in found.items() if number not in refused]
 
 
 def message_schema(message: Message, database: bytes) -> Schema:
