@@ -38,21 +38,21 @@ def test_slices_without_a_header_and_windows(spark, tmp_path):
     assert {r.segment for r in near.collect()} == {1}
 
 
-def test_powertrain(spark, tmp_path):
+def test_pump(spark, tmp_path):
     path = str(tmp_path / "p")
-    fixtures.write_powertrain(spark, path, 3000)
-    rows = container.decode(container.read(spark, path), fixtures.POWERTRAIN).orderBy("axis").collect()
-    assert len(rows) == 3000 and rows[0].rpm == 800 and rows[0].mode == "idle" and rows[0].boost is None
+    fixtures.write_pump(spark, path, 3000)
+    rows = container.decode(container.read(spark, path), fixtures.PUMP).orderBy("axis").collect()
+    assert len(rows) == 3000 and rows[0].state == "off" and rows[0].dose is None and rows[0].level == 40_000
     i = 2999
-    assert rows[i].axis == 10_000 * i and rows[i].rpm == 0.5 * math.floor(1600 + 1200 * math.sin(i / 50_000) + 200 * math.sin(i / 613))
+    assert rows[i].axis == 10_000 * i and rows[i].flow == pytest.approx(0.05 * (5 * i + i % 7)) and rows[i].pressure == 101_325 + 2 * ((i - 4500) ** 2 // 64)
 
 
-def test_sweep_formula(spark):
-    rows = fixtures.sweep(spark).collect()
-    assert len(rows) == 1000 and {r.run_id for r in rows} == {0, 1, 2, 3}
-    r = next(r for r in rows if r.run_id == 1 and r.i == 200)
-    x = 10 * 10 ** (200 / 50) / (12_000 * 0.9985**65)
-    assert r.gain == pytest.approx(-20 * math.log10(math.hypot(1 - x * x, x))) and r.phase == pytest.approx(-math.degrees(math.atan2(x, 1 - x * x)))
+def test_filter_formula(spark):
+    rows = fixtures.filter_response(spark).collect()
+    assert len(rows) == 600 and {r.run_id for r in rows} == set(range(5))
+    r = next(r for r in rows if r.run_id == 2 and r.i == 60)
+    x = 16 * 2 ** (60 / 12) / 400
+    assert r.gain == pytest.approx(-10 * math.log10(1 + x * x)) and r.phase == pytest.approx(-math.atan(x))
 
 
 def test_spice_to_container(spark, tmp_path):

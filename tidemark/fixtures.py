@@ -2,59 +2,50 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Conversion, Field, Schema
 from .sources import container
 
-#: Fixed values of the fixtures: layouts, steps, formulas' constants and temperatures.
-MODES = ((0.0, "idle"), (1.0, "cruise"), (2.0, "boost"), (3.0, "regen"))
-TEMPERATURES = (-40, 25, 85, 125, 150, 175, 200, 225)
-FRAME_RECORDS, SEGMENT_FRAMES, SPIKE_EVERY, DWELL = 65_536, 64, 5_000_000, 250_000
+#: States of the pump, records of a state, frame and segment, and how far apart surges are.
+STATES = ((0.0, "off"), (1.0, "priming"), (2.0, "running"), (3.0, "flushing"), (4.0, "draining"))
+STATE_RECORDS, FRAME_RECORDS, SEGMENT_FRAMES, SURGE_EVERY = 180_000, 50_000, 40, 1_700_000
 
-POWERTRAIN = Schema(
-    str(uuid.uuid5(uuid.NAMESPACE_OID, "tidemark/powertrain")), "powertrain", 80,
+PUMP = Schema(
+    str(uuid.uuid5(uuid.NAMESPACE_OID, "tidemark/pump")), "pump", 88,
     (
-        Field("rpm", 0, 16, unit="1/min", conversion=Conversion("linear", (0.0, 0.5))), Field("coolant", 16, 16, unit="degC", conversion=Conversion("linear", (-40.0, 0.1))),
-        Field("speed", 32, 16, unit="km/h", conversion=Conversion("linear", (0.0, 0.01))), Field("mode", 48, 8, conversion=Conversion("value_to_text", (MODES, "?"))),
-        Field("boost", 56, 16, unit="kPa", guard=(3, 2), conversion=Conversion("linear", (0.0, 0.1))), Field("fault", 72, 1, "bool"),
+        Field("flow", 0, 16, unit="l/min", conversion=Conversion("linear", (0.0, 0.05))), Field("state", 16, 8, conversion=Conversion("value_to_text", (STATES, "?"))),
+        Field("pressure", 24, 24, "sint", unit="Pa", conversion=Conversion("linear", (101_325.0, 2.0))), Field("level", 48, 16, unit="mm"),
+        Field("dose", 64, 16, unit="ml", guard=(1, 3), conversion=Conversion("linear", (0.0, 0.2))), Field("surge", 80, 1, "bool"),
     ), axis_step=10_000,
 )
 
 
-def wave(i: Column, middle: float, height: float, period: float) -> Column:
-    return F.lit(middle) + F.lit(height) * F.sin(i / F.lit(float(period)))
-
-
-def powertrain(spark: SparkSession, n: int) -> DataFrame:
-    """Raw values of n records; a one-record spike every SPIKE_EVERY."""
-    i = F.col("id").cast("double")
-    spike = F.col("id") % SPIKE_EVERY == SPIKE_EVERY - 1
-    whole = lambda c: F.floor(c).cast("long")
+def pump(spark: SparkSession, n: int) -> DataFrame:
+    """Raw values of n records: a saw of flow, a parabola of pressure, a falling level, and a surge now and then."""
+    i = F.col("id")
+    saw, surge = i % 9_000, i % SURGE_EVERY == SURGE_EVERY // 2
     return spark.range(n).select(
-        (F.col("id") * 10_000).alias("axis"), F.lit(0).cast("long").alias("run_id"), F.when(spike, F.lit(65_535)).otherwise(whole(wave(i, 1600, 1200, 50_000) + F.lit(200.0) * F.sin(i / 613))).alias("rpm"),
-        whole(wave(i, 900, 250, 2_000_000)).alias("coolant"), whole(wave(i, 4000, 3500, 120_000)).alias("speed"), (F.floor(F.col("id") / DWELL) % 4).alias("mode"), whole(wave(i, 1000, 500, 7_000)).alias("boost"), spike.cast("long").alias("fault"),
+        (i * 10_000).alias("axis"), F.lit(0).cast("long").alias("run_id"), F.when(surge, F.lit(65_000)).otherwise(saw * 5 + i % 7).alias("flow"), (F.floor(i / STATE_RECORDS) % len(STATES)).alias("state"),
+        F.floor((saw - 4_500) * (saw - 4_500) / 64).cast("long").alias("pressure"), (F.lit(40_000) - F.floor(i / 300) % 40_000).alias("level"), (i % 4_001).alias("dose"), surge.cast("int").alias("surge"),
     )
 
 
-def sweep_schema(per_decade: int = 50) -> Schema:
-    fields = (Field("gain", 0, 32, "float", unit="dB"), Field("phase", 32, 32, "float", unit="deg"))
-    return Schema(str(uuid.uuid5(uuid.NAMESPACE_OID, f"tidemark/sweep/{per_decade}")), "ac_sweep", 64, fields, "frequency", "log", 0, "Hz", 10.0 ** (1 / per_decade), 1.0)
+def filter_schema(per_octave: int = 12) -> Schema:
+    fields = (Field("gain", 0, 32, "float", unit="dB"), Field("phase", 32, 32, "float", unit="rad"))
+    return Schema(str(uuid.uuid5(uuid.NAMESPACE_OID, f"tidemark/filter/{per_octave}")), "filter", 64, fields, "frequency", "log", 0, "Hz", 2.0 ** (1 / per_octave), 1.0)
 
 
-def sweep(spark: SparkSession, runs: int = 4, points: int = 250, per_decade: int = 50) -> DataFrame:
-    """The response of a resonance whose corner falls as the part heats up, a run per temperature."""
-    temperature = F.element_at(F.array(*[F.lit(float(t)) for t in TEMPERATURES]), (F.col("run_id") % len(TEMPERATURES) + 1).cast("int"))
+def filter_response(spark: SparkSession, runs: int = 5, points: int = 120, per_octave: int = 12) -> DataFrame:
+    """The response of a low pass of first order from 16 Hz on, whose corner doubles from run to run."""
     rows = spark.range(runs * points).select(F.floor(F.col("id") / points).alias("run_id"), (F.col("id") % points).alias("i"))
-    r = F.lit(10.0) * F.pow(F.lit(10.0), F.col("i") / per_decade) / (F.lit(12_000.0) * F.pow(F.lit(0.9985), temperature + 40))
-    real = F.lit(1.0) - r * r
-    return rows.select(F.lit(10.0).alias("axis"), "run_id", "i", (F.lit(-20.0) * F.log10(F.sqrt(real * real + r * r))).alias("gain"), (-F.atan2(r, real) * F.lit(180 / math.pi)).alias("phase"))
+    r = F.lit(16.0) * F.pow(F.lit(2.0), F.col("i") / per_octave) / (F.lit(100.0) * F.pow(F.lit(2.0), F.col("run_id")))
+    return rows.select(F.lit(16.0).alias("axis"), "run_id", "i", (F.lit(-10.0) * F.log10(1 + r * r)).alias("gain"), (-F.atan(r)).alias("phase"))
 
 
-def write_powertrain(spark: SparkSession, path: str, n: int) -> None:
+def write_pump(spark: SparkSession, path: str, n: int) -> None:
     """Each task writes whole frames of a contiguous range of records."""
-    container.write(container.encode(powertrain(spark, n), POWERTRAIN), path, POWERTRAIN, frameRecords=FRAME_RECORDS, segmentFrames=SEGMENT_FRAMES)
+    container.write(container.encode(pump(spark, n), PUMP), path, PUMP, frameRecords=FRAME_RECORDS, segmentFrames=SEGMENT_FRAMES)

@@ -18,7 +18,7 @@ from .plans import storage, tiers
 from .sources import container, dbc
 
 DAY = 86_400_000_000
-#: The window and run that the single-run queries show.
+#: The window that the queries show.
 START, END = 2 * DAY, 25 * DAY
 
 
@@ -408,3 +408,42 @@ def dbc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = events.withColumn("payload", F.unhex(F.lpad(F.hex(F.col("event_id") * 2_654_435_761 % 9_007_199_254_740_881), 16, "0")))
     frames = frames.select("event_id", F.col("user_id").alias("can_id"), F.lit(False).alias("extended"), "payload")
     return dbc.decode_frames(frames, dbc.parse(DATABASE)).select("event_id", "message", "signal", "value", "text")
+
+
+@query("SELECT user_id AS run_id, count(*)::BIGINT AS records, sum(value) AS total FROM events WHERE user_id > (SELECT min(user_id) FROM events) GROUP BY user_id")
+def container_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container of a segment per run and task, of which the segments of the least run are damaged: all others are read whole."""
+    path, schema = storage.scratch(spark, "damaged"), Schema("6e9f2f0e-0a52-4d8e-9b0c-2f5a1c3d7e11", "values", 64, (Field("value", 0, 64, "float"),), axis_mode="implicit", axis_step=0)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).cast("long").alias("axis"), F.col("user_id").alias("run_id"), "value")
+    container.write(container.encode(rows, schema), path, schema, segmentFrames=1)
+    frames = container.read(spark, path, "frames").where("type = 'DATA'")
+    least = frames.agg(F.min("run_id")).first()[0]
+    for r in frames.where(F.col("run_id") == F.lit(least)).groupBy("file").agg(F.collect_list("frame_offset").alias("at")).collect():
+        container.overwrite_bytes(r.file, r.at, 20)
+    return container.decode(container.read(spark, path, splitBytes=4096), schema).groupBy("run_id").agg(F.count("*").alias("records"), F.sum("value").alias("total"))
+
+
+@query(f"SELECT run_id, x, min, max, n, 'stats' AS tier, false AS exact FROM ({ORACLE_SQL['envelope_stats']})")
+def tier_choice_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More frames than may be decoded: the envelope comes from statistics."""
+    rows = recording(spark, sf_dir)
+    return tiers.envelope(rows, index.frame_stats(rows, F.col("value")), START, END, 50, most_frames=0)
+
+
+@query(f"SELECT run_id, x, min, max, n, 'exact' AS tier, false AS exact FROM ({ORACLE_SQL['run_overlay']})")
+def tier_choice_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few enough frames, more samples than points: the envelope of the samples."""
+    rows = recording(spark, sf_dir)
+    return tiers.envelope(rows, index.frame_stats(rows, F.col("value")), START, END, 50, most_frames=1 << 40)
+
+
+@query(f"SELECT run_id, x0, x1, raw, mixed, absent, 'stats' AS tier FROM ({ORACLE_SQL['states_from_stats']})")
+def tier_choice_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recording(spark, sf_dir)
+    return tiers.states(rows, index.frame_stats(rows, F.col("state")), START, END, most_frames=0)
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['events_density']})")
+def tier_choice_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recording(spark, sf_dir)
+    return tiers.events(rows, index.frame_stats(rows, F.col("amount"), bounds=False), START, END, text="amount", most_frames=0)[0]

@@ -170,6 +170,17 @@ def list_files(path: str) -> list[tuple[str, int]]:
     return sorted((start + x.path, x.size) for x in found if x.is_file and not x.base_name.startswith(("_", ".")))
 
 
+def overwrite_bytes(path: str, frames: list[int], at: int) -> None:
+    """Inverts the byte `at` bytes into each of the frames of a file, to test what damage costs."""
+    store, inner = open_store(path)
+    with store.open_input_file(inner) as file:
+        data = bytearray(file.read())
+    for start in frames:
+        data[start + at] ^= 255
+    with store.open_output_stream(inner, compression=None) as file:
+        file.write(bytes(data))
+
+
 def check_header(head: bytes, path: str) -> None:
     if len(head) < 16 or head[:8] != MAGIC:
         raise ValueError(f"{path}: not a recording")
