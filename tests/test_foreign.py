@@ -108,6 +108,27 @@ def test_unsorted_group_with_variable_length(spark, tmp_path):
     assert [(r.axis, bytes(r.payload)) for r in rows] == [(float(i), b"x" * i + b"!") for i in range(20)]
 
 
+def test_two_groups_of_variable_length_and_encoded_texts(spark, tmp_path):
+    body, at = b"", [0, 0]
+    for i in range(12):
+        texts = ["é" * i, f"ω{i}"]
+        parts = [texts[0].encode("utf-16-le") + b"\0\0", texts[1].encode()]
+        for k in (0, 1):
+            body += bytes([2 + k]) + struct.pack("<I", len(parts[k])) + parts[k]
+        body += b"\1" + struct.pack("<dQQ", float(i), *at) + f"ü{i}".encode("latin-1").ljust(6, b"\0")
+        at = [x + 4 + len(p) for x, p in zip(at, parts)]
+
+    def groups(m):
+        one, two = (m.add("CG", (0, 0, 0, 0, 0, 0), struct.pack("<QQHHIII", k, 12, 1, 0, 0, 0, 0)) for k in (2, 3))
+        cn = m.channel("latin", 0, 0, 6, 24, 48)
+        cn = m.channel("utf8", m.channel("plain", cn, 0, 0, 24, 8), 1, 7, 16, 64, data=two)
+        cn = m.channel("t", m.channel("utf16", cn, 1, 8, 8, 64, data=one), 2, 4, 0, 64, sync=1)
+        return [{"groups": [("bus", cn, 12, 30, 0, 1, 0), ("v", 0, 12, 0, 0, 2, 1), ("w", 0, 12, 0, 0, 3, 1)], "data": m.add("DT", (), body), "id_bytes": 1}]
+
+    rows = mdf4.read(spark, write_mdf(tmp_path, groups), "bus")[0].orderBy("axis").collect()
+    assert [(r.utf16, r.utf8, r.latin, r.plain) for r in rows] == [("é" * i, f"ω{i}", f"ü{i}", 0xFC) for i in range(12)]
+
+
 def test_refusals(tmp_path):
     (tmp_path / "a").write_bytes(b"MDF     3.30" + bytes(100))
     with pytest.raises(mdf4.MdfError):

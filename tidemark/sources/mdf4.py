@@ -21,8 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..model import Conversion, Field, Schema
 from .container import VIEWS, decode, open_store
 
-#: Fixed values of the format: channel and conversion kinds.
+#: Fixed values of the format: channel and conversion kinds, encodings of text by data type.
 VLSD_CHANNEL, MASTER, VIRTUAL_MASTER, VIRTUAL = 1, 2, 3, 6
+ENCODINGS = {6: "latin-1", 7: "utf-8", 8: "utf-16-le", 9: "utf-16-be"}
 
 
 class MdfError(ValueError):
@@ -43,6 +44,11 @@ class Channel:
     data: int
     invalidation: int | None
 
+    @property
+    def carried(self) -> bool:
+        """Whether values come as tails of records: of varying length, or texts that aren't in UTF-8."""
+        return self.kind == VLSD_CHANNEL or self.data_type in ENCODINGS and self.data_type != 7 and self.kind not in (VIRTUAL, VIRTUAL_MASTER)
+
 
 @dataclass
 class Group:
@@ -216,7 +222,7 @@ def group_schema(group: Group, path: str) -> Schema:
                 continue
         if c.kind == MASTER:
             master = len(fields)
-        fields.append(Field(c.name, 0 if c.kind == VLSD_CHANNEL else offset, 0 if c.kind == VLSD_CHANNEL else c.width, kind, big, c.kind == VLSD_CHANNEL, None, Conversion() if blob else c.conversion, c.unit, c.desc))
+        fields.append(Field(c.name, 0 if c.carried else offset, 0 if c.carried else c.width, kind, big, c.carried, None, Conversion() if blob else c.conversion, c.unit, c.desc))
         if c.invalidation is not None:
             guards[len(fields) - 1] = 8 * group.data_bytes + c.invalidation
     for i, bit in guards.items():
@@ -266,20 +272,24 @@ class MdfReader(DataSourceReader):
         group, size = self.group, self.group.data_bytes + self.group.invalid_bytes
         with store.open_input_file(inner) as file:
             blocks = Blocks(file)
-            variable = [c for c in group.channels if c.kind == VLSD_CHANNEL]
-            signal = {id(c): b"".join(map(blocks.data, blocks.parts(c.data))) for c in variable if c.data and file.read_at(4, c.data) != b"##CG"}
+            variable = [c for c in group.channels if c.carried]
+            signal, number_of = {}, {}
+            for c in variable:
+                if c.kind == VLSD_CHANNEL and c.data and file.read_at(4, c.data) == b"##CG":
+                    number_of[id(c)] = struct.unpack("<Q", blocks.block(c.data)[2][:8])[0]
+                elif c.kind == VLSD_CHANNEL:
+                    signal[id(c)] = b"".join(map(blocks.data, blocks.parts(c.data)))
             data = b"".join(map(blocks.data, span.parts))[span.skip :]
             if group.id_bytes:
-                records, inline = demux(data, group), {}
-                records, inline = records
+                records, inline = demux(data, group)
             else:
                 most = span.base or len(data) // size if size else 0
-                records, inline = [data[i * size : (i + 1) * size] for i in range(most) if (i + 1) * size <= len(data)], b""
+                records, inline = [data[i * size : (i + 1) * size] for i in range(most) if (i + 1) * size <= len(data)], {}
             if not span.base:
                 records = records[: group.cycles] if group.cycles else records
             for at in range(0, len(records), 8192):
                 some = records[at : at + 8192]
-                tails = [[blob_at(signal.get(id(c), inline), r, c) for c in variable] for r in some] if variable else [None] * len(some)
+                tails = [[tail_of(r, c, signal.get(id(c), inline.get(number_of.get(id(c)), b""))) for c in variable] for r in some] if variable else [None] * len(some)
                 n = len(some)
                 number = [span.first + at + i for i in range(n)]
                 columns = [[self.path] * n, [0] * n, [0] * n, number, [self.schema_.uuid] * n, [0] * n, [None] * n, [0.0] * n, some, tails]
@@ -287,9 +297,9 @@ class MdfReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in VIEWS["records"].split(", ")])
 
 
-def demux(data: bytes, group: Group) -> tuple[list[bytes], bytes]:
-    """(the group's records, the bytes of variable-length records with their lengths) of an unsorted data group, in order."""
-    at, records, inline = 0, [], []
+def demux(data: bytes, group: Group) -> tuple[list[bytes], dict[int, bytes]]:
+    """(the group's records, by record id the bytes of variable-length records with their lengths) of an unsorted data group, in order."""
+    at, records, inline = 0, [], {}
     while at + group.id_bytes <= len(data):
         record_id = int.from_bytes(data[at : at + group.id_bytes], "little")
         at += group.id_bytes
@@ -298,7 +308,7 @@ def demux(data: bytes, group: Group) -> tuple[list[bytes], bytes]:
             raise MdfError(f"unknown record id {record_id}")
         if size < 0:
             n = 4 + int.from_bytes(data[at : at + 4], "little")
-            inline.append(data[at : at + n])
+            inline.setdefault(record_id, []).append(data[at : at + n])
             at += n
             continue
         if at + size > len(data):
@@ -306,7 +316,18 @@ def demux(data: bytes, group: Group) -> tuple[list[bytes], bytes]:
         if record_id == group.record_id:
             records.append(data[at : at + size])
         at += size
-    return records, b"".join(inline)
+    return records, {k: b"".join(x) for k, x in inline.items()}
+
+
+def tail_of(record: bytes, c: Channel, signal: bytes) -> bytes:
+    """The value of a channel that a record's tail carries: texts in UTF-8, up to the NULs at their end."""
+    if c.kind == VLSD_CHANNEL:
+        value = blob_at(signal, record, c)
+    else:
+        value = record[c.offset // 8 : (c.offset + c.width) // 8]
+    if c.data_type not in ENCODINGS:
+        return value
+    return value.decode(ENCODINGS[c.data_type], "replace").rstrip("\0").encode("utf-8", "replace")
 
 
 def blob_at(signal: bytes, record: bytes, c: Channel) -> bytes:
