@@ -193,3 +193,74 @@ def test_progress_is_told(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert told[0][:2] == ("started", "told") and ("progress", "told", 9) in told and told[-1][0] == "ended"
+
+
+def test_index_of_rewritten_and_grown_files(spark, tmp_path):
+    """A rewrite of equal size is told by its time; a file that grew is read from its last segment on; all is as if built at once."""
+    import os
+
+    path, at = tmp_path / "rec", str(tmp_path / "index")
+    path.mkdir()
+    (path / "a.rec").write_bytes(build(4, 10))
+    (path / "b.rec").write_bytes(build(2, 10))
+    storage.open_index(spark, str(path), at)
+    data = bytearray(build(2, 10))
+    sync = data.find(container.TOKEN, data.find(container.TOKEN) + 1)
+    data[sync - 30] ^= 255
+    (path / "b.rec").write_bytes(data)
+    os.utime(path / "b.rec", ns=(1, 1))
+    (path / "a.rec").write_bytes(build(7, 10))
+    got, used = storage.open_index(spark, str(path), at)
+    whole, _ = storage.open_index(spark, str(path), str(tmp_path / "other"))
+    rows = [sorted(map(str, x.select(sorted(x.columns)).collect())) for x in (got, whole)]
+    assert not used and rows[0] == rows[1] and len(rows[0]) == len(set(rows[0]))
+    assert storage.open_index(spark, str(path), at)[1]
+    (tmp_path / "index" / f"v{storage.VERSION}.json").write_text("{")
+    assert not storage.open_index(spark, str(path), at)[1]
+    (path / "b.rec").unlink()
+    assert {r.file[-5:] for r in storage.open_index(spark, str(path), at)[0].select("file").distinct().collect()} == {"a.rec"}
+
+
+@pytest.mark.parametrize("window", [(-1e18, 1e18), (0, 0), (3, 250), (1e17, 1e18)])
+def test_windows_by_the_index_are_those_of_a_scan(spark, tmp_path, window):
+    path = tmp_path / "rec"
+    path.mkdir()
+    (path / "a.rec").write_bytes(build(3, 20))
+    frames, _ = storage.open_index(spark, str(path), str(tmp_path / "index"))
+    for (stream,) in frames.select("stream").distinct().collect():
+        schema = container.stream_schema(spark, str(path), stream)
+        scan = container.decode(container.read(spark, str(path)), schema).where(f"axis >= {int(window[0])} AND axis <= {int(window[1])}")
+        got = storage.window(frames, stream, int(window[0]), int(window[1]))
+        assert sorted(map(str, got.collect())) == sorted(map(str, scan.collect()))
+        stats = storage.statistics(frames, schema.fields[0].name)
+        view = container.read(spark, str(path), "stats").where(f"stream = '{stream}' AND field = '{schema.fields[0].name}'")
+        assert sorted(map(str, stats.select("frame", "n_present", "low", "high").collect())) == sorted(map(str, view.selectExpr("frame_offset AS frame", "n_present", "low", "high").collect()))
+
+
+def test_a_frame_that_changed_since_is_an_error(spark, tmp_path):
+    path = tmp_path / "rec"
+    path.mkdir()
+    (path / "a.rec").write_bytes(build(1, 20))
+    frames, _ = storage.open_index(spark, str(path), str(tmp_path / "index"))
+    place = frames.where(f"stream = '{ENGINE.uuid}'").first()
+    container.overwrite_bytes(str(path / "a.rec"), [place.frame_offset], 20)
+    schema = container.parse_schema(container.put_schema(ENGINE))
+    with pytest.raises(Exception, match="isn't as the index has it"):
+        container.records_at(frames, schema).count()
+
+
+def test_equality_filters_reach_the_reader(spark, tmp_path):
+    path = tmp_path / "rec"
+    path.mkdir()
+    (path / "a.rec").write_bytes(build(3, 20))
+    rows = container.read(spark, str(path))
+    all_of = rows.collect()
+    for column in ("segment", "stream", "run_id"):
+        for value in {r[column] for r in all_of}:
+            assert rows.where(rows[column] == value).count() == sum(r[column] == value for r in all_of)
+    assert rows.where("segment IN (0, 2) AND segment IN (2, 3)").count() == sum(r.segment == 2 for r in all_of)
+    assert rows.where("file = 'none'").count() == 0
+    schema = rows.schema
+    reader = container.RecordingReader({"path": str(path)}, schema)
+    assert list(reader.pushFilters([container.EqualTo(("segment",), 1)])) == [container.EqualTo(("segment",), 1)]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == sum(r.segment == 1 for r in all_of)

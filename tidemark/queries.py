@@ -386,6 +386,33 @@ def zoom_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("value IS NOT NULL").groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 
 
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type = 'purchase' AS bought, value, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 1000000 AS pos FROM events)
+SELECT 'event_id' AS field, count(*)::BIGINT AS n, min(event_id)::DOUBLE AS low, max(event_id)::DOUBLE AS high FROM e
+UNION ALL SELECT 'user_id', count(*)::BIGINT, min(user_id)::DOUBLE, max(user_id)::DOUBLE FROM e
+UNION ALL SELECT 'purchase', count(*)::BIGINT, min(bought::INT)::DOUBLE, max(bought::INT)::DOUBLE FROM e
+UNION ALL SELECT 'value', count(value)::BIGINT, min(value), max(value) FROM e WHERE bought
+UNION ALL SELECT 'at', count(*)::BIGINT, min(pos)::DOUBLE, max(pos)::DOUBLE FROM e""")
+def kept_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of a container from its kept index, opened again: no frame is read."""
+    path, _ = _container(spark, sf_dir)
+    at = storage.scratch(spark, "index")
+    storage.open_index(spark, path, at)
+    frames, kept = storage.open_index(spark, path, at)
+    if not kept:
+        raise ValueError("the index of an unchanged recording has to answer")
+    fields = frames.select(F.explode("fields").alias("f")).select("f.*")
+    return fields.groupBy("field").agg(F.sum("n_present").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query(ORACLE_SQL["zoom_container"])
+def kept_index_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of a container by its kept index: frames outside it aren't read, each other one by its place."""
+    path, schema = _container(spark, sf_dir)
+    frames, _ = storage.open_index(spark, path, storage.scratch(spark, "index"))
+    rows = storage.window(frames, schema.uuid, 172_800, 604_800)
+    return rows.where("value IS NOT NULL").groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+
+
 DATABASE = '''BO_ 3 Engine: 8 X
  SG_ Speed : 7|16@0+ (0.25,0) [0|1] "rpm" X
  SG_ Kind M : 16|2@1+ (1,0) [0|3] "" X

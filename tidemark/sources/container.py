@@ -2,20 +2,24 @@
 
 format("recording") reads a file or folder. Byte ranges are planned from file sizes alone: every segment begins with a SYNC frame
 and restates its schemas, so a task looks for the first valid SYNC in its range and reads whole segments from there. Views:
-`records` (default), `frames`, `stats` (per frame and field, computed on the frame's arrays), `streams`, `runs`, `meta`, `attachments`. Records stay binary; decode() turns them into
+`records` (default), `frames`, `stats` (per frame and field, computed on the frame's arrays), `index` (per frame, with its axis extent and the
+statistics of all fields), `streams`, `runs`, `meta`, `attachments`. Records stay binary; decode() turns them into
 columns by Catalyst expressions, so fields that a query doesn't name are never decoded.
 
 A torn tail ends the file at its last intact frame. Unknown frames, codecs, filters and invalid schemas are reported in the `frames`
 view as unsupported and skipped; they never fail a job. Options: view, stream, splitBytes, resync (for slices without a header), from and to
-(frames that can't meet this axis window aren't decompressed; records are still to be filtered).
+(frames that can't meet this axis window aren't decompressed; records are still to be filtered), places (JSON: only these files, each from
+the place of a SYNC on). Equality filters on file, segment, stream and run_id are pushed: frames that they rule out aren't decompressed.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import struct
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..functions import axis as axes
 from ..functions import bits
@@ -40,6 +44,7 @@ VIEWS = {
     "records": "file string, segment long, frame_offset long, rec_idx int, stream string, run_id long, axis_tick long, axis_value double, record binary, tails array<binary>",
     "frames": "file string, segment long, frame_offset long, type string, stream string, run_id long, count long, axis_tick long, axis_value double, payload_bytes long, unsupported string",
     "stats": "file string, segment long, frame_offset long, stream string, run_id long, count long, axis_tick long, axis_value double, field string, n_present long, low double, high double, first_value double, last_value double, several boolean",
+    "index": "file string, segment long, sync long, frame_offset long, frame_bytes long, stream string, layout long, run_id long, count long, axis_tick long, axis_value double, axis_low double, axis_high double, fields array<struct<field:string,n_present:long,low:double,high:double,first_value:double,last_value:double,several:boolean>>",
     "streams": "file string, segment long, stream string, name string, record_bits int, n_fields int, axis_kind string, axis_mode string, axis_exp int, axis_unit string, schema binary",
     "runs": "file string, segment long, run_id long, run_index long, params map<string,string>",
     "meta": "file string, segment long, frame_offset long, key string, value string",
@@ -162,12 +167,17 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def list_files(path: str) -> list[tuple[str, int]]:
+def list_states(path: str) -> list[tuple[str, int, int]]:
+    """(file, size, time of its last change in nanoseconds)"""
     store, inner = open_store(path)
     info = store.get_file_info(inner)
     found = [info] if info.is_file else store.get_file_info(fs.FileSelector(inner, recursive=True))
     start = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-    return sorted((start + x.path, x.size) for x in found if x.is_file and not x.base_name.startswith(("_", ".")))
+    return sorted((start + x.path, x.size, x.mtime_ns or 0) for x in found if x.is_file and not x.base_name.startswith(("_", ".")))
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    return [(p, n) for p, n, _ in list_states(path)]
 
 
 def overwrite_bytes(path: str, frames: list[int], at: int) -> None:
@@ -194,7 +204,7 @@ class Walk:
 
     def __init__(self, file, size: int, at: int, payloads: bool = True):
         self.file, self.size, self.at, self.payloads = file, size, at, payloads
-        self.segment, self.schemas, self.bad = -1, {}, {}
+        self.segment, self.sync, self.schemas, self.layouts, self.bad = -1, at, {}, {}, {}
 
     def resume(self, end: int) -> bool:
         """Goes on at the next intact SYNC before end, after a frame that is torn or damaged; its segment restates what is needed."""
@@ -215,10 +225,10 @@ class Walk:
             start, payload = self.at, rest[:n]
             self.at += 12 + n
             if type_ == SYNC:
-                self.segment, self.schemas, self.bad = struct.unpack("<Q", payload[16:24])[0], {}, {}
+                self.segment, self.sync, self.schemas, self.layouts, self.bad = struct.unpack("<Q", payload[16:24])[0], start, {}, {}, {}
             elif type_ == SCHEMA:
                 try:
-                    self.schemas[stream] = parse_schema(payload)
+                    self.schemas[stream], self.layouts[stream] = parse_schema(payload), zlib.crc32(payload)
                 except (ValueError, IndexError) as e:
                     self.bad[stream] = str(e)
             yield start, type_, stream, payload
@@ -265,6 +275,22 @@ def outside(schema: Schema, payload: bytes, window: tuple[float, float]) -> bool
     return max(base, last) < window[0] or min(base, last) > window[1]
 
 
+def extent(schema: Schema, base, count: int, fixed: bytes) -> tuple[float | None, float | None]:
+    """The least and greatest axis position of a frame's records, widened by what doubles may round of ticks."""
+    if not count:
+        return None, None
+    terms = np.array([0.0])
+    if schema.axis_mode == "explicit":
+        terms = arrays.numbers(schema.fields[schema.axis_field], np.frombuffer(fixed, np.uint8).reshape(count, schema.record_bytes)) * schema.axis_scale
+        terms = terms[~np.isnan(terms)]
+        ends = [base + float(terms.min()), base + float(terms.max())] if len(terms) else [math.inf, math.inf]
+    else:
+        ends = [base, base * schema.axis_step ** (count - 1) if schema.axis_mode == "log" else base + (count - 1) * schema.axis_step]
+    most = max(abs(float(x)) for x in (base, *ends, terms.min(initial=0), terms.max(initial=0)))
+    room = 4 * float(np.spacing(most)) if math.isfinite(most) else 0.0
+    return float(min(ends)) - room, float(max(ends)) + room
+
+
 class Split(InputPartition):
     def __init__(self, file: str, size: int, start: int, end: int):
         self.file, self.size, self.start, self.end = file, size, start, end
@@ -276,10 +302,26 @@ class RecordingReader(DataSourceReader):
         self.split_bytes, self.stream = int(options.get("splitbytes", 128 << 20)), options.get("stream")
         self.resync = options.get("resync", "false") == "true"
         self.window = float(options.get("from", "-inf")), float(options.get("to", "inf"))
+        self.places = json.loads(options["places"]) if "places" in options else None
+        self.equal: dict[str, set] = {}
         self.arrow = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in schema.fields])
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """All stay with Spark as well, so that a filter that is taken here only saves work."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute in (("file",), ("segment",), ("stream",), ("run_id",)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.equal[f.attribute[0]] = wanted & self.equal.get(f.attribute[0], wanted)
+            yield f
+
+    def ruled_out(self, **values) -> bool:
+        return any(k in self.equal and v not in self.equal[k] for k, v in values.items())
+
     def partitions(self) -> list[Split]:
-        out = [Split(p, n, at, min(at + self.split_bytes, n)) for p, n in list_files(self.path) for at in range(0, n, self.split_bytes)]
+        files = [(p, n, 0) for p, n in list_files(self.path)]
+        if self.places is not None:
+            files = [(p, n, self.places[p]) for p, n, _ in files if p in self.places]
+        out = [Split(p, n, at, min(at + self.split_bytes, n)) for p, n, begin in files if not self.ruled_out(file=p) for at in range(begin, n, self.split_bytes)]
         return out or [Split("", 0, 0, 0)]
 
     def read(self, part: Split) -> Iterator[pa.RecordBatch]:
@@ -324,6 +366,8 @@ class RecordingReader(DataSourceReader):
         schema = walk.schemas.get(stream)
         if not schema or self.stream and self.stream not in (schema.uuid, schema.name) or outside(schema, payload, self.window):
             return None
+        if self.equal and self.ruled_out(segment=walk.segment, stream=schema.uuid, run_id=struct.unpack("<I", payload[12:16])[0]):
+            return None
         try:
             return schema, split_data(schema, payload)
         except (ValueError, struct.error):
@@ -334,14 +378,7 @@ class RecordingReader(DataSourceReader):
         found = self.wanted(walk, stream, payload)
         if not found or not found[1][2]:
             return None
-        schema, (base, run, n, fixed, tails) = found
-        width = schema.record_bytes
-        same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
-        ends = np.arange(n + 1, dtype=np.int32) * width
-        record = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes(fixed))])
-        tick, value = (base, None) if schema.timed else (None, base)
-        columns = [same(file, pa.string()), same(walk.segment, pa.int64()), same(at, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), same(schema.uuid, pa.string()), same(run, pa.int64()), same(tick, pa.int64()), same(value, pa.float64()), record, pa.array(tails, pa.list_(pa.binary())) if tails else pa.nulls(n, pa.list_(pa.binary()))]
-        return pa.RecordBatch.from_arrays(columns, schema=self.arrow)
+        return record_batch(file, walk.segment, at, *found, self.arrow)
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.arrow)], schema=self.arrow)
@@ -359,6 +396,15 @@ class RecordingReader(DataSourceReader):
             tick, value = (base, None) if schema.timed else (None, base)
             matrix = np.frombuffer(fixed, np.uint8).reshape(n, schema.record_bytes)
             return [(*place, at, schema.uuid, run, n, tick, value, *x) for x in arrays.statistics(schema, matrix, tails)]
+        if self.view == "index":
+            found = self.wanted(walk, stream, payload) if type_ == DATA else None
+            if not found:
+                return []
+            schema, (base, run, n, fixed, tails) = found
+            tick, value = (base, None) if schema.timed else (None, base)
+            matrix = np.frombuffer(fixed, np.uint8).reshape(n, schema.record_bytes)
+            kept = [dict(zip(("field", "n_present", "low", "high", "first_value", "last_value", "several"), x)) for x in arrays.statistics(schema, matrix, tails)]
+            return [(file, walk.segment, walk.sync, at, 12 + len(payload), schema.uuid, walk.layouts[stream], run, n, tick, value, *extent(schema, base, n, fixed), kept)]
         if self.view == "frames":
             run = count = tick = value = None
             why = None if type_ in NAMES else f"frame type 0x{type_:02x}"
@@ -383,7 +429,62 @@ class RecordingReader(DataSourceReader):
         return []
 
 
+def record_batch(file: str, segment: int, at: int, schema: Schema, found: tuple, arrow: pa.Schema) -> pa.RecordBatch:
+    """The records of a split frame as columns of the `records` view."""
+    base, run, n, fixed, tails = found
+    same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
+    ends = np.arange(n + 1, dtype=np.int32) * schema.record_bytes
+    record = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes(fixed))])
+    tick, value = (base, None) if schema.timed else (None, base)
+    columns = [same(file, pa.string()), same(segment, pa.int64()), same(at, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), same(schema.uuid, pa.string()), same(run, pa.int64()), same(tick, pa.int64()), same(value, pa.float64()), record, pa.array(tails, pa.list_(pa.binary())) if tails else pa.nulls(n, pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+
+def schema_at(file: str, sync: int, frame_offset: int) -> Schema:
+    """The schema that binds the DATA frame at frame_offset, in the segment that begins at sync."""
+    store, path = open_store(file)
+    with store.open_input_file(path) as opened:
+        walk = Walk(opened, opened.size(), sync)
+        for at, _, stream, _ in walk.frames():
+            if at == frame_offset and stream in walk.schemas:
+                return walk.schemas[stream]
+    raise SchemaError(f"{file}: no frame at {frame_offset} as the index has it")
+
+
+def records_at(frames: DataFrame, schema: Schema) -> DataFrame:
+    """The records of frames of one stream, given by rows of the `index` view; each is read by its place, nothing between. A frame that isn't
+    as the index has it is an error, as its records would be missing."""
+    definition, view = put_schema(schema), VIEWS["records"]
+    arrow = pa.schema([(x.split()[0], _arrow(x.split()[1].replace("long", "bigint"))) for x in view.split(", ")])
+
+    def read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = parse_schema(definition)
+        for batch in batches:
+            places = sorted(zip(*(c.to_pylist() for c in batch.columns)))
+            opened, name = None, None
+            try:
+                for file, at, size, segment in places:
+                    if file != name:
+                        if opened:
+                            opened.close()
+                        store, path = open_store(file)
+                        opened, name = store.open_input_file(path), file
+                    raw = opened.read_at(size, at)
+                    if len(raw) < size or struct.unpack("<I", raw[-4:])[0] != codec.crc32c(raw[:-4]):
+                        raise ValueError(f"{file}: the frame at {at} isn't as the index has it")
+                    found = split_data(own, raw[8:-4])
+                    if found[2]:
+                        yield record_batch(file, segment, at, own, found, arrow)
+            finally:
+                if opened:
+                    opened.close()
+
+    return frames.where(F.col("stream") == schema.uuid).select("file", "frame_offset", "frame_bytes", "segment").mapInArrow(read_frames, view)
+
+
 def _arrow(name: str) -> pa.DataType:
+    if name.startswith("array<struct<"):
+        return pa.list_(pa.struct([(k, _arrow(v)) for k, v in (x.split(":") for x in name[13:-2].split(","))]))
     plain = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()), "map<string,string>": pa.map_(pa.string(), pa.string())}
     return plain[name]
 
@@ -471,6 +572,7 @@ class Recordings(DataSource):
 
 def read(spark: SparkSession, path: str, view: str = "records", **options) -> DataFrame:
     spark.dataSource.register(Recordings)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters, which Spark refuses without this
     return spark.read.format("recording").option("view", view).options(**options).load(path)
 
 
