@@ -85,3 +85,55 @@ def test_cells(spark):
     assert spark.range(1).select(text.duration(F.lit(1500), -3).cast("string")).first()[0] == "INTERVAL '0 00:00:01.5' DAY TO SECOND"
     with pytest.raises(ValueError):
         text.duration(F.lit(1), -9)
+
+
+def timed_mdf4(tmp_path, sync):
+    """Times from -1 s on, of which one is absent by its invalidation bit."""
+    times = [-1.0, 0.25, 86_400.000000001, 1e7]
+    records = b"".join(struct.pack("<dhB", t, k, k == 1) for k, t in enumerate(times))
+
+    def groups(m):
+        cn = m.channel("t", m.channel("temp", 0, 0, 2, 8, 16), 2, 4, 0, 64, sync=sync, flags=2)
+        return [{"groups": [("g", cn, 4, 10, 1, 0, 0)], "data": m.add("DT", (), records), "id_bytes": 0}]
+
+    return times, write_mdf(tmp_path, groups)
+
+
+def test_mdf4_times_as_ticks(spark, tmp_path):
+    times, path = timed_mdf4(tmp_path, 1)
+    out = str(tmp_path / "out")
+    convert.mdf4_to_container(spark, path, out, ticks=True)
+    schema = container.stream_schema(spark, out)
+    assert (schema.axis_kind, schema.axis_exp, schema.axis_mode) == ("time", -8, "explicit")
+    rows = container.decode(container.read(spark, out), schema).orderBy("temp").collect()
+    assert [r.axis for r in rows] == [-(10**8), 0, 8_640_000_000_000, 10**15] and [r.t for r in rows] == [times[0], None, *times[2:]]
+
+
+def test_mdf4_masters_that_count_no_time(spark, tmp_path):
+    _, path = timed_mdf4(tmp_path, 2)
+    convert.mdf4_to_container(spark, path, str(tmp_path / "out"), ticks=True)
+    schema = container.stream_schema(spark, str(tmp_path / "out"))
+    assert (schema.axis_kind, schema.axis_exp) == ("angle", 0)
+
+
+def test_mdf4_files_of_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(float(i), i, None if i % 3 else i / 7) for i in range(50)], "t double, event_id long, value double")
+    fixtures.write_mdf4(rows.repartition(4), str(tmp_path / "in"))
+    assert len(container.list_files(str(tmp_path / "in"))) == 4
+    got, warnings = mdf4.read(spark, str(tmp_path / "in"), "events")
+    assert sorted((r.axis, int(r.event_id), r.value) for r in got.collect()) == sorted((r.t, r.event_id, r.value) for r in rows.collect()) and not warnings
+    (tmp_path / "one").mkdir()
+    other = fixtures.mdf4_bytes("events", [("t", 2, 1, 4, 0, 64, None)], struct.pack("<d", 1.0), 1, 8, 0)
+    (tmp_path / "in" / "z.mf4").write_bytes(other)
+    with pytest.raises(Exception, match="has other fields"):
+        mdf4.read(spark, str(tmp_path / "in"), "events")[0].count()
+    with pytest.raises(mdf4.MdfError):
+        mdf4.read(spark, str(tmp_path / "one"), "events")
+
+
+def test_spice_times_as_ticks(spark, tmp_path):
+    rows = spark.createDataFrame([(0.0, 1, 2.5), (1.5e-6, 2, None), (3.0, 3, -1.0)], "t double, event_id long, value double")
+    fixtures.write_spice(rows.coalesce(1), str(tmp_path / "in"))
+    schema = convert.spice_to_container(spark, str(tmp_path / "in"), str(tmp_path / "out"), ticks=True)
+    got = container.decode(container.read(spark, str(tmp_path / "out")), schema).orderBy("axis").collect()
+    assert schema.axis_exp == -9 and [(r.axis, r["V(event_id)"], r["I(value)"]) for r in got] == [(0, 1.0, 2.5), (1500, 2.0, None), (3 * 10**9, 3.0, -1.0)]

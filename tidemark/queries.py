@@ -7,15 +7,16 @@ guarded field, a frame per run and day, a segment per week.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixtures
 from .functions import axis, bits, conversions
 from .functions.axis import Buckets
 from .model import Field, Schema
 from .operators import decimate, index, records
 from .plans import storage, tiers
-from .sources import container, dbc
+from .sources import container, convert, dbc
 
 DAY = 86_400_000_000
 #: The window that the queries show.
@@ -413,6 +414,38 @@ def kept_index_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("value IS NOT NULL").groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 
 
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(((axis.utc_micros(F.col("ts")) - F.lit(epoch(spark, sf_dir))) / 1_000_000).alias("t"), "event_id", "value")
+
+
+def _micros(schema: Schema) -> Column:
+    return F.round(axis.ticks_to_seconds(F.col("axis"), schema.axis_exp) * 1_000_000).cast("long").alias("micros")
+
+
+TIMED = "SELECT event_id, value, epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) AS micros FROM events"
+
+
+@query(TIMED)
+def mdf4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as MDF4 files, turned into a container with ticks as axis, and decoded; absent values by their invalidation bits."""
+    path, out = storage.scratch(spark, "mdf4"), storage.scratch(spark, "recording")
+    fixtures.write_mdf4(_timed(spark, sf_dir), path)
+    convert.mdf4_to_container(spark, path, out, ticks=True)
+    schema = container.stream_schema(spark, out)
+    return container.decode(container.read(spark, out), schema).select(F.col("event_id").cast("long").alias("event_id"), "value", _micros(schema))
+
+
+@query(TIMED)
+def spice_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as simulator raw files, turned into a container with ticks as axis, and decoded."""
+    path, out = storage.scratch(spark, "spice"), storage.scratch(spark, "recording")
+    fixtures.write_spice(_timed(spark, sf_dir), path)
+    schema = convert.spice_to_container(spark, path, out, ticks=True)
+    rows = container.decode(container.read(spark, out), schema)
+    return rows.select(F.col("V(event_id)").cast("long").alias("event_id"), F.col("I(value)").alias("value"), _micros(schema))
+
+
 DATABASE = '''BO_ 3 Engine: 8 X
  SG_ Speed : 7|16@0+ (0.25,0) [0|1] "rpm" X
  SG_ Kind M : 16|2@1+ (1,0) [0|3] "" X

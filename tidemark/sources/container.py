@@ -663,7 +663,7 @@ def decode(records: DataFrame, schema: Schema) -> DataFrame:
 
 
 def encode(rows: DataFrame, schema: Schema) -> DataFrame:
-    """The inverse for unsigned, signed, boolean and blob fields given as raw values: adds `record` and `tails`."""
+    """The inverse for fields given as raw values: adds `record` and `tails`. An absent float is no number, which decodes as absent; other absent values are zeros."""
     fixed = [f for f in schema.fields if not f.variable]
     names = [f.name for f in fixed]
 
@@ -679,7 +679,7 @@ def encode(rows: DataFrame, schema: Schema) -> DataFrame:
                     out[i, f.offset // 8 : f.offset // 8 + len(raw)] = np.frombuffer(raw, np.uint8)
                 continue
             if f.type == "float":
-                value = column.fillna(0).to_numpy({16: np.float16, 32: np.float32, 64: np.float64}[f.width]).view({16: np.uint16, 32: np.uint32, 64: np.uint64}[f.width]).astype(np.uint64)
+                value = column.to_numpy({16: np.float16, 32: np.float32, 64: np.float64}[f.width]).view({16: np.uint16, 32: np.uint32, 64: np.uint64}[f.width]).astype(np.uint64)
             else:
                 value = np.array([int(x) & ((1 << f.width) - 1) if x is not None and x == x else 0 for x in column], np.uint64)
             for k in range(f.width):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import Conversion, Field, Schema
-from .container import VIEWS, decode, open_store
+from .container import VIEWS, decode, list_files, open_store
 
 #: Fixed values of the format: channel and conversion kinds, encodings of text by data type.
 VLSD_CHANNEL, MASTER, VIRTUAL_MASTER, VIRTUAL = 1, 2, 3, 6
@@ -236,25 +236,46 @@ def group_schema(group: Group, path: str) -> Schema:
     return Schema(identity, group.name, bits, tuple(fields), "other", "explicit", 0, fields[master].unit, 1.0, 1.0, master).validate()
 
 
+def groups_of(path: str) -> list[Group]:
+    """The groups of a file, or of the first file of a folder."""
+    files = list_files(path)
+    if not files:
+        raise MdfError(f"{path}: no file")
+    return read_groups(files[0][0])
+
+
 class Span(InputPartition):
-    def __init__(self, first: int, skip: int, parts: list[tuple[int, int, str]], base: int):
-        self.first, self.skip, self.parts, self.base = first, skip, parts, base
+    def __init__(self, file: str, first: int, skip: int, parts: list[tuple[int, int, str]], base: int):
+        self.file, self.first, self.skip, self.parts, self.base = file, first, skip, parts, base
 
 
 class MdfReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.name = options["path"], options["group"]
-        self.group = next(g for g in read_groups(self.path) if g.name == self.name)
-        self.schema_ = group_schema(self.group, self.path)
+        self.files, self.name = [p for p, _ in list_files(options["path"])], options["group"]
+        self.schema_ = self.of(self.files[0])[1]
+
+    def of(self, path: str) -> tuple[Group | None, Schema | None]:
+        group = next((g for g in read_groups(path) if g.name == self.name), None)
+        return group, group and group_schema(group, path)
 
     def partitions(self) -> list[Span]:
+        """Files without the group have no rows; one that has it with other fields is an error, as its records would be read wrongly."""
+        out = []
+        for path in self.files:
+            group, schema = self.of(path)
+            if group and schema.fields != self.schema_.fields:
+                raise MdfError(f"{path}: {self.name} has other fields than in {self.files[0]}")
+            out += self.spans(path, group) if group else []
+        return out
+
+    def spans(self, path: str, group: Group) -> list[Span]:
         """A span per data block of a sorted group, with the next blocks' parts that its last record needs; else one span."""
-        store, inner = open_store(self.path)
+        store, inner = open_store(path)
         with store.open_input_file(inner) as file:
-            parts = Blocks(file).parts(self.group.data)
-        size = self.group.data_bytes + self.group.invalid_bytes
-        if self.group.id_bytes or not size or len(parts) < 2:
-            return [Span(0, 0, parts, 0)]
+            parts = Blocks(file).parts(group.data)
+        size = group.data_bytes + group.invalid_bytes
+        if group.id_bytes or not size or len(parts) < 2:
+            return [Span(path, 0, 0, parts, 0)]
         out, at = [], 0
         for k, (_, n, _) in enumerate(parts):
             first, end = -(-at // size), (at + n - 1) // size
@@ -263,13 +284,14 @@ class MdfReader(DataSourceReader):
                 while have < (end + 1) * size and last + 1 < len(parts):
                     last += 1
                     have += parts[last][1]
-                out.append(Span(first, first * size - at, parts[k : last + 1], end + 1 - first))
+                out.append(Span(path, first, first * size - at, parts[k : last + 1], end + 1 - first))
             at += n
         return out
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
-        store, inner = open_store(self.path)
-        group, size = self.group, self.group.data_bytes + self.group.invalid_bytes
+        store, inner = open_store(span.file)
+        group, _ = self.of(span.file)
+        size = group.data_bytes + group.invalid_bytes
         with store.open_input_file(inner) as file:
             blocks = Blocks(file)
             variable = [c for c in group.channels if c.carried]
@@ -292,7 +314,7 @@ class MdfReader(DataSourceReader):
                 tails = [[tail_of(r, c, signal.get(id(c), inline.get(number_of.get(id(c)), b""))) for c in variable] for r in some] if variable else [None] * len(some)
                 n = len(some)
                 number = [span.first + at + i for i in range(n)]
-                columns = [[self.path] * n, [0] * n, [0] * n, number, [self.schema_.uuid] * n, [0] * n, [None] * n, [0.0] * n, some, tails]
+                columns = [[span.file] * n, [0] * n, [0] * n, number, [self.schema_.uuid] * n, [0] * n, [None] * n, [0.0] * n, some, tails]
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in VIEWS["records"].split(", ")])
 
@@ -352,7 +374,7 @@ class Mdf4(DataSource):
 def read(spark: SparkSession, path: str, group: str) -> tuple[DataFrame, list[str]]:
     """(the decoded channels of a group, warnings)"""
     spark.dataSource.register(Mdf4)
-    own = next((g for g in read_groups(path) if g.name == group), None)
+    own = next((g for g in groups_of(path) if g.name == group), None)
     if own is None:
         raise MdfError(f"no group {group}")
     schema = group_schema(own, path)
