@@ -10,6 +10,7 @@ from tests.test_container import ENGINE, build, put, raw_file
 from tests.test_foreign import write_mdf
 from tidemark import catalog, fixtures
 from tidemark.functions import text
+from tidemark.operators import records
 from tidemark.sources import container, convert, mdf4
 
 
@@ -137,3 +138,10 @@ def test_spice_times_as_ticks(spark, tmp_path):
     schema = convert.spice_to_container(spark, str(tmp_path / "in"), str(tmp_path / "out"), ticks=True)
     got = container.decode(container.read(spark, str(tmp_path / "out")), schema).orderBy("axis").collect()
     assert schema.axis_exp == -9 and [(r.axis, r["V(event_id)"], r["I(value)"]) for r in got] == [(0, 1.0, 2.5), (1500, 2.0, None), (3 * 10**9, 3.0, -1.0)]
+
+
+def test_records_with_the_params_of_their_run(spark, tmp_path):
+    path = put(tmp_path, build(2, 10))
+    got = records.with_run_params(container.read(spark, path), container.read(spark, path, "runs"))
+    assert got.count() == container.read(spark, path).count()
+    assert {(r.stream == ENGINE.uuid, r.run_id, r.run_label) for r in got.collect()} == {(True, 5, "t=25"), (False, 0, None)}

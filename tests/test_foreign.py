@@ -264,3 +264,12 @@ def test_equality_filters_reach_the_reader(spark, tmp_path):
     reader = container.RecordingReader({"path": str(path)}, schema)
     assert list(reader.pushFilters([container.EqualTo(("segment",), 1)])) == [container.EqualTo(("segment",), 1)]
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == sum(r.segment == 1 for r in all_of)
+
+
+def test_an_index_beside_its_recording_is_no_recording(spark, tmp_path):
+    path = tmp_path / "rec"
+    path.mkdir()
+    (path / "a.rec").write_bytes(build(1, 20))
+    storage.open_index(spark, str(path), str(path / "_index"))
+    assert [p for p, _ in container.list_files(str(path))] == [str(path / "a.rec")] and storage.open_index(spark, str(path), str(path / "_index"))[1]
+    assert container.list_files(str(path / "a.rec")) == container.list_files(str(path))

@@ -123,3 +123,18 @@ def test_one_run_is_that_of_the_whole_table(spark, sf):
     run = rows.groupBy("run_id").count().orderBy(F.desc("count"), "run_id").first().run_id
     own = index.overlapping(index_, queries.START, queries.END, run).collect()
     assert own and plain(own) == plain(entry.queries()["run_frames"](spark, sf).where(F.col("run_id") == run).collect())
+
+
+@pytest.mark.parametrize("offset", [0, 57, 300, 10**6])
+def test_what_goes_with_a_page(rows, offset):
+    frames = index.frame_index(rows)
+    own = rows.where(F.col("axis").between(queries.START, queries.END))
+    n = own.count()
+    info = records.page_info(rows, frames, queries.START, queries.END, offset, 50)
+    assert info.more == (offset + 50 < n) and info.total >= n and (info.total == n or not info.total_exact)
+    assert 0 <= info.decoded <= index.overlapping(frames, queries.START, queries.END).count()
+    all_of = records.page_info(rows, frames, -1, 10**15, 0, 50)
+    assert all_of.total == rows.count() and all_of.total_exact and all_of.decoded < frames.count()
+    run = rows.first().run_id
+    one = records.page_info(rows, frames, -1, 10**15, 0, 5000, run)
+    assert (one.total, one.more) == (rows.where(F.col("run_id") == run).count(), False)

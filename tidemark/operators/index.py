@@ -48,9 +48,9 @@ def segment_totals(frames: DataFrame) -> DataFrame:
     return frames.groupBy("segment").agg(F.count("*").alias("frames"), F.sum("count").alias("records"), F.countDistinct("run_id").alias("runs"), F.max("last").alias("last"))
 
 
-def window_count(frames: DataFrame, start, end) -> DataFrame:
+def window_count(frames: DataFrame, start, end, run: int | None = None) -> DataFrame:
     """An upper bound of the records in a window, from the index alone, and whether it is exact."""
-    hit = overlapping(frames, start, end)
+    hit = overlapping(frames, start, end, run)
     return hit.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.coalesce(F.bool_and(inside(start, end)), F.lit(True)).alias("total_exact"), F.count("*").alias("frames"))
 
 

@@ -212,6 +212,14 @@ def record_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("segment", "run_id", "frame", "axis", "seq", "value", "state")
 
 
+@query(f"WITH {REC}, {STATS.format(v='value')}, t AS (SELECT sum(\"count\")::BIGINT AS total, bool_and(first >= {START} AND last <= {END}) AS total_exact FROM stats WHERE last >= {START} AND first <= {END}) SELECT (SELECT count(*) FROM rec WHERE axis BETWEEN {START} AND {END}) > 1700 AS more, total, total_exact FROM t")
+def record_page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes with the page of record_page."""
+    rows = recording(spark, sf_dir)
+    info = records.page_info(rows, index.frame_index(rows), START, END, 1500, 200)
+    return spark.createDataFrame([(info.more, info.total, info.total_exact)], "more boolean, total long, total_exact boolean")
+
+
 @query(f"WITH {REC} SELECT run_id, seq, amount, amount IS NOT NULL AS present FROM rec")
 def guard_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recording(spark, sf_dir).select("run_id", "seq", "amount", F.col("amount").isNotNull().alias("present"))

@@ -168,12 +168,12 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_states(path: str) -> list[tuple[str, int, int]]:
-    """(file, size, time of its last change in nanoseconds)"""
+    """(file, size, time of its last change in nanoseconds) of a file or of all in a folder; hidden ones, in hidden folders too, are left out."""
     store, inner = open_store(path)
     info = store.get_file_info(inner)
     found = [info] if info.is_file else store.get_file_info(fs.FileSelector(inner, recursive=True))
     start = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-    return sorted((start + x.path, x.size, x.mtime_ns or 0) for x in found if x.is_file and not x.base_name.startswith(("_", ".")))
+    return sorted((start + x.path, x.size, x.mtime_ns or 0) for x in found if x.is_file and not any(part.startswith(("_", ".")) for part in (x.path[len(inner) :] if not info.is_file else x.base_name).split("/")))
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
