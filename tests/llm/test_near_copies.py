@@ -61,6 +61,40 @@ def test_crowded_groups_are_paired_whole(spark):
         holds(before, [r.doc_id for r in near_copies.without_copies(docs, pivots=pivots, max_bits=max_bits).collect()])
 
 
+def test_strangers_are_dealt_only_by_what_they_share(spark, monkeypatch):
+    """Rows that share a passage, each with more than a fifth of its own, have no groups; near copies among them have."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    texts = [" ".join(passage + [word() for _ in range(40)]) for _ in range(60)]
+    texts += [texts[3] + " once more", texts[9] + " again"]
+    dealt, paired = [], near_copies.paired
+    monkeypatch.setattr(near_copies, "paired", lambda entries, pivots: dealt.append({r.row_id for r in entries.select("row_id").distinct().collect()}) or paired(entries, pivots))
+    before = [*enumerate(texts)]
+    # No bits for the trie: the set join finds the copies.
+    holds(before, left := [r.doc_id for r in near_copies.without_copies(spark.createDataFrame(before, "doc_id long, text string"), max_bits=0).collect()])
+    assert len(left) == 60 and max(map(len, dealt)) <= 4
+
+
+def test_rarest_shared_shingles_come_first_whatever_the_blocks(spark):
+    """Blocks and ranges of one row and of many, rows more than a byte apart, texts of one shingle: each near pair has a group, rare ones first."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    texts += [" ".join(f"v{rng.randrange(10**6)}" for _ in range(200)) for _ in range(600)]
+    texts += [t + " x" for t in texts[300::150]]
+    sets = [brute_set(t) for t in texts]
+    rows = spark.createDataFrame([*enumerate(texts)], "row_id long, text string").repartition(3, "row_id")
+    groups = []
+    for block, total in ((1, 1), (5_000, 1), (1 << 20, 1 << 26)):
+        keys = {}
+        for r in near_copies.first_shared(rows, total, block=block).collect():
+            keys.setdefault(r.row_id, set()).add(r.key)
+        groups.append({i: len(k) for i, k in keys.items()})
+        assert all(keys.get(a, set()) & keys.get(b, set()) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b]))
+        assert not any(i in keys for i, t in enumerate(texts) if 300 <= i < 900 and t + " x" not in texts)
+    assert groups[0] == groups[1]
+
+
 def test_folded_parities_differ_in_no_more_slots_than_sets_in_shingles():
     rng = np.random.default_rng(8)
     for n in (0, 1, 127, 128, 129, 3000):

@@ -5,14 +5,16 @@ most copies for little, but not all: sets of a similarity of 4/5 differ in ten b
 a trie prunes. What it leaves is joined exactly:
 
 Two sets of a similarity of 4/5 or more share a shingle among the fifth of each (and one more) that comes first in
-any fixed order. Rows are dealt by those shingles and paired within each; no pair of 4/5 or more is missed. The order takes
-shingles by hash, those that a sample finds common last; the sample decides the cost, never the result. Pairs are left out
+any fixed order. The order takes the rarest shingles of all the rows that are left first, by their exact numbers: those that a single row holds come before
+all others and are dealt nowhere, so that a row has groups only if less than a fifth of it is its own. Rows are dealt by the others among their
+first and paired within each; no pair of 4/5 or more is missed. For the numbers the shingles travel packed, as four bytes and a place each per block of
+rows and range of hashes, and only shared ones come back; two shingles that agree in these bits count as one, which
+may add pairs to compare and loses none. Pairs are left out
 by their sizes and by the parities of their shingles in slots, four or more for each shingle, which differ in no more slots than the sets in
 shingles; the rest is compared by the shingles of the whole texts, each row with one of its pairs first.
 
-First each row is compared with the first of its groups; a large group of near copies is so gone after one round. Shingles of groups that
-stay larger than PIVOTS + 1 rows are shared by strangers: of all rows that hold one the shingles are counted, and rows with frequent ones among
-their first are dealt again by their rarest. In a group each row is then paired with the PIVOTS first rows. Rows found to be copies leave; groups that
+First each row is compared with the first of its groups; a large group of near copies is so gone after one round. In groups that are
+larger each row is then paired with the PIVOTS first rows. Rows found to be copies leave; groups that
 are still larger are dealt again with GROWTH times as many pivots, until no group is left that wasn't paired whole.
 Of the rows that stay no two have a similarity of 4/5 or more; each row that goes has that
 to a row before it (lesser id, null ids last, then the row's place), which stays or goes for the same reason.
@@ -23,17 +25,17 @@ make one shingle; rows with equal ids are apart; an empty table gives no rows; o
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import BROADCAST_ROWS, dropped, hot_key_join, numbered, salted_left_join, slices, written
+from .common import dropped, hot_key_join, numbered, slices, written
 
 WIDTH = 5
 MAX_BITS = 3
@@ -43,12 +45,13 @@ GROWTH = 16
 #: The least slots of parities, and slots for each shingle.
 SLOTS, SLOTS_EACH = 512, 4
 CHUNK_ROWS = 1 << 16
-#: Shingles are counted in so many ranges of their hashes, one after the other, to hold less on disk at once.
-PASSES = 2
 CHUNK_PAIRS = 1 << 20
-#: The sample has about this many rows; a shingle in COMMON of them or more is common.
-SAMPLE_ROWS = 4_000
-COMMON = 8
+#: Shingles that a block of rows has, or a little more, and that a task counts on average, at most.
+BLOCK, COUNTED = 1 << 20, 1 << 22
+#: Ranges of hashes for each task that counts.
+RANGES = 2
+#: Pairs are joined plainly if no row is the first of more than so many.
+PLAIN_ROWS = 10_000
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -77,42 +80,142 @@ def slots_that_differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
-def first_ones(found: np.ndarray, common: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
-    """The shingles of which a set of 4/5 similarity has one too among its own: common ones after the others, then the late ones as they come."""
-    n, late = len(found), np.zeros(0, np.uint64) if late is None else late
-    rest = found[~np.isin(found, late)]
-    last = np.isin(rest, common)
-    return np.r_[rest[~last], rest[last], late][: n - (4 * n + 4) // 5 + 1]
-
-
-def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Shingles that a sample of rows holds often, at most BROADCAST_ROWS."""
-    total = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("row_id"), F.lit(max(1, total // SAMPLE_ROWS))) == 0).select("text")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(x.as_py() or "", width) for x in batch.column(0)]).view(np.int64))], names=["key"])
-
-    found = sample.mapInArrow(of, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(BROADCAST_ROWS).collect()], np.int64).view(np.uint64))
-
-
-def sketches(rows: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """rows (row_id, doc_id, text). Per row its number of shingles, their digest, parities and first ones."""
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """rows (row_id, doc_id, text). Per row its number of shingles, their digest and parities."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(x.as_py() or "", width) for x in batch.column(2)]
-            firsts = [first_ones(x, common) for x in sets]
-            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in firsts])].astype(np.int32))
-            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64)))
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             sizes = pa.array([len(x) for x in sets], pa.int64())
             odd = pa.array([parities(x) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, digests, odd, keys], names=["row_id", "doc_id", "size", "digest", "odd", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, digests, odd], names=["row_id", "doc_id", "size", "digest", "odd"])
+
+    return rows.mapInArrow(of, "row_id long, doc_id long, size long, digest binary, odd binary")
+
+
+def cut(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of values in parts that begin at the starts."""
+    ends = np.r_[starts, len(values)].astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def joined(parts: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(parts.to_pylist()), kind)
+
+
+def starts_of(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where messages begin, one for each group and wherever places are more than a byte apart, and the steps from place to place inside."""
+    new = np.r_[True, (group[1:] != group[:-1]) | (place[1:] - place[:-1] > 255)]
+    steps = np.where(new, 0, np.r_[0, place[1:] - place[:-1]]).astype(np.uint8)
+    return np.flatnonzero(new), steps
+
+
+def places_of(first: np.ndarray, steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    walked = np.cumsum(steps.astype(np.int64))
+    starts = np.cumsum(lengths) - lengths
+    return walked + np.repeat(first - walked[starts], lengths)
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each value of the column, by which batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        value = batch.column(by).to_numpy()
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else value
+        for s, e in zip(starts, [*starts[1:], len(value)]):
+            if held and value[s] != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = int(value[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def first_shared(rows: DataFrame, total: int, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """rows (row_id, text) with total shingles. (row_id, key): of each row its first shingles, rarest first, without those that no other row has.
 
-    return rows.mapInArrow(of, "row_id long, doc_id long, size long, digest binary, odd binary, keys array<long>")
+    A message has a block's shingles in one range of hashes, by the places of their rows in the block; one more for each block, with place -1, has
+    the ids of its rows and their sizes. A task that counts holds the shingles of one range, one that chooses those of one block.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED))
+    ranges = RANGES * parts
+    names = ["range", "block", "place", "steps", "bits", "often"]
+    schema = "range int, block long, place int, steps binary, bits binary, often binary"
+
+    def message(part: np.ndarray, of: np.ndarray, place: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+        often = [] if len(columns) > 2 else [pa.nulls(len(part), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(of, pa.int64()), pa.array(place, pa.int32()), *columns, *often], names=names)
+
+    def sent(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) for x in sets], np.uint32)
+        yield message([ids[0] % ranges], [ids[0]], [-1], pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()))
+        found = np.concatenate(sets)
+        part = ((found >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges < 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        part, place, bits = part[order], np.repeat(np.arange(len(sets)), sizes)[order], found[order].astype(np.uint32)
+        starts, steps = starts_of(part, place)
+        yield message(part[starts], np.full(len(starts), ids[0]), place[starts], cut(steps, starts), cut(bits, starts))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, held = [], [], 0
+        for batch in slices(batches):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = shingles(text.as_py() or "", width)
+                if len(found):
+                    ids.append(row)
+                    sets.append(found)
+                    held += len(found)
+                if held >= block:
+                    yield from sent(ids, sets)
+                    ids, sets, held = [], [], 0
+        if held:
+            yield from sent(ids, sets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in runs(batches, "range"):
+            is_block = table.column("place").to_numpy() < 0
+            yield from table.filter(pa.array(is_block)).to_batches()
+            table = table.filter(pa.array(~is_block))
+            if not table.num_rows:
+                continue
+            bits = joined(table.column("bits"), np.uint32)
+            _, which, n = np.unique(bits, return_inverse=True, return_counts=True)
+            often = n[which]
+            shared = often > 1
+            if not shared.any():
+                continue
+            lengths = pc.binary_length(table.column("steps")).to_numpy().astype(np.int64)
+            place = places_of(table.column("place").to_numpy(), joined(table.column("steps"), np.uint8), lengths)[shared]
+            of = np.repeat(np.arange(table.num_rows), lengths)[shared]
+            rank = np.minimum(255, np.round(8 * np.log2(often[shared]))).astype(np.uint8)
+            starts, steps = starts_of(of, place)
+            blocks = table.column("block").to_numpy()[of[starts]]
+            yield message(np.full(len(starts), part), blocks, place[starts], cut(steps, starts), cut(bits[shared], starts), cut(rank, starts))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches, "block"):
+            is_block = table.column("place").to_numpy() < 0
+            own, table = table.filter(pa.array(is_block)), table.filter(pa.array(~is_block))
+            if not table.num_rows:
+                continue
+            ids, sizes = joined(own.column("steps"), np.int64), joined(own.column("bits"), np.uint32).astype(np.int64)
+            lengths = pc.binary_length(table.column("steps")).to_numpy().astype(np.int64)
+            place = places_of(table.column("place").to_numpy(), joined(table.column("steps"), np.uint8), lengths)
+            key = np.repeat(table.column("range").to_numpy().astype(np.int64) << 32, lengths) | joined(table.column("bits"), np.uint32)
+            order = np.lexsort([key, joined(table.column("often"), np.uint8), place])
+            place, key = place[order], key[order]
+            shared = np.bincount(place, minlength=len(ids))
+            wanted = sizes - (4 * sizes + 4) // 5 + 1 - (sizes - shared)
+            first = np.arange(len(place)) - (np.cumsum(shared) - shared)[place] < wanted[place]
+            first &= np.r_[True, (place[1:] != place[:-1]) | (key[1:] != key[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[place[first]]), pa.array(key[first])], names=["row_id", "key"])
+
+    # In a fixed order: a task that runs again makes the same blocks.
+    dealt = rows.select("row_id", "text").sortWithinPartitions("row_id").mapInArrow(send, schema).repartition(parts, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(count, schema).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(choose, "row_id long, key long")
 
 
 def pairs_of(n: int, pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,61 +274,14 @@ def paired(entries: DataFrame, pivots: int) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long, key long")
 
 
-def united(tables: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, tables)
-
-
-def all_shingles(rows: DataFrame, width: int, part: int) -> DataFrame:
-    """(row_id, key): the shingles of rows (row_id, text) in one of PASSES ranges of hashes."""
-    low, high = (-(-(part + k << 64) // PASSES) for k in (0, 1))
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingles(x.as_py() or "", width) for x in batch.column(1)]
-            sets = [x[(x >= np.uint64(low)) & (x <= np.uint64(high - 1))] for x in sets]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["row_id", "key"])
-
-    return rows.select("row_id", "text").mapInArrow(of, "row_id long, key long")
-
-
-def rarest_first(entries: DataFrame, rows: DataFrame, most: int, width: int, common: np.ndarray) -> DataFrame:
-    """entries, with those of the rows whose first shingles are frequent replaced by their rarest ones.
-
-    The order is one for all rows: shingles that more than `most` of the rows of large groups hold come last, by their number, the others as
-    before. Rows without one among their first have the same first ones in both orders.
-    """
-    large = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
-    held = written(entries.join(large, "key", "left_semi").select("row_id").distinct(), "rows-of-large-groups")
-    large_rows = rows.join(held, "row_id", "left_semi")
-    often = [all_shingles(large_rows, width, k).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most) for k in range(PASSES)]
-    often = [written(x, "frequent-shingles") for x in often]
-    changed = written(entries.join(united(often), "key", "left_semi").select("row_id").distinct(), "rows-dealt-again")
-    again, late = rows.join(changed, "row_id", "left_semi"), []
-    for k, part in enumerate(often):
-        total = part.agg(F.sum("n")).first()[0] or 0
-        found = salted_left_join(all_shingles(again, width, k), part.withColumn("often", F.col("n")), "key", "n", total).where("often IS NOT NULL")
-        late.append(written(found.select("row_id", "often", "key"), "late-shingles"))
-    late_of = united(late).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("late")).select("row_id", "late.key")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys = [first_ones(shingles(t.as_py() or "", width), common, np.array(k.as_py(), np.int64).view(np.uint64)) for t, k in zip(batch.column(1), batch.column(2))]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], names=["row_id", "key"])
-
-    again = rows.select("row_id", "text").join(late_of, "row_id").mapInArrow(first, "row_id long, key long")
-    again = again.join(entries.select("row_id", "doc_id", "size").distinct(), "row_id").select("key", "doc_id", "row_id", "size")
-    out = written(entries.join(changed, "row_id", "left_anti").select("key", "doc_id", "row_id", "size").unionByName(again), "rarest-first")
-    dropped(held, changed, entries, *often, *late)
-    return out
-
-
 def with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (a, b) with the columns that of (row_id, ...) has for each."""
     n = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    total, most = n.agg(F.sum("n"), F.max("n")).first()
     first, second = (of.select(F.col("row_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
-    return hot_key_join(pairs, first.join(n, "a"), ["a"], "n", pairs.count()).drop("n").join(second, "b")
+    if (most or 0) <= PLAIN_ROWS:
+        return pairs.join(first, "a").join(second, "b")
+    return hot_key_join(pairs, first.join(n, "a"), ["a"], "n", total).drop("n").join(second, "b")
 
 
 def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> DataFrame:
@@ -245,6 +301,8 @@ def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> D
 
     both = with_both(pairs, prints, ["size", "odd"]).where("5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)")
     likely = written(both.select("a", "b", "a_size", "b_size", "a_odd", "b_odd").mapInArrow(alike, "a long, b long"), "likely-pairs")
+    if likely.isEmpty():
+        return likely.select(F.col("b").alias("row_id"))
     named = likely.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
     whole = written(rows.select("row_id", "text").join(named, "row_id", "left_semi").mapInArrow(sets, "row_id long, found array<long>"), "shingle-sets")
 
@@ -256,16 +314,16 @@ def close(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int) -> D
     one = written(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one-pair")
     found = compared(one)
     rest = written(likely.join(one, ["a", "b"], "left_anti").join(found.withColumnRenamed("row_id", "b"), "b", "left_anti").select("a", "b"), "other-pairs")
-    more = compared(rest)
+    if not rest.isEmpty():
+        found = found.unionByName(compared(rest))
     dropped(likely, whole, one, rest)
-    return found.unionByName(more)
+    return found
 
 
 def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
     """rows (row_id, doc_id, text), row_id unique. (row_id) of the rows that go."""
     rows = rows.select("row_id", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    common = common_shingles(rows, width)
-    prints = written(sketches(rows, common, width), "sketches")
+    prints = written(sketches(rows, width), "sketches")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     stays = written(prints.groupBy("digest").agg(F.min(order)["row_id"].alias("row_id")).select("row_id"), "distinct-sets")
     gone = written(prints.select("row_id").join(stays, "row_id", "left_anti"), "exact-copies")
@@ -278,22 +336,25 @@ def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits:
     links = hot_key_join(linked, firsts, ["component_id"], "n", linked.count()).where("a <> row_id").select("a", F.col("row_id").alias("b"))
     fresh = close(written(links, "links"), rows, own, width)
     gone = gone.unionByName(fresh)
-    entries = own.join(fresh, "row_id", "left_anti").select(F.explode("keys").alias("key"), "doc_id", "row_id", "size")
-    seen = written(paired(entries, 1).where("b IS NOT NULL").select("a", "b").distinct(), "stars")
-    fresh = close(seen, rows, own, width)
-    gone = gone.unionByName(fresh)
-    entries = rarest_first(written(entries.join(fresh, "row_id", "left_anti"), "entries"), rows, pivots + 1, width, common)
+    left = written(own.join(fresh, "row_id", "left_anti").select("row_id", "doc_id", "size"), "left")
+    total = left.agg(F.sum("size")).first()[0] or 0
+    firsts = first_shared(rows.join(left.select("row_id"), "row_id", "left_semi"), total, width)
+    entries = written(firsts.join(left, "row_id").select("key", "doc_id", "row_id", "size"), "entries")
+    dropped(linked, left)
+    seen, now = None, 1
     while True:
-        found = written(paired(entries, pivots), "paired")
-        new = written(found.where("b IS NOT NULL").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "new-pairs")
+        found = written(paired(entries, now), "paired")
+        new = found.where("b IS NOT NULL").select("a", "b").distinct()
+        new = written(new if seen is None else new.join(seen, ["a", "b"], "left_anti"), "new-pairs")
         fresh = close(new, rows, own, width)
-        gone, seen = gone.unionByName(fresh), seen.unionByName(new)
+        gone, seen = gone.unionByName(fresh), new if seen is None else seen.unionByName(new)
         open_ = found.where("key IS NOT NULL").select("key")
         if open_.isEmpty():
-            dropped(own, linked, found, seen, entries)
+            dropped(own, found, seen, entries)
             return gone
-        entries = written(entries.join(open_, "key", "left_semi").join(fresh, "row_id", "left_anti"), "open-groups")
-        pivots *= GROWTH
+        more = written(entries.join(open_, "key", "left_semi").join(fresh, "row_id", "left_anti"), "open-groups")
+        dropped(found, entries)
+        entries, now = more, pivots if now < pivots else now * GROWTH
 
 
 def without_copies(docs: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
