@@ -95,6 +95,22 @@ def test_rarest_shared_shingles_come_first_whatever_the_blocks(spark):
     assert groups[0] == groups[1]
 
 
+def test_pairs_of_a_crowded_group_are_not_all_made(spark, monkeypatch):
+    """Edits of one text, each with a few more than a ninth of shingles of its own: a group of near misses makes few pairs, and of its near copies none is missed."""
+    rng = random.Random(7)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(80):
+        text = base.copy()
+        for at in rng.sample(range(0, 120, 6), 4 if i % 20 else 1):
+            text[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    made, paired = [], near_copies.paired
+    monkeypatch.setattr(near_copies, "paired", lambda entries, pivots: (found := paired(entries, pivots)) and made.append(found.where("b IS NOT NULL").count()) or found)
+    before = [*enumerate(texts)]
+    holds(before, [r.doc_id for r in near_copies.without_copies(spark.createDataFrame(before, "doc_id long, text string"), max_bits=0).collect()])
+    assert sum(made) <= 8 * len(texts)
+
+
 def test_folded_parities_differ_in_no_more_slots_than_sets_in_shingles():
     rng = np.random.default_rng(8)
     for n in (0, 1, 127, 128, 129, 3000):

@@ -10,7 +10,7 @@ all others and are dealt nowhere, so that a row has groups only if less than a f
 first and paired within each; no pair of 4/5 or more is missed. For the numbers the shingles travel packed, as four bytes and a place each per block of
 rows and range of hashes, and only shared ones come back; two shingles that agree in these bits count as one, which
 may add pairs to compare and loses none. Pairs are left out
-by their sizes and by the parities of their shingles in slots, four or more for each shingle, which differ in no more slots than the sets in
+by their sizes, by the places of the shared shingle in the order (what comes before it in either row is not shared, or the pair is found there) and by the parities of their shingles in slots, four or more for each shingle, which differ in no more slots than the sets in
 shingles; the rest is compared by the shingles of the whole texts, each row with one of its pairs first.
 
 First each row is compared with the first of its groups; a large group of near copies is so gone after one round. In groups that are
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import dropped, hot_key_join, numbered, slices, written
+from .common import dropped, give_back, hot_key_join, numbered, slices, written
 
 WIDTH = 5
 MAX_BITS = 3
@@ -46,6 +46,8 @@ GROWTH = 16
 SLOTS, SLOTS_EACH = 512, 4
 CHUNK_ROWS = 1 << 16
 CHUNK_PAIRS = 1 << 20
+#: Pairs whose parities are compared at once.
+CHUNK_PARITIES = 1 << 14
 #: Shingles that a block of rows has, or a little more, and that a task counts on average, at most.
 BLOCK, COUNTED = 1 << 20, 1 << 22
 #: Ranges of hashes for each task that counts.
@@ -135,7 +137,7 @@ def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.T
 
 
 def first_shared(rows: DataFrame, total: int, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """rows (row_id, text) with total shingles. (row_id, key): of each row its first shingles, rarest first, without those that no other row has.
+    """rows (row_id, text) with total shingles. (row_id, key, rank): of each row its first shingles and their places, rarest first, without those that no other row has.
 
     A message has a block's shingles in one range of hashes, by the places of their rows in the block; one more for each block, with place -1, has
     the ids of its rows and their sizes. A task that counts holds the shingles of one range, one that chooses those of one block.
@@ -173,6 +175,7 @@ def first_shared(rows: DataFrame, total: int, width: int = WIDTH, block: int = B
                     ids, sets, held = [], [], 0
         if held:
             yield from sent(ids, sets)
+        give_back()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, table in runs(batches, "range"):
@@ -209,13 +212,16 @@ def first_shared(rows: DataFrame, total: int, width: int = WIDTH, block: int = B
             place, key = place[order], key[order]
             shared = np.bincount(place, minlength=len(ids))
             wanted = sizes - (4 * sizes + 4) // 5 + 1 - (sizes - shared)
-            first = np.arange(len(place)) - (np.cumsum(shared) - shared)[place] < wanted[place]
+            rank = np.arange(len(place)) - (np.cumsum(shared) - shared)[place]
+            first = rank < wanted[place]
             first &= np.r_[True, (place[1:] != place[:-1]) | (key[1:] != key[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[place[first]]), pa.array(key[first])], names=["row_id", "key"])
+            rank = (rank + (sizes - shared)[place])[first]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[place[first]]), pa.array(key[first]), pa.array(rank)], names=["row_id", "key", "rank"])
+        give_back()
 
     # In a fixed order: a task that runs again makes the same blocks.
     dealt = rows.select("row_id", "text").sortWithinPartitions("row_id").mapInArrow(send, schema).repartition(parts, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(count, schema).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(choose, "row_id long, key long")
+    return dealt.mapInArrow(count, schema).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(choose, "row_id long, key long, rank long")
 
 
 def pairs_of(n: int, pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -225,15 +231,49 @@ def pairs_of(n: int, pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.full(len(later), i), later
 
 
+def parity_tables(odd: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of parities the row of the table that each of odd has, and the table; parities of twice the length are folded."""
+    lengths, out = np.array([len(x) for x in odd]), {}
+    for n in np.unique(lengths):
+        same, twice = np.flatnonzero(lengths == n), np.flatnonzero(lengths == 2 * n)
+        tables = [np.frombuffer(b"".join(odd[i] for i in at), np.uint64).reshape(len(at), -1, n // 8) for at in (same, twice) if len(at)]
+        at = np.full(len(odd), -1)
+        at[np.r_[same, twice]] = np.arange(len(same) + len(twice))
+        out[int(n)] = at, np.concatenate([np.bitwise_xor.reduce(x, axis=1) for x in tables])
+    return out
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray, size: np.ndarray, rank: np.ndarray, lengths: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Whether the entries x and y of one key, by places in size and rank, can be of a pair of 4/5 or more whose first shared shingle it is."""
+    near = 5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])
+    near &= 9 * np.minimum(size[x] - rank[x], size[y] - rank[y]) >= 4 * (size[x] + size[y])
+    if tables:
+        left = np.flatnonzero(near)
+        short = np.minimum(lengths[x[left]], lengths[y[left]])
+        for n, (at, table) in tables.items():
+            some = left[short == n]
+            for i in range(0, len(some), CHUNK_PARITIES):
+                part = some[i : i + CHUNK_PARITIES]
+                u, v = x[part], y[part]
+                near[part] = 9 * np.bitwise_count(table[at[u]] ^ table[at[v]]).sum(axis=1, dtype=np.int64) <= size[u] + size[v]
+    return near
+
+
 def paired(entries: DataFrame, pivots: int) -> DataFrame:
-    """entries (key, doc_id, row_id, size). (a, b, key): rows that share a key, a before b; with a null b, a key not paired whole."""
+    """entries (key, doc_id, row_id, size, rank, perhaps odd). (a, b, key): rows that share a key, a before b; with a null b, a key not paired whole.
+
+    Pairs that can't be near, or have an earlier key in common, are left out; with odd by their parities too.
+    """
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.select("key", "doc_id", "row_id", "size").repartition(parts, "key").sortWithinPartitions("key", F.asc_nulls_last("doc_id"), "row_id").select("key", "row_id", "size")
+    columns = ["key", "row_id", "size", "rank", *(["odd"] if "odd" in entries.columns else [])]
+    dealt = entries.select("doc_id", *columns).repartition(parts, "key").sortWithinPartitions("key", F.asc_nulls_last("doc_id"), "row_id").select(*columns)
 
-    def linked(key: np.ndarray, row: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def linked(key: np.ndarray, row: np.ndarray, size: np.ndarray, rank: np.ndarray, *odd: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         counts = np.diff(np.r_[starts, len(key)])
         some, open_ = [], key[starts[counts > pivots + 1]]
+        tables = parity_tables(odd[0].tolist()) if odd else {}
+        lengths = np.array([len(x) for x in odd[0]]) if odd else size
 
         def out() -> pa.RecordBatch:
             both = np.unique(np.concatenate(some, axis=1), axis=1)
@@ -244,7 +284,7 @@ def paired(entries: DataFrame, pivots: int) -> DataFrame:
             at = starts[counts == n]
             for i, later in pairs_of(int(n), pivots):
                 x, y = (at[:, None] + i[None, :]).ravel(), (at[:, None] + later[None, :]).ravel()
-                near = 5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])
+                near = may_be_near(x, y, size, rank, lengths, tables)
                 some.append(np.stack([row[x[near]], row[y[near]]]))
                 held += int(near.sum())
                 if held >= CHUNK_PAIRS:
@@ -264,12 +304,14 @@ def paired(entries: DataFrame, pivots: int) -> DataFrame:
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
             if rows >= CHUNK_ROWS and held[0][0][0] != held[-1][0][-1]:
-                key, row, size = (np.concatenate(c) for c in zip(*held))
-                cut = np.flatnonzero(key[1:] != key[:-1])[-1] + 1
-                yield from linked(key[:cut], row[:cut], size[:cut])
-                held, rows = [[key[cut:], row[cut:], size[cut:]]], len(key) - cut
+                both = [np.concatenate(c) for c in zip(*held)]
+                end = np.flatnonzero(both[0][1:] != both[0][:-1])[-1] + 1
+                yield from linked(*(c[:end] for c in both))
+                held, rows = [[c[end:] for c in both]], len(both[0]) - end
         if rows:
             yield from linked(*(np.concatenate(c) for c in zip(*held)))
+        held.clear()
+        give_back()
 
     return dealt.mapInArrow(join, "a long, b long, key long")
 
@@ -339,11 +381,11 @@ def copies(rows: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, max_bits:
     left = written(own.join(fresh, "row_id", "left_anti").select("row_id", "doc_id", "size"), "left")
     total = left.agg(F.sum("size")).first()[0] or 0
     firsts = first_shared(rows.join(left.select("row_id"), "row_id", "left_semi"), total, width)
-    entries = written(firsts.join(left, "row_id").select("key", "doc_id", "row_id", "size"), "entries")
+    entries = written(firsts.join(left, "row_id").select("key", "doc_id", "row_id", "size", "rank"), "entries")
     dropped(linked, left)
     seen, now = None, 1
     while True:
-        found = written(paired(entries, now), "paired")
+        found = written(paired(entries if now == 1 else entries.join(own.select("row_id", "odd"), "row_id"), now), "paired")
         new = found.where("b IS NOT NULL").select("a", "b").distinct()
         new = written(new if seen is None else new.join(seen, ["a", "b"], "left_anti"), "new-pairs")
         fresh = close(new, rows, own, width)
