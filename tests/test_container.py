@@ -260,3 +260,49 @@ def test_arrays_read_bits_as_expressions_do(spark):
     got = rows.select("i", *[bits.bit_slice(F.col("record"), *x).alias(f"c{k}") for k, x in enumerate(layouts)]).orderBy("i").collect()
     for k, x in enumerate(layouts):
         assert arrays.raw_bits(matrix, *x).view(np.int64).tolist() == [r[f"c{k}"] for r in got]
+
+
+def test_small_ranges_share_tasks_reads_and_batches(tmp_path):
+    """Of many small segments in small ranges: a task for a MiB of them, no byte read far beyond its range, and few batches."""
+    import pyarrow as pa
+
+    plain = Schema(ENGINE.uuid, "plain", 64, (Field("a", 0, 64),), axis_mode="implicit", axis_step=1)
+    layout = container.frame(container.SCHEMA, container.put_schema(plain), 1)
+    data = container.header() + b"".join(container.sync(s, 0) + layout + container.data_frame(plain, 1, s, [struct.pack("<q", s)] * 3, run=s % 7, codec_=codec.NONE) for s in range(9000))
+    path = put(tmp_path, data)
+    view = [(x.split()[0], container._arrow(x.split()[1].replace("long", "bigint"))) for x in container.VIEWS["records"].split(", ")]
+    reader = container.RecordingReader({"path": path, "splitbytes": "4096"}, type("None", (), {"fields": []}))
+    reader.arrow = pa.schema(view)
+    parts = reader.partitions()
+    assert len(parts) == -(-len(data) // (1 << 20)) and {p.step for p in parts} == {4096}
+    batches = [b for p in parts for b in reader.read(p)]
+    table = pa.Table.from_batches(batches)
+    assert len(batches) <= len(parts) * 3 and sorted(zip(table["segment"].to_pylist(), table["rec_idx"].to_pylist())) == [(s, i) for s in range(9000) for i in range(3)]
+    assert all(struct.unpack("<q", r)[0] == s == t and run == s % 7 for r, s, t, run in zip(*(table[c].to_pylist() for c in ("record", "segment", "axis_tick", "run_id"))))
+
+    class Counted:
+        read = 0
+
+        def read_at(self, n, at):
+            Counted.read += n
+            return data[at : at + n]
+
+    ranges = range(0, len(data), 4096)
+    assert sum(container.next_sync(Counted(), len(data), at, min(at + 4096, len(data))) is not None for at in ranges) == len(ranges)
+    assert Counted.read < 1.2 * len(data)
+
+
+def test_bytes_are_inverted_across_blocks(tmp_path):
+    data = bytes(range(256)) * 3
+    path = put(tmp_path, data) + "/x.rec"
+    container.overwrite_bytes(path, [0, 90, 95, 700], 5, step=100)
+    assert [i for i, (a, b) in enumerate(zip(data, (tmp_path / "x.rec").read_bytes())) if a ^ b == 255] == [5, 95, 100, 705] and len(os.listdir(tmp_path)) == 1
+
+
+def test_checksums_in_lanes_are_those_by_byte():
+    data = bytes(np.random.default_rng(1).integers(0, 256, codec.LANES_FROM + 519, np.uint8))
+    for n in (0, 1, 6, codec.LANES_FROM - 1, codec.LANES_FROM, len(data)):
+        state = 0xFFFFFFFF
+        for b in data[:n]:
+            state = codec.BYTES[(state ^ b) & 255] ^ (state >> 8)
+        assert codec.crc32c(data[:n]) == state ^ 0xFFFFFFFF

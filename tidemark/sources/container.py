@@ -1,7 +1,8 @@
 """Recording containers: a splittable data source, a writer, and the decoding of records by expression.
 
 format("recording") reads a file or folder. Byte ranges are planned from file sizes alone: every segment begins with a SYNC frame
-and restates its schemas, so a task looks for the first valid SYNC in its range and reads whole segments from there. Views:
+and restates its schemas, so a task looks for the first valid SYNC in each of its ranges and reads whole segments from there. Ranges of splitBytes
+each are dealt to tasks in runs of TASK_BYTES, so that small ones don't make a task each. Views:
 `records` (default), `frames`, `stats` (per frame and field, computed on the frame's arrays), `index` (per frame, with its axis extent and the
 statistics of all fields), `streams`, `runs`, `meta`, `attachments`. Records stay binary; decode() turns them into
 columns by Catalyst expressions, so fields that a query doesn't name are never decoded.
@@ -19,7 +20,9 @@ import math
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -40,6 +43,9 @@ TOKEN = bytes.fromhex("4c4f474253594e43a73e91d25c680bf4")
 SYNC, SCHEMA, META, ATTACH, RUN, DATA, INDEX, END = 0x01, 0x10, 0x11, 0x12, 0x13, 0x20, 0x30, 0x40
 NAMES = {SYNC: "SYNC", SCHEMA: "SCHEMA", META: "META", ATTACH: "ATTACH", RUN: "RUN", DATA: "DATA", INDEX: "INDEX", END: "END", 0x50: "SIGN"}
 
+#: A task reads ranges of a file of about so many bytes; a batch ends at so many records or bytes.
+TASK_BYTES, BATCH_RECORDS, BATCH_BYTES = 1 << 20, 8192, 8 << 20
+
 VIEWS = {
     "records": "file string, segment long, frame_offset long, rec_idx int, stream string, run_id long, axis_tick long, axis_value double, record binary, tails array<binary>",
     "frames": "file string, segment long, frame_offset long, type string, stream string, run_id long, count long, axis_tick long, axis_value double, payload_bytes long, unsupported string",
@@ -163,6 +169,11 @@ def data_frame(schema: Schema, stream: int, base, records: list[bytes] | bytes,
     return frame(DATA, start + struct.pack("<IIBBHQ", count, run, codec_, transposed, 0, len(raw)) + codec.compress(raw, codec_), stream)
 
 
+#: Every segment restates its schemas: those up to this size aren't worked out again.
+RESTATED_BYTES = 1 << 16
+restated_crc32c, restated_schema = lru_cache(maxsize=64)(codec.crc32c), lru_cache(maxsize=64)(parse_schema)
+
+
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -180,15 +191,19 @@ def list_files(path: str) -> list[tuple[str, int]]:
     return [(p, n) for p, n, _ in list_states(path)]
 
 
-def overwrite_bytes(path: str, frames: list[int], at: int) -> None:
-    """Inverts the byte `at` bytes into each of the frames of a file, to test what damage costs."""
+def overwrite_bytes(path: str, frames: list[int], at: int, step: int = 4 << 20) -> None:
+    """Inverts the byte `at` bytes into each of the frames of a file, to test what damage costs. The file is replaced by a copy, made a block at a time."""
     store, inner = open_store(path)
-    with store.open_input_file(inner) as file:
-        data = bytearray(file.read())
-    for start in frames:
-        data[start + at] ^= 255
-    with store.open_output_stream(inner, compression=None) as file:
-        file.write(bytes(data))
+    places, begin = sorted(start + at for start in frames), 0
+    folder, _, name = inner.rpartition("/")
+    copy = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with store.open_input_file(inner) as file, store.open_output_stream(copy, compression=None) as out:
+        while block := bytearray(file.read_at(step, begin)):
+            for place in places[bisect_left(places, begin) : bisect_left(places, begin + len(block))]:
+                block[place - begin] ^= 255
+            out.write(bytes(block))
+            begin += len(block)
+    store.move(copy, inner)
 
 
 def check_header(head: bytes, path: str) -> None:
@@ -220,7 +235,8 @@ class Walk:
             if self.at + 12 + n > self.size:
                 return
             rest = self.file.read_at(n + 4, self.at + 8)
-            if len(rest) < n + 4 or struct.unpack("<I", rest[n:])[0] != codec.crc32c(head + rest[:n]):
+            checksum = restated_crc32c if type_ == SCHEMA and n <= RESTATED_BYTES else codec.crc32c
+            if len(rest) < n + 4 or struct.unpack("<I", rest[n:])[0] != checksum(head + rest[:n]):
                 return
             start, payload = self.at, rest[:n]
             self.at += 12 + n
@@ -228,7 +244,7 @@ class Walk:
                 self.segment, self.sync, self.schemas, self.layouts, self.bad = struct.unpack("<Q", payload[16:24])[0], start, {}, {}, {}
             elif type_ == SCHEMA:
                 try:
-                    self.schemas[stream], self.layouts[stream] = parse_schema(payload), zlib.crc32(payload)
+                    self.schemas[stream], self.layouts[stream] = (restated_schema if n <= RESTATED_BYTES else parse_schema)(payload), zlib.crc32(payload)
                 except (ValueError, IndexError) as e:
                     self.bad[stream] = str(e)
             yield start, type_, stream, payload
@@ -238,7 +254,7 @@ def next_sync(file, size: int, start: int, end: int, step: int = 1 << 20) -> int
     """Where the first intact SYNC frame in [start, end) begins."""
     at = start
     while at < end:
-        block = file.read_at(min(step + 64, size - at), at)
+        block = file.read_at(min(min(step, end - at) + 64, size - at), at)
         found = -1
         while (found := block.find(TOKEN, found + 1)) >= 0:
             begin = at + found - 8
@@ -292,8 +308,10 @@ def extent(schema: Schema, base, count: int, fixed: bytes) -> tuple[float | None
 
 
 class Split(InputPartition):
-    def __init__(self, file: str, size: int, start: int, end: int):
-        self.file, self.size, self.start, self.end = file, size, start, end
+    """The ranges of `step` bytes from start to end of a file."""
+
+    def __init__(self, file: str, size: int, start: int, end: int, step: int):
+        self.file, self.size, self.start, self.end, self.step = file, size, start, end, step
 
 
 class RecordingReader(DataSourceReader):
@@ -321,8 +339,9 @@ class RecordingReader(DataSourceReader):
         files = [(p, n, 0) for p, n in list_files(self.path)]
         if self.places is not None:
             files = [(p, n, self.places[p]) for p, n, _ in files if p in self.places]
-        out = [Split(p, n, at, min(at + self.split_bytes, n)) for p, n, begin in files if not self.ruled_out(file=p) for at in range(begin, n, self.split_bytes)]
-        return out or [Split("", 0, 0, 0)]
+        each = self.split_bytes * max(1, TASK_BYTES // self.split_bytes)
+        out = [Split(p, n, at, min(at + each, n), self.split_bytes) for p, n, begin in files if not self.ruled_out(file=p) for at in range(begin, n, each)]
+        return out or [Split("", 0, 0, 0, 1)]
 
     def read(self, part: Split) -> Iterator[pa.RecordBatch]:
         if not part.file:
@@ -331,16 +350,12 @@ class RecordingReader(DataSourceReader):
         with store.open_input_file(path) as file:
             if part.start == 0 and not self.resync:
                 check_header(file.read_at(16, 0), part.file)
-            begin = next_sync(file, part.size, part.start, part.end)
-            if begin is None:
+            frames = self.intact(file, part)
+            if self.view == "records":
+                yield from record_batches(((part.file, walk.segment, at, *found) for walk, at, type_, stream, payload in frames if type_ == DATA and (found := self.wanted(walk, stream, payload))), self.arrow)
                 return
-            walk = Walk(file, part.size, begin)
             rows: list[tuple] = []
-            for at, type_, stream, payload in self.intact(walk, part):
-                if self.view == "records":
-                    if type_ == DATA and (batch := self.records(part.file, walk, at, stream, payload)):
-                        yield batch
-                    continue
+            for walk, at, type_, stream, payload in frames:
                 rows += self.rows(part.file, walk, at, type_, stream, payload)
                 if len(rows) >= 8192:
                     yield self.batch(rows)
@@ -348,17 +363,25 @@ class RecordingReader(DataSourceReader):
             if rows:
                 yield self.batch(rows)
 
-    def intact(self, walk: Walk, part: Split) -> Iterator[tuple[int, int | None, int, bytes]]:
-        """The frames of the segments that begin in the split. Where one is torn or damaged, a frame of type None, and on from the next intact
-        SYNC; one beyond the split is the next split's, so that the same frames come out however a file is split."""
+    def intact(self, file, part: Split) -> Iterator[tuple[Walk, int, int | None, int, bytes]]:
+        """The frames of the segments that begin in each range of the split. Where one is torn or damaged, a frame of type None, and on from the
+        next intact SYNC; one beyond the range is the next range's, so that the same frames come out however a file is split."""
+        for start in range(part.start, part.end, part.step):
+            end = min(start + part.step, part.end)
+            begin = next_sync(file, part.size, start, end)
+            if begin is not None:
+                walk = Walk(file, part.size, begin)
+                yield from ((walk, *x) for x in self.segments(walk, end))
+
+    def segments(self, walk: Walk, end: int) -> Iterator[tuple[int, int | None, int, bytes]]:
         while True:
             for at, type_, stream, payload in walk.frames():
-                if type_ == SYNC and at >= part.end:
+                if type_ == SYNC and at >= end:
                     return
                 yield at, type_, stream, payload
-            if walk.at < part.size:
+            if walk.at < walk.size:
                 yield walk.at, None, 0, b""
-            if not walk.resume(part.end):
+            if not walk.resume(end):
                 return
 
     def wanted(self, walk: Walk, stream: int, payload: bytes) -> tuple | None:
@@ -378,7 +401,7 @@ class RecordingReader(DataSourceReader):
         found = self.wanted(walk, stream, payload)
         if not found or not found[1][2]:
             return None
-        return record_batch(file, walk.segment, at, *found, self.arrow)
+        return record_batch([(file, walk.segment, at, *found)], self.arrow)
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.arrow)], schema=self.arrow)
@@ -429,17 +452,41 @@ class RecordingReader(DataSourceReader):
         return []
 
 
-def record_batch(file: str, segment: int, at: int, schema: Schema, found: tuple, arrow: pa.Schema) -> pa.RecordBatch:
-    """The records of a split frame as columns of the `records` view."""
-    base, run, n, fixed, tails = found
-    same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
-    ends = np.arange(n + 1, dtype=np.int32) * schema.record_bytes
-    record = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes(fixed))])
-    tick, value = (base, None) if schema.timed else (None, base)
-    columns = [same(file, pa.string()), same(segment, pa.int64()), same(at, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), same(schema.uuid, pa.string()), same(run, pa.int64()), same(tick, pa.int64()), same(value, pa.float64()), record, pa.array(tails, pa.list_(pa.binary())) if tails else pa.nulls(n, pa.list_(pa.binary()))]
+def record_batch(frames: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    """The records of frames (file, segment, place, schema, split frame) as columns of the `records` view."""
+    files, segments, places, schemas, found = zip(*frames)
+    bases, runs, counts, fixed, tails = zip(*found)
+    n, of = sum(counts), pa.array(np.repeat(np.arange(len(frames)), counts))
+    each = lambda values, kind: pa.repeat(pa.scalar(values[0], kind), n) if len(frames) == 1 else pa.array(values, kind).take(of)
+    ends = np.zeros(n + 1, np.int32)
+    np.cumsum(np.repeat([s.record_bytes for s in schemas], counts), out=ends[1:])
+    record = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(fixed))])
+    ticks = [b if s.timed else None for b, s in zip(bases, schemas)]
+    values = [None if s.timed else b for b, s in zip(bases, schemas)]
+    blobs = pa.array([row for own, k in zip(tails, counts) for row in own or [None] * k], pa.list_(pa.binary())) if any(tails) else pa.nulls(n, pa.list_(pa.binary()))
+    index = pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in counts]))
+    columns = [each(files, pa.string()), each(segments, pa.int64()), each(places, pa.int64()), index, each([s.uuid for s in schemas], pa.string()), each(runs, pa.int64()), each(ticks, pa.int64()), each(values, pa.float64()), record, blobs]
     return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
+def record_batches(frames: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Small frames share a batch."""
+    held: list[tuple] = []
+    records = size = 0
+    for frame_ in frames:
+        _, _, count, fixed, tails = frame_[4]
+        if not count:
+            continue
+        own = len(fixed) + sum(len(x) for row in tails or [] for x in row)
+        if held and (records + count > BATCH_RECORDS or size + own > BATCH_BYTES):
+            yield record_batch(held, arrow)
+            held, records, size = [], 0, 0
+        held.append(frame_)
+        records, size = records + count, size + own
+    if held:
+        yield record_batch(held, arrow)
+
+
 def schema_at(file: str, sync: int, frame_offset: int) -> Schema:
     """The schema that binds the DATA frame at frame_offset, in the segment that begins at sync."""
     store, path = open_store(file)
@@ -457,27 +504,27 @@ def records_at(frames: DataFrame, schema: Schema) -> DataFrame:
     definition, view = put_schema(schema), VIEWS["records"]
     arrow = pa.schema([(x.split()[0], _arrow(x.split()[1].replace("long", "bigint"))) for x in view.split(", ")])
 
-    def read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split_frames(places: Iterable[tuple]) -> Iterator[tuple]:
         own = parse_schema(definition)
+        opened, name = None, None
+        try:
+            for file, at, size, segment in places:
+                if file != name:
+                    if opened:
+                        opened.close()
+                    store, path = open_store(file)
+                    opened, name = store.open_input_file(path), file
+                raw = opened.read_at(size, at)
+                if len(raw) < size or struct.unpack("<I", raw[-4:])[0] != codec.crc32c(raw[:-4]):
+                    raise ValueError(f"{file}: the frame at {at} isn't as the index has it")
+                yield file, segment, at, own, split_data(own, raw[8:-4])
+        finally:
+            if opened:
+                opened.close()
+
+    def read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = sorted(zip(*(c.to_pylist() for c in batch.columns)))
-            opened, name = None, None
-            try:
-                for file, at, size, segment in places:
-                    if file != name:
-                        if opened:
-                            opened.close()
-                        store, path = open_store(file)
-                        opened, name = store.open_input_file(path), file
-                    raw = opened.read_at(size, at)
-                    if len(raw) < size or struct.unpack("<I", raw[-4:])[0] != codec.crc32c(raw[:-4]):
-                        raise ValueError(f"{file}: the frame at {at} isn't as the index has it")
-                    found = split_data(own, raw[8:-4])
-                    if found[2]:
-                        yield record_batch(file, segment, at, own, found, arrow)
-            finally:
-                if opened:
-                    opened.close()
+            yield from record_batches(split_frames(sorted(zip(*(c.to_pylist() for c in batch.columns)))), arrow)
 
     return frames.where(F.col("stream") == schema.uuid).select("file", "frame_offset", "frame_bytes", "segment").mapInArrow(read_frames, view)
 
@@ -507,16 +554,16 @@ class RecordingWriter(DataSourceArrowWriter):
         store, folder = open_store(self.path)
         store.create_dir(folder, recursive=True)
         name, n, frames, segments = f"part-{uuid.uuid4().hex}.rec", 0, 0, 0
+        restated, variable = frame(SCHEMA, put_schema(self.schema), 1), any(f.variable for f in self.schema.fields)
         with store.open_output_stream(f"{folder}/.{name}", compression=None) as out:
             out.write(header())
             for part in self.frames(iterator):
                 if not frames % self.segment_frames:
-                    out.write(sync(segments, 0) + frame(SCHEMA, put_schema(self.schema), 1))
+                    out.write(sync(segments, 0) + restated)
                     if not segments:
                         out.write(b"".join(frame(META, put_text(k) + put_text(v)) for k, v in self.meta))
                         out.write(b"".join(frame(ATTACH, put_text(k) + struct.pack("<I", len(v) // 2) + bytes.fromhex(v)) for k, v in self.attached))
                     segments += 1
-                variable = any(f.variable for f in self.schema.fields)
                 tails = [[*map(bytes, x)] for x in part["tails"].to_pylist()] if variable else None
                 out.write(data_frame(self.schema, 1, part["axis"][0].as_py(), b"".join(part["record"].to_pylist()), tails, part["run_id"][0].as_py() or 0, self.codec))
                 frames, n = frames + 1, n + part.num_rows
