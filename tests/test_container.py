@@ -306,3 +306,55 @@ def test_checksums_in_lanes_are_those_by_byte():
         for b in data[:n]:
             state = codec.BYTES[(state ^ b) & 255] ^ (state >> 8)
         assert codec.crc32c(data[:n]) == state ^ 0xFFFFFFFF
+
+
+def test_values_packed_by_bytes_lie_as_by_bits():
+    """Random layouts against bit after bit; absent values, values beyond their width, and numbers of other types."""
+    import pyarrow as pa
+
+    from tidemark.sources import arrays
+
+    rng, n = np.random.default_rng(3), 50
+    for big in (False, True):
+        for width in (1, 7, 8, 12, 31, 33, 57, 63, 64):
+            f = Field("x", int(rng.integers(0, 96 - width)), width, "sint", big)
+            given = [None if i % 9 == 0 else int(x) for i, x in enumerate(rng.integers(-(1 << 62), 1 << 62, n))]
+            bits = np.unpackbits(arrays.packed([f], [pa.array(given, pa.int64())], 12), axis=1, bitorder="big" if big else "little")
+            for row, x in zip(bits, given):
+                own = row[f.offset : f.offset + width][:: -1 if big else 1]
+                assert sum(int(b) << k for k, b in enumerate(own)) == (x or 0) & ((1 << width) - 1) and row.sum() == own.sum()
+    floats = [1.5, None, float("nan"), -0.0]
+    for width in (16, 32, 64):
+        f = Field("x", 0, width, "float")
+        got = arrays.numbers(f, arrays.packed([f], [pa.array(floats)], 8))
+        assert got[[0, 3]].tolist() == [1.5, 0.0] and np.signbit(got[3]) and np.isnan(got[[1, 2]]).all()
+    f = Field("x", 0, 16)
+    for column in (pa.array([True, None]), pa.array([1.9, float("nan")]), pa.array([1, None], pa.int32())):
+        assert arrays.numbers(f, arrays.packed([f], [column], 2)).tolist() == [1, 0]
+    blob = Field("x", 8, 16, "string")
+    assert arrays.packed([blob], [pa.array(["é!", None, "a"])], 4).tobytes() == b"\0\xc3\xa9\0" + bytes(4) + b"\0a\0\0"
+
+
+def test_written_values_are_those_of_encoded_records_without_a_worker_for_them(spark, tmp_path, monkeypatch):
+    mixed = Schema(ENGINE.uuid, "mixed", 80, (Field("a", 0, 12, "sint"), Field("s", 0, 0, "string", variable=True), Field("b", 19, 13, big_endian=True), Field("c", 32, 32, "float"), Field("d", 64, 16, "bytes")), axis_mode="implicit", axis_step=1)
+    rows = spark.range(0, 500, 1, 3).selectExpr("id AS axis", "id % 2 AS run_id", "CAST(id - 250 AS INT) AS a", "IF(id % 3 = 0, NULL, concat('s', id)) AS s", "id AS b", "IF(id % 5 = 0, NULL, id / 4) AS c", "CAST(concat('x', id) AS BINARY) AS d")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    container.write(container.encode(rows, mixed), one, mixed, frameRecords=40)
+    monkeypatch.setattr(container, "encode", None)
+    container.write_values(rows, two, mixed, frameRecords=40)
+    read = lambda at: sorted((r.run_id, r.axis_tick, r.rec_idx, bytes(r.record), [bytes(x) for x in r.tails]) for r in container.read(spark, at).collect())
+    assert len(read(two)) == 500 and read(one) == read(two)
+
+
+def test_a_reader_holds_few_records_of_a_large_frame_as_columns(tmp_path):
+    import pyarrow as pa
+
+    plain = Schema(ENGINE.uuid, "plain", 24, (Field("a", 0, 24), Field("s", 0, 0, "string", variable=True)), axis_mode="implicit", axis_step=1)
+    n = 20_001
+    path = put(tmp_path, container.header() + container.sync(0, 0) + container.frame(container.SCHEMA, container.put_schema(plain), 1) + container.data_frame(plain, 1, 0, [i.to_bytes(3, "little") for i in range(n)], [[b"%d" % i] for i in range(n)]))
+    reader = container.RecordingReader({"path": path}, type("None", (), {"fields": []}))
+    reader.arrow = pa.schema([(x.split()[0], container._arrow(x.split()[1].replace("long", "bigint"))) for x in container.VIEWS["records"].split(", ")])
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    table = pa.Table.from_batches(batches)
+    assert max(b.num_rows for b in batches) <= 8192
+    assert table["rec_idx"].to_pylist() == [int.from_bytes(r, "little") for r in table["record"].to_pylist()] == [int(t[0]) for t in table["tails"].to_pylist()] == list(range(n))

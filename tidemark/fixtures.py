@@ -53,7 +53,7 @@ def filter_response(spark: SparkSession, runs: int = 5, points: int = 120, per_o
 
 def write_pump(spark: SparkSession, path: str, n: int) -> None:
     """Each task writes whole frames of a contiguous range of records."""
-    container.write(container.encode(pump(spark, n), PUMP), path, PUMP, frameRecords=FRAME_RECORDS, segmentFrames=SEGMENT_FRAMES)
+    container.write_values(pump(spark, n), path, PUMP, frameRecords=FRAME_RECORDS, segmentFrames=SEGMENT_FRAMES)
 
 
 def write_files(rows: DataFrame, path: str, suffix: str, content: Callable[[pa.Table], bytes]) -> None:

@@ -370,7 +370,7 @@ def _container(spark: SparkSession, sf_dir: str) -> tuple[str, Schema]:
     at = (axis.utc_micros(F.col("ts")) - F.lit(epoch(spark, sf_dir))) / 1_000_000
     rows = events.select("event_id", "user_id", (F.col("event_type") == "purchase").cast("int").alias("purchase"), "value", F.floor(at).alias("at"), F.lit(0).cast("long").alias("axis"), F.lit(0).cast("long").alias("run_id"))
     path = storage.scratch(spark, "recording")
-    container.write(container.encode(rows, schema), path, schema)
+    container.write_values(rows, path, schema)
     return path, schema
 
 
@@ -483,7 +483,7 @@ def container_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container of a segment per run and task, of which the segments of the least run are damaged: all others are read whole."""
     path, schema = storage.scratch(spark, "damaged"), Schema("6e9f2f0e-0a52-4d8e-9b0c-2f5a1c3d7e11", "values", 64, (Field("value", 0, 64, "float"),), axis_mode="implicit", axis_step=0)
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).cast("long").alias("axis"), F.col("user_id").alias("run_id"), "value")
-    container.write(container.encode(rows, schema), path, schema, segmentFrames=1)
+    container.write_values(rows, path, schema, segmentFrames=1)
     frames = container.read(spark, path, "frames").where("type = 'DATA'")
     least = frames.agg(F.min("run_id")).first()[0]
     for r in frames.where(F.col("run_id") == F.lit(least)).groupBy("file").agg(F.collect_list("frame_offset").alias("at")).collect():

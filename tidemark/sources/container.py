@@ -401,7 +401,7 @@ class RecordingReader(DataSourceReader):
         found = self.wanted(walk, stream, payload)
         if not found or not found[1][2]:
             return None
-        return record_batch([(file, walk.segment, at, *found)], self.arrow)
+        return record_batch([(file, walk.segment, at, *found, 0)], self.arrow)
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.arrow)], schema=self.arrow)
@@ -453,36 +453,41 @@ class RecordingReader(DataSourceReader):
 
 
 def record_batch(frames: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
-    """The records of frames (file, segment, place, schema, split frame) as columns of the `records` view."""
-    files, segments, places, schemas, found = zip(*frames)
+    """The records of frames (file, segment, place, schema, split frame, number of its first record) as columns of the `records` view."""
+    files, segments, places, schemas, found, firsts = zip(*frames)
     bases, runs, counts, fixed, tails = zip(*found)
     n, of = sum(counts), pa.array(np.repeat(np.arange(len(frames)), counts))
     each = lambda values, kind: pa.repeat(pa.scalar(values[0], kind), n) if len(frames) == 1 else pa.array(values, kind).take(of)
-    ends = np.zeros(n + 1, np.int32)
-    np.cumsum(np.repeat([s.record_bytes for s in schemas], counts), out=ends[1:])
-    record = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(fixed))])
+    widths = np.repeat([s.record_bytes for s in schemas], counts)
     ticks = [b if s.timed else None for b, s in zip(bases, schemas)]
     values = [None if s.timed else b for b, s in zip(bases, schemas)]
     blobs = pa.array([row for own, k in zip(tails, counts) for row in own or [None] * k], pa.list_(pa.binary())) if any(tails) else pa.nulls(n, pa.list_(pa.binary()))
-    index = pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in counts]))
-    columns = [each(files, pa.string()), each(segments, pa.int64()), each(places, pa.int64()), index, each([s.uuid for s in schemas], pa.string()), each(runs, pa.int64()), each(ticks, pa.int64()), each(values, pa.float64()), record, blobs]
+    index = pa.array(np.concatenate([np.arange(first, first + k, dtype=np.int32) for first, k in zip(firsts, counts)]))
+    columns = [each(files, pa.string()), each(segments, pa.int64()), each(places, pa.int64()), index, each([s.uuid for s in schemas], pa.string()), each(runs, pa.int64()), each(ticks, pa.int64()), each(values, pa.float64()), binary_array(widths, b"".join(fixed)), blobs]
     return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
+def binary_array(widths: np.ndarray, data: bytes | np.ndarray) -> pa.Array:
+    """Values of these widths that lie end to end."""
+    ends = np.zeros(len(widths) + 1, np.int32)
+    np.cumsum(widths, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(widths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def record_batches(frames: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Small frames share a batch."""
+    """Small frames share a batch, large ones are cut, so that a reader holds few records as columns."""
     held: list[tuple] = []
     records = size = 0
-    for frame_ in frames:
-        _, _, count, fixed, tails = frame_[4]
-        if not count:
-            continue
-        own = len(fixed) + sum(len(x) for row in tails or [] for x in row)
-        if held and (records + count > BATCH_RECORDS or size + own > BATCH_BYTES):
-            yield record_batch(held, arrow)
-            held, records, size = [], 0, 0
-        held.append(frame_)
-        records, size = records + count, size + own
+    for file, segment, place, schema, (base, run, n, fixed, tails) in frames:
+        for first in range(0, n, BATCH_RECORDS):
+            count, width = min(BATCH_RECORDS, n - first), schema.record_bytes
+            part, blobs = fixed[first * width : (first + count) * width], tails[first : first + count] if tails else None
+            own = len(part) + sum(len(x) for row in blobs or [] for x in row)
+            if held and (records + count > BATCH_RECORDS or size + own > BATCH_BYTES):
+                yield record_batch(held, arrow)
+                held, records, size = [], 0, 0
+            held.append((file, segment, place, schema, (base, run, count, part, blobs), first))
+            records, size = records + count, size + own
     if held:
         yield record_batch(held, arrow)
 
@@ -541,13 +546,26 @@ class PartFile(WriterCommitMessage):
         self.name, self.records = name, records
 
 
+def joined(column: pa.ChunkedArray) -> bytes:
+    """The values of a binary column end to end, without an object for each."""
+    if column.null_count:
+        raise ValueError("a record is absent")
+    parts = []
+    for chunk in column.cast(pa.large_binary()).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else [0, 0]
+        parts.append(bytes(memoryview(chunk.buffers()[2] or b"")[ends[0] : ends[-1]]))
+    return b"".join(parts)
+
+
 class RecordingWriter(DataSourceArrowWriter):
-    """One container file per task, of one segment per option segmentFrames frames. Rows come sorted by run and axis."""
+    """One container file per task, of one segment per option segmentFrames frames. Rows come sorted by run and axis, with records or, by option
+    raw, with the raw values of the fields, which are packed here: a task has one Python worker then, not another one for the records."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.schema = parse_schema(bytes.fromhex(options["schema"]))
         self.meta, self.attached = json.loads(options.get("meta", "[]")), json.loads(options.get("attachments", "[]"))
+        self.raw = options.get("raw", "false") == "true"
         self.codec, self.frame_records, self.segment_frames = int(options.get("codec", codec.ZSTD)), int(options.get("framerecords", 65_536)), int(options.get("segmentframes", 64))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> PartFile:
@@ -557,7 +575,7 @@ class RecordingWriter(DataSourceArrowWriter):
         restated, variable = frame(SCHEMA, put_schema(self.schema), 1), any(f.variable for f in self.schema.fields)
         with store.open_output_stream(f"{folder}/.{name}", compression=None) as out:
             out.write(header())
-            for part in self.frames(iterator):
+            for part in self.frames(map(self.packed, iterator) if self.raw else iterator):
                 if not frames % self.segment_frames:
                     out.write(sync(segments, 0) + restated)
                     if not segments:
@@ -565,11 +583,21 @@ class RecordingWriter(DataSourceArrowWriter):
                         out.write(b"".join(frame(ATTACH, put_text(k) + struct.pack("<I", len(v) // 2) + bytes.fromhex(v)) for k, v in self.attached))
                     segments += 1
                 tails = [[*map(bytes, x)] for x in part["tails"].to_pylist()] if variable else None
-                out.write(data_frame(self.schema, 1, part["axis"][0].as_py(), b"".join(part["record"].to_pylist()), tails, part["run_id"][0].as_py() or 0, self.codec))
+                out.write(data_frame(self.schema, 1, part["axis"][0].as_py(), joined(part["record"]), tails, part["run_id"][0].as_py() or 0, self.codec))
                 frames, n = frames + 1, n + part.num_rows
             out.write(frame(END, b""))
         return PartFile(name, n)
 
+    def packed(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A batch of axis, run_id and the fields as one of axis, run_id, record and tails."""
+        columns = batch.columns[2:]
+        blobs = [c.to_pylist() for f, c in zip(self.schema.fields, columns) if f.variable]
+        tails = pa.array([list(x) for x in zip(*blobs)], pa.list_(pa.binary())) if blobs else pa.nulls(batch.num_rows, pa.list_(pa.binary()))
+        fixed = [(f, c) for f, c in zip(self.schema.fields, columns) if not f.variable]
+        matrix = arrays.packed(*zip(*fixed), self.schema.record_bytes) if fixed else np.zeros((batch.num_rows, self.schema.record_bytes), np.uint8)
+        record = binary_array(np.full(batch.num_rows, self.schema.record_bytes), matrix.reshape(-1))
+        return pa.RecordBatch.from_arrays([batch["axis"], batch["run_id"], record, tails], names=["axis", "run_id", "record", "tails"])
+
     def frames(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Rows of one run, frame_records at most."""
         held: list[pa.RecordBatch] = []
@@ -631,6 +659,14 @@ def write(rows: DataFrame, path: str, schema: Schema, **options) -> None:
     ready.write.format("recording").option("schema", put_schema(schema.validate()).hex()).options(**options).mode("append").save(path)
 
 
+def write_values(rows: DataFrame, path: str, schema: Schema, **options) -> None:
+    """As write(encode(rows, schema), ...), for rows of axis, run_id and the raw value of each field; the writer packs the records itself."""
+    rows.sparkSession.dataSource.register(Recordings)
+    value = lambda f: F.coalesce(F.col(f.name).cast("binary"), F.lit(b"")) if f.variable else F.col(f.name)
+    ready = rows.select("axis", "run_id", *[value(f).alias(f"f{i}") for i, f in enumerate(schema.fields)]).sortWithinPartitions("run_id", "axis")
+    ready.write.format("recording").option("schema", put_schema(schema.validate()).hex()).option("raw", "true").options(**options).mode("append").save(path)
+
+
 def stream_schema(spark: SparkSession, path: str, stream: str | None = None) -> Schema:
     """The first binding of a stream. All bindings must agree."""
     rows = read(spark, path, "streams")
@@ -714,26 +750,9 @@ def encode(rows: DataFrame, schema: Schema) -> DataFrame:
     fixed = [f for f in schema.fields if not f.variable]
     names = [f.name for f in fixed]
 
-    @F.pandas_udf("binary")
-    def packed(*columns):
-        import pandas as pd
-
-        n, out = len(columns[0]), np.zeros((len(columns[0]), schema.record_bytes), np.uint8)
-        for f, column in zip(fixed, columns):
-            if f.type in ("bytes", "string"):
-                for i, x in enumerate(column):
-                    raw = (x.encode() if isinstance(x, str) else bytes(x or b""))[: f.width // 8]
-                    out[i, f.offset // 8 : f.offset // 8 + len(raw)] = np.frombuffer(raw, np.uint8)
-                continue
-            if f.type == "float":
-                value = column.to_numpy({16: np.float16, 32: np.float32, 64: np.float64}[f.width]).view({16: np.uint16, 32: np.uint32, 64: np.uint64}[f.width]).astype(np.uint64)
-            else:
-                value = np.array([int(x) & ((1 << f.width) - 1) if x is not None and x == x else 0 for x in column], np.uint64)
-            for k in range(f.width):
-                bit = (value >> np.uint64(f.width - 1 - k if f.big_endian else k)) & np.uint64(1)
-                at = f.offset + k
-                out[:, at // 8] |= (bit << np.uint64(7 - at % 8 if f.big_endian else at % 8)).astype(np.uint8)
-        return pd.Series([row.tobytes() for row in out[:n]])
+    @F.arrow_udf("binary")
+    def packed(*columns: pa.Array) -> pa.Array:
+        return binary_array(np.full(len(columns[0]), schema.record_bytes), arrays.packed(fixed, columns, schema.record_bytes).reshape(-1))
 
     tails = F.array(*[F.coalesce(F.col(f.name).cast("binary"), F.lit(b"")) for f in schema.fields if f.variable]) if any(f.variable for f in schema.fields) else F.lit(None).cast("array<binary>")
     return rows.withColumn("record", packed(*[F.col(c) for c in names]) if names else F.lit(b"")).withColumn("tails", tails)
