@@ -138,3 +138,18 @@ def test_what_goes_with_a_page(rows, offset):
     run = rows.first().run_id
     one = records.page_info(rows, frames, -1, 10**15, 0, 5000, run)
     assert (one.total, one.more) == (rows.where(F.col("run_id") == run).count(), False)
+
+
+def test_damaged_container_has_few_segments_where_each_task_reads_all_runs(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark import queries
+    from tidemark.sources import container
+
+    spark.range(0, 4000, 1, 8).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 100 AS user_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    seen, write = [], container.write_values
+    monkeypatch.setattr(container, "write_values", lambda rows, *a, **k: (seen.append(rows), write(rows, *a, **k)))
+    got = queries.QUERIES["container_damaged"](spark, str(tmp_path)).collect()
+    assert sorted((r.run_id, r.records, r.total) for r in got) == [(u, 40, float(sum(range(u, 4000, 100)))) for u in range(1, 100)]
+    dealt = seen[0].select("run_id", F.spark_partition_id().alias("task")).distinct()
+    assert dealt.count() <= 100 + dealt.select("task").distinct().count()

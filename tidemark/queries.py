@@ -482,7 +482,8 @@ def dbc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def container_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container of a segment per run and task, of which the segments of the least run are damaged: all others are read whole."""
     path, schema = storage.scratch(spark, "damaged"), Schema("6e9f2f0e-0a52-4d8e-9b0c-2f5a1c3d7e11", "values", 64, (Field("value", 0, 64, "float"),), axis_mode="implicit", axis_step=0)
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).cast("long").alias("axis"), F.col("user_id").alias("run_id"), "value")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).cast("long").alias("axis"), F.col("user_id").alias("run_id"), "value", "event_id")
+    rows = rows.repartitionByRange("run_id", "event_id")  # a run is in few tasks, so that segments don't grow with runs times tasks; a large one is in several
     container.write_values(rows, path, schema, segmentFrames=1)
     frames = container.read(spark, path, "frames").where("type = 'DATA'")
     least = frames.agg(F.min("run_id")).first()[0]
