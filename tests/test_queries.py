@@ -141,9 +141,6 @@ def test_what_goes_with_a_page(rows, offset):
 
 
 def test_damaged_container_has_few_segments_where_each_task_reads_all_runs(spark, tmp_path, monkeypatch):
-    from pyspark.sql import functions as F
-
-    from tidemark import queries
     from tidemark.sources import container
 
     spark.range(0, 4000, 1, 8).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 100 AS user_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
